@@ -1,6 +1,6 @@
 """Byte-level BPE over a corpus by a global distinct-word shuffle.
 
-Scan tasks explode texts into words (pieces that the pattern surely parts) and keep, per block of documents, each word's positions; a block's
+Scan tasks explode texts into words (units that the pattern surely parts) and keep, per block of documents, each word's positions; a block's
 distinct words, and nothing else, are shuffled by the word's hash. There each distinct word is encoded once, every match of the pattern separately,
 and its ids return to the blocks that asked. The block's positions then put each document together. Decoding joins the ids
 with the table of token bytes.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import gather, materialize, rows, small_batches
-from .pieces import Memo, pieces
+from .pieces import Memo, text_of, units
 
 #: Text bytes of a block, about.
 BLOCK = 8 << 20
@@ -80,7 +80,7 @@ def index(texts: list[str], buckets: int):
     """The distinct words in order of bucket, their buckets, each text's number of words, all positions as word numbers, a checksum."""
     number: dict[str, int] = defaultdict(count().__next__)
     at = number.__getitem__
-    seq = [np.fromiter(map(at, pieces(t)), np.int64) for t in texts]
+    seq = [np.fromiter(map(at, units(t)), np.int64) for t in texts]
     words = list(number)
     raw = [w.encode("utf-8", "surrogatepass") for w in words]
     bucket = np.fromiter((zlib.crc32(r) % buckets for r in raw), np.int64, len(raw))
@@ -102,7 +102,7 @@ def tokenizer(ranks_raw: bytes, pattern: str):
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_raw.splitlines())}
         one = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
-        _memos[key] = Memo(lambda new: [np.array(one(w.decode("utf-8", "surrogatepass")), "<u4").tobytes() for w in new])
+        _memos[key] = Memo(lambda new: {w: np.array(one(text_of(w.decode("utf-8", "surrogatepass"))), "<u4").tobytes() for w in new})
     return _memos[key]
 
 

@@ -1,34 +1,43 @@
-"""Cutting text where a byte-level BPE's pattern surely cuts, and encoding each distinct piece once."""
+"""Cutting text where a byte-level BPE's pattern surely cuts, and keeping the encodings of the pieces.
+
+The pattern is the public one of byte-level BPE: contractions, letters, numbers or marks with an optional blank before them, white space. A single blank
+between two non-blanks starts a match, whatever stands around it, and a single line feed between two is a match.
+"""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
 
-#: A single blank between two non-blanks starts a match of the pattern, whatever stands around it: matches never run over it.
+START = "\0"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_OTHER_SPACE = re.compile(r"[^\S ]")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
-def pieces(text: str) -> list[str]:
-    """Parts of text, each but the first with its leading blank; joined they are the text, and so are their encodings."""
+def units(text: str) -> list[str]:
+    """Parts of text whose encodings, joined, are the text's. A unit stands for its text_of: a word goes without the blank before it."""
     if not text:
         return []
-    parts = text.split(" ")
-    if "" in parts or any(" " in text[max(0, m.start() - 1) : m.end() + 1] for m in _OTHER_SPACE.finditer(text)):
-        parts = _CUT.split(text)
-    return [parts[0], *[" " + p for p in parts[1:]]]
+    parts = (START + text.replace("\n", " \n")).split(" ")
+    if "" not in parts and "\n" not in parts and parts[0] != START and START not in text and not _OTHER_SPACE.search(text):
+        return parts
+    first, *rest = _CUT.split(text)
+    return [START + first, *[START + " " + p if p[0] == START else p for p in rest]]
+
+
+def text_of(unit: str) -> str:
+    return unit[1:] if unit[0] == START else unit if unit[0] == "\n" else " " + unit
 
 
 class Memo:
-    """piece -> its encoding, for the pieces that come first, up to a bound; others are encoded whenever a batch has them."""
+    """unit -> its encoding, for the units that come first, up to a bound; others are encoded whenever a batch has them."""
 
-    def __init__(self, encode: Callable[[list[str]], list], bound: int = 400_000):
+    def __init__(self, encode: Callable[[list], dict], bound: int = 300_000):
         self.encode, self.bound, self.known = encode, bound, {}
 
-    def of(self, wanted: set[str]) -> dict:
+    def of(self, wanted: set) -> dict:
         new = [w for w in wanted if w not in self.known]
-        made = dict(zip(new, self.encode(new), strict=True)) if new else {}
+        made = self.encode(new) if new else {}
         if len(self.known) + len(made) <= self.bound:
             self.known.update(made)
             return self.known

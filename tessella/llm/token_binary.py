@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import partitions, rows, scratch, small_batches
-from .pieces import Memo, pieces
+from .pieces import Memo, text_of, units
 
 MAGIC = b"TESSEF01"
 EVERY = 64
@@ -120,10 +120,61 @@ def write_file(folder: str, name: str, data: bytes) -> str:
 
 
 _memos: dict = {}
+MARKS = ".,;:!?"
+
+
+class UnitEncoder:
+    """The tokenizer's ids of units, as bytes. A word of letters, with marks behind it or without, is a match of its own (and its marks
+    another), so many such words are encoded in one call and told apart by the word numbers that the library gives."""
+
+    def __init__(self, tokenizer, width: int):
+        self.tokenizer, self.width, self.tails = tokenizer, width, {"": b""}
+
+    def alone(self, texts: list[str]) -> list[bytes]:
+        return [self.raw(e.ids) for i in range(0, len(texts), 4096) for e in self.tokenizer.encode_batch(texts[i : i + 4096], add_special_tokens=False)]
+
+    def raw(self, ids: list[int]) -> bytes:
+        return np.array(ids, f"<u{self.width}").tobytes()
+
+    def words(self, words: list[str], lead: str) -> list[bytes]:
+        """Of lead + word each; the lead is a blank, which joins its word's match, or a line feed, which is one."""
+        out, per = [], 1 if lead == " " else 2
+        chunks = [words[i : i + 256] for i in range(0, len(words), 256)]
+        for chunk, e in zip(chunks, self.tokenizer.encode_batch([lead + lead.join(c) for c in chunks], add_special_tokens=False), strict=True):
+            of = np.array(e.word_ids)
+            if of[-1] + 1 != per * len(chunk):  # what Python takes for a letter is none to the pattern
+                out += self.alone([lead + w for w in chunk])
+                continue
+            cuts = (np.searchsorted(of, np.arange(0, of[-1] + 2, per)) * self.width).tolist()
+            raw = self.raw(e.ids)
+            out += [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return out
+
+    def __call__(self, new: list[str]) -> dict[str, bytes]:
+        bare: dict[str, list] = {" ": [], "\n": []}
+        rest = []
+        for u in new:
+            lead = u[0] if u[0] in "\0\n" else " "
+            word = (u if lead == " " else u[1:]).rstrip(MARKS)
+            if lead != "\0" and word.isalpha():
+                bare[lead].append((u, word, u[len(word) + (lead != " ") :]))
+            else:
+                rest.append(u)
+        made = dict(zip(rest, self.alone([text_of(u) for u in rest]), strict=True))
+        for lead, found in bare.items():
+            distinct = list({w for _, w, _ in found})
+            ids = dict(zip(distinct, self.words(distinct, lead), strict=True))
+            tails = list({t for _, _, t in found if t not in self.tails})
+            ends = self.tails | dict(zip(tails, self.alone(tails), strict=True))
+            if len(ends) < 10_000:
+                self.tails = ends
+            for u, w, t in found:
+                made[u] = ids[w] + ends[t]
+        return made
 
 
 def encoder(tokenizer_json: str, width: int) -> Memo:
-    """A worker's memo of the tokenizer: piece -> its ids as bytes."""
+    """A worker's memo of the tokenizer: unit -> its ids as bytes."""
     key = (zlib.crc32(tokenizer_json.encode()), len(tokenizer_json), width)
     if key not in _memos:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -131,12 +182,7 @@ def encoder(tokenizer_json: str, width: int) -> Memo:
 
         tokenizer = Tokenizer.from_str(tokenizer_json)
         tokenizer.encode_special_tokens = True  # a text's control strings are ordinary text
-        kind = f"<u{width}"
-
-        def encode(new: list[str]) -> list[bytes]:
-            return [np.array(e.ids, kind).tobytes() for i in range(0, len(new), 4096) for e in tokenizer.encode_batch(new[i : i + 4096], add_special_tokens=False)]
-
-        _memos[key] = Memo(encode)
+        _memos[key] = Memo(UnitEncoder(tokenizer, width))
     return _memos[key]
 
 
@@ -164,7 +210,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
             shard, ids, ends, doc_ids = shard + 1, [], [], []
 
         for batch in rows(batches):
-            texts = [pieces(t or "") for t in batch.column(1).to_pylist()]
+            texts = [units(t or "") for t in batch.column(1).to_pylist()]
             known = memo.of(set().union(*texts))
             for doc_id, parts in zip(batch.column(0).to_pylist(), texts, strict=True):
                 raw = b"".join(map(known.__getitem__, parts)) + end
