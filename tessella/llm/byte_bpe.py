@@ -20,9 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
-from collections import defaultdict
 from functools import cache
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import gather, materialize, rows, small_batches
-from .pieces import Memo, text_of, units
+from .pieces import Memo, split, text_of
 
 #: Text bytes of a block, about.
 BLOCK = 8 << 20
@@ -78,17 +76,14 @@ def blocks(batches, size: int = BLOCK):
 
 def index(texts: list[str], buckets: int):
     """The distinct words in order of bucket, their buckets, each text's number of words, all positions as word numbers, a checksum."""
-    number: dict[str, int] = defaultdict(count().__next__)
-    at = number.__getitem__
-    seq = [np.fromiter(map(at, units(t)), np.int64) for t in texts]
-    words = list(number)
-    raw = [w.encode("utf-8", "surrogatepass") for w in words]
+    distinct, seq, lengths = split(pa.array(texts, pa.string()))
+    raw = distinct.cast(pa.binary()).to_pylist()
     bucket = np.fromiter((zlib.crc32(r) % buckets for r in raw), np.int64, len(raw))
     order = np.argsort(bucket, kind="stable")
-    rank = np.empty(len(words), np.int64)
-    rank[order] = np.arange(len(words))
+    rank = np.empty(len(raw), np.int64)
+    rank[order] = np.arange(len(raw))
     raw = [raw[i] for i in order]
-    return raw, bucket[order], np.array([len(s) for s in seq], np.int64), rank[np.concatenate(seq)] if seq else np.zeros(0, np.int64), zlib.crc32(b"\0".join(raw))
+    return raw, bucket[order], lengths, rank[seq], zlib.crc32(b"\0".join(raw))
 
 
 _memos: dict = {}
@@ -102,7 +97,7 @@ def tokenizer(ranks_raw: bytes, pattern: str):
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_raw.splitlines())}
         one = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
-        _memos[key] = Memo(lambda new: {w: np.array(one(text_of(w.decode("utf-8", "surrogatepass"))), "<u4").tobytes() for w in new})
+        _memos[key] = Memo(lambda new, _: [np.array(one(text_of(w.decode())), "<u4").tobytes() for w in new])
     return _memos[key]
 
 
@@ -183,8 +178,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 ends = 4 * n + np.cumsum(np.frombuffer(data, "<u4", n)).astype(np.int64)
                 cuts = [4 * n, *ends.tolist()]
                 own = [data[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
-                known = memo.of(set(own))
-                ids = [known[w] for w in own]
+                ids = memo.of(own)
                 out.append((b, block, check, squeeze(np.array([len(x) // 4 for x in ids], np.int64), np.frombuffer(b"".join(ids), "<u4"))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["bucket", "block", "check", "ids"])

@@ -46,7 +46,7 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def small_batches(spark: SparkSession, size: str = "16m") -> None:
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
     """Python gets Arrow batches of at most this size; a batch of 10,000 long texts would not fit beside the heap."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 

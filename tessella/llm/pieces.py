@@ -9,6 +9,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 START = "\0"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
@@ -29,25 +33,40 @@ def text_of(unit: str) -> str:
     return unit[1:] if unit[0] == START else unit if unit[0] == "\n" else " " + unit
 
 
-class Memo:
-    """unit -> its encoding, for the units that come first, up to a bound; others are encoded whenever a batch has them."""
+#: White space but for the blank and the line feed.
+_ODD = "[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+
 
-    def __init__(self, encode: Callable[[list], dict], bound: int = 300_000):
-        self.encode, self.bound, self.known = encode, bound, {}
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct units of a column of texts (null: empty), all their units as numbers of those, and each text's number of units."""
+    texts = pc.fill_null(texts, "")
+    lists = pc.split_pattern(pc.binary_join_element_wise(pa.scalar(START), pc.replace_substring(texts, "\n", " \n"), pa.scalar("")), " ")
+    coded = lists.flatten().dictionary_encode()
+    uneven = pc.is_in(coded.dictionary, pa.array(["", "\n"]))
+    if pc.any(uneven).as_py() or pc.any(pc.match_substring_regex(coded.dictionary, _ODD)).as_py() or pc.any(pc.match_substring(texts, START)).as_py():
+        lists = pa.array([units(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+        coded = lists.flatten().dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
 
-    def of(self, wanted: set) -> dict:
-        new = [w for w in wanted if w not in self.known]
-        made = self.encode(new) if new else {}
-        if len(self.known) + len(made) <= self.bound:
-            self.known.update(made)
-            return self.known
-        return _Both(made, self.known)
 
+class Memo(dict):
+    """unit -> its encoding, for units that come more than once in a batch, up to a bound; others are encoded for each batch that has them.
+    encode gets the new units and what is known already."""
 
-class _Both(dict):
-    def __init__(self, new: dict, old: dict):
-        super().__init__(new)
-        self.old = old
+    def __init__(self, encode: Callable[[list, dict], list[bytes]], bound: int = 300_000):
+        super().__init__()
+        self.encode, self.bound = encode, bound
 
-    def __missing__(self, key):
-        return self.old[key]
+    def of(self, wanted: list, times: np.ndarray | None = None) -> list[bytes]:
+        """The encodings of distinct units, in their order; times: how often each occurs."""
+        found = list(map(self.get, wanted))
+        missing = [i for i, x in enumerate(found) if x is None]
+        if not missing:
+            return found
+        made = self.encode([wanted[i] for i in missing], self)
+        for i, x in zip(missing, made, strict=True):
+            found[i] = x
+        again = np.arange(len(missing)) if times is None else np.flatnonzero(times[missing] > 1)
+        for j in again[: max(0, self.bound - len(self))].tolist():
+            self[wanted[missing[j]]] = made[j]
+        return found

@@ -26,13 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, rows, scratch, small_batches
-from .pieces import Memo, text_of, units
+from .common import gather, partitions, rows, scratch, small_batches
+from .pieces import Memo, split, text_of
 
 MAGIC = b"TESSEF01"
 EVERY = 64
-#: Ids of one shard, about; it is closed at the next document.
-SHARD_IDS = 8 << 20
+#: Ids of one shard, about; it is closed after the batch that reaches them.
+SHARD_IDS = 4 << 20
+#: Text bytes that are encoded together.
+BATCH = 6 << 20
 
 
 class EliasFano:
@@ -79,10 +81,10 @@ class EliasFano:
         return (one - i << self.width) | (part & ((1 << self.width) - 1))
 
 
-def pack(ids: list[bytes], ends: list[int], doc_ids: list, width: int) -> bytes:
+def pack(ids: list[bytes], ends: np.ndarray, doc_ids: list, width: int) -> bytes:
     """One shard's bytes; ids are the documents' encoded ids, ends their running number of ids."""
-    n = ends[-1] if ends else 0
-    ef = EliasFano.of(np.array(ends, np.int64), n + 1)
+    n = int(ends[-1]) if len(ends) else 0
+    ef = EliasFano.of(ends, n + 1)
     known = [d for d in doc_ids if d is not None]
     parts = [b"".join(ids), ef.low, ef.high, ef.sample.tobytes(), np.array(known, "<i8").tobytes()]
     head = struct.pack("<11q", len(ends), len(doc_ids) - len(known), n, width, ef.universe, ef.width, *map(len, parts))
@@ -150,27 +152,28 @@ class UnitEncoder:
             out += [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
         return out
 
-    def __call__(self, new: list[str]) -> dict[str, bytes]:
-        bare: dict[str, list] = {" ": [], "\n": []}
-        rest = []
+    def __call__(self, new: list[str], known: dict[str, bytes]) -> list[bytes]:
+        made = dict.fromkeys(u for u in new if u.isalpha())
+        marked, rest = {" ": [], "\n": []}, []
         for u in new:
-            lead = u[0] if u[0] in "\0\n" else " "
-            word = (u if lead == " " else u[1:]).rstrip(MARKS)
-            if lead != "\0" and word.isalpha():
-                bare[lead].append((u, word, u[len(word) + (lead != " ") :]))
-            else:
-                rest.append(u)
-        made = dict(zip(rest, self.alone([text_of(u) for u in rest]), strict=True))
-        for lead, found in bare.items():
-            distinct = list({w for _, w, _ in found})
-            ids = dict(zip(distinct, self.words(distinct, lead), strict=True))
-            tails = list({t for _, _, t in found if t not in self.tails})
-            ends = self.tails | dict(zip(tails, self.alone(tails), strict=True))
-            if len(ends) < 10_000:
-                self.tails = ends
-            for u, w, t in found:
-                made[u] = ids[w] + ends[t]
-        return made
+            if u not in made:
+                lead = u[0] if u[0] in "\0\n" else " "
+                word = u.rstrip(MARKS)
+                if lead != "\0" and (word if lead == " " else word[1:]).isalpha():
+                    marked[lead].append((u, word, u[len(word) :]))
+                else:
+                    rest.append(u)
+        for lead, found in marked.items():
+            words = [w for w in (made if lead == " " else {}) if w] + list({w for _, w, _ in found if w not in known and w not in made})
+            made.update(zip(words, self.words(words if lead == " " else [w[1:] for w in words], lead), strict=True))
+        tails = list({t for found in marked.values() for _, _, t in found if t not in self.tails})
+        ends = self.tails | dict(zip(tails, self.alone(tails), strict=True))
+        if len(ends) < 10_000:
+            self.tails = ends
+        for u, w, t in marked[" "] + marked["\n"]:
+            made[u] = (made.get(w) or known[w]) + ends[t]
+        made.update(zip(rest, self.alone([text_of(u) for u in rest]), strict=True))
+        return [made[u] for u in new]
 
 
 def encoder(tokenizer_json: str, width: int) -> Memo:
@@ -186,6 +189,18 @@ def encoder(tokenizer_json: str, width: int) -> Memo:
     return _memos[key]
 
 
+def encode(texts: pa.Array, memo: Memo, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts laid end to end, each text's followed by the end id, and where each text's end."""
+    distinct, number, lengths = split(texts)
+    encoded = memo.of(distinct.to_pylist(), np.bincount(number, minlength=len(distinct)))
+    sizes = np.fromiter(map(len, encoded), np.int64, len(encoded)) // end.itemsize
+    flat = np.concatenate([np.frombuffer(b"".join(encoded), end.dtype), end])
+    # The end id is one more unit, after the last of each text.
+    order = np.insert(number.astype(np.int64), np.cumsum(lengths), len(encoded))
+    at, stops = gather(np.append(np.cumsum(sizes) - sizes, sizes.sum()), np.append(sizes, 1), order)
+    return flat[at], stops[np.cumsum(lengths + 1) - 1] if len(lengths) else stops
+
+
 def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and write; the manifest: part, shard, path, n_docs, n_ids, as rows that are already computed."""
     from tokenizers import Tokenizer
@@ -196,30 +211,28 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
         tokenizer_json = f.read()
     width = 2 if max(end_id + 1, Tokenizer.from_str(tokenizer_json).get_vocab_size()) <= 1 << 16 else 4
     sent = spark.sparkContext.broadcast(tokenizer_json)  # one vocabulary file
-    end = end_id.to_bytes(width, "little")
+    end = np.array([end_id], f"<u{width}")
 
     def write(batches):
         memo = encoder(sent.value, width)
         part, shard = TaskContext.get().partitionId(), 0
-        ids, ends, doc_ids, made = [], [], [], []
+        ids, ends, doc_ids, made, total = [], [], [], [], 0
 
         def close():
-            nonlocal shard, ids, ends, doc_ids
-            path = write_file(folder, f"part-{part:06d}-{shard:04d}.tef", pack(ids, ends, doc_ids, width))
-            made.append((part, shard, path, len(ends), ends[-1]))
-            shard, ids, ends, doc_ids = shard + 1, [], [], []
-
-        for batch in rows(batches):
-            texts = [units(t or "") for t in batch.column(1).to_pylist()]
-            known = memo.of(set().union(*texts))
-            for doc_id, parts in zip(batch.column(0).to_pylist(), texts, strict=True):
-                raw = b"".join(map(known.__getitem__, parts)) + end
-                ids.append(raw)
-                ends.append((ends[-1] if ends else 0) + len(raw) // width)
-                doc_ids.append(doc_id)
-                if ends[-1] >= SHARD_IDS:
-                    close()
-        if ends:
+            nonlocal shard, ids, ends, doc_ids, total
+            path = write_file(folder, f"part-{part:06d}-{shard:04d}.tef", pack(ids, np.concatenate(ends), doc_ids, width))
+            made.append((part, shard, path, len(doc_ids), total))
+            shard, ids, ends, doc_ids, total = shard + 1, [], [], [], 0
+
+        for batch in rows(batches, BATCH):
+            new, new_ends = encode(batch.column(1), memo, end)
+            ids.append(new.tobytes())
+            ends.append(new_ends + total)
+            doc_ids += batch.column(0).to_pylist()
+            total += len(new)
+            if total >= SHARD_IDS:
+                close()
+        if doc_ids:
             close()
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*made, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["part", "shard", "path", "n_docs", "n_ids"])
@@ -228,7 +241,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     tie = F.xxhash64("text")
     ordered = source.repartitionByRange(partitions(source), "doc_id", tie).sortWithinPartitions("doc_id", tie)
     schema = "part int, shard int, path string, n_docs long, n_ids long"
-    made = ordered.mapInArrow(write, schema).collect()  # a row per shard of 8 million ids: what any file listing holds
+    made = ordered.mapInArrow(write, schema).collect()  # a row per shard of 4 million ids: what any file listing holds
     return spark.createDataFrame(sorted(map(tuple, made)), schema)
 
 

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -36,8 +37,9 @@ T, E = tokenizer(), ranked()
 def test_units_encode_as_the_text(text):
     assert "".join(map(text_of, units(text))) == text
     memo = token_binary.encoder(open(JSON, encoding="utf-8").read(), 2)
-    got = np.frombuffer(b"".join(map(memo.of(set(units(text))).__getitem__, units(text))), "<u2")
-    assert got.tolist() == T.encode(text, add_special_tokens=False).ids
+    want = T.encode(text, add_special_tokens=False).ids
+    got, ends = token_binary.encode(pa.array([text, None, text]), memo, np.array([2], "<u2"))
+    assert (got.tolist(), ends.tolist()) == ([*want, 2, 2, *want, 2], [len(want) + 1, len(want) + 2, 2 * len(want) + 3])
     assert [i for u in units(text) for i in E.encode_ordinary(text_of(u))] == E.encode_ordinary(text)
 
 
