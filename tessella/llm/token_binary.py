@@ -142,7 +142,8 @@ class UnitEncoder:
         """Of lead + word each; the lead is a blank, which joins its word's match, or a line feed, which is one."""
         out, per = [], 1 if lead == " " else 2
         chunks = [words[i : i + 256] for i in range(0, len(words), 256)]
-        for chunk, e in zip(chunks, self.tokenizer.encode_batch([lead + lead.join(c) for c in chunks], add_special_tokens=False), strict=True):
+        texts = [lead + lead.join(c) for c in chunks]
+        for chunk, e in zip(chunks, (e for i in range(0, len(texts), 32) for e in self.tokenizer.encode_batch(texts[i : i + 32], add_special_tokens=False)), strict=True):
             of = np.array(e.word_ids)
             if of[-1] + 1 != per * len(chunk):  # what Python takes for a letter is none to the pattern
                 out += self.alone([lead + w for w in chunk])
