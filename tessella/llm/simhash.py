@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import drop, materialize, per_text, rows, small_batches
 
 #: Variants that one task makes, and that it holds at a time.
-PER_TASK, PER_ROUND = 16 << 20, 1 << 21
+PER_TASK, PER_ROUND = 128 << 20, 1 << 21
 
 
 def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
