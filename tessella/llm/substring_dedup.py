@@ -34,8 +34,9 @@ def repeats(docs: DataFrame, unit: str = "line", min_words: int = 5, id_col: str
     """__id, __h, gone: for each row that loses units, their places in ascending order."""
     found = materialize(units(docs, unit, min_words, id_col, text_col), "units")
     # Per row and digest first: a text's own repeats, and rows that are the same, cost one record each from here on.
-    inside = found.groupBy("__id", "__h", "digest").agg(F.array_sort(F.collect_set("pos")).alias("at"))
-    common = found.groupBy("digest").agg(F.min("__id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    inside = materialize(found.groupBy("__id", "__h", "digest").agg(F.array_sort(F.collect_set("pos")).alias("at")), "inside")
+    # Written, so that the join below stands on plain exchanges, whose large partitions Spark can split.
+    common = materialize(found.groupBy("digest").agg(F.min("__id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"), "common")
     own = F.when(F.col("__id") == F.col("first"), F.slice("at", 2, F.greatest(F.size("at"), F.lit(1)))).otherwise(F.col("at"))
     return inside.join(common, "digest").select("__id", "__h", own.alias("at")).where(F.size("at") > 0).groupBy("__id", "__h").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("gone"))
 
