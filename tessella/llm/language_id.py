@@ -89,7 +89,7 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centers
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", clusters: int = 4, per_language: int = 300, max_docs: int = 3000, slack: float = 0.5) -> Model:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", clusters: int = 4, per_language: int = 300, max_docs: int = 3000, slack: float = 0.3) -> Model:
     """Learn from a bounded sample, chosen by a hash of the id: at most per_language texts each and max_docs in all.
 
     floor: slack times the smallest cosine that a training text of the language has; nearer texts are never rejected.
