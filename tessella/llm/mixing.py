@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import WORD, materialize
 
 WEIGHTS = (5, 2, 1)
-CELL = 4096
+CELL = 1024
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
