@@ -102,7 +102,7 @@ def telling(at: np.ndarray, grade_of: np.ndarray, grade: np.ndarray, grades: int
     return keep
 
 
-def fit_matrix(at: np.ndarray, value: np.ndarray, ends: np.ndarray, grade: np.ndarray, grades: int, steps: int = 300, rate: float = 0.05, decay: float = 1e-3) -> Model:
+def fit_matrix(at: np.ndarray, value: np.ndarray, ends: np.ndarray, grade: np.ndarray, grades: int, steps: int = 300, rate: float = 0.05, decay: float = 2e-4) -> Model:
     """Maximum likelihood with a weight decay; thresholds as a first one and positive steps, so they stay in order."""
     begins, n = np.concatenate([[0], ends[:-1]]), len(ends)
     owner = np.repeat(np.arange(n), ends - begins)
