@@ -34,3 +34,33 @@ def clr_clipped(composition: DataFrame) -> DataFrame:
     least = composition.agg(F.min(F.when(F.col("proportion") > 0, F.col("proportion"))).alias("m"))
     clipped = composition.join(F.broadcast(least)).withColumn("l", F.log(F.least(F.greatest("proportion", "m"), 1 - F.col("m"))))
     return clipped.select("unit", "celltype", (F.col("l") - F.avg("l").over(Window.partitionBy("unit"))).alias("clr"))
+
+
+def align_features(counts: DataFrame, n_cells: int, method: str = "zscore") -> DataFrame:
+    """cell_id, feature_id, value, zero_value: each feature brought to one scale, so that two modalities can be compared.
+
+    zscore: minus the mean, by the sample deviation (1 where it is 0); minmax: to [0, 1], constant features to 0; rank: the mean rank by n_cells.
+    Entries that are not stored count as zeros, and zero_value is what they become. Values must not be negative. Equal values of a feature are
+    counted before they are ranked.
+    """
+    if method == "rank":
+        same = counts.groupBy("feature_id", "value").agg(F.count("*").alias("n"))
+        stored = counts.groupBy("feature_id").agg(F.sum((F.col("value") > 0).cast("long")).alias("above"))
+        below = F.sum("n").over(Window.partitionBy("feature_id").orderBy("value").rowsBetween(Window.unboundedPreceding, -1))
+        zeros = F.lit(n_cells) - F.col("above")
+        ranked = same.where("value > 0").withColumn("below", F.coalesce(below, F.lit(0))).join(stored, "feature_id")
+        ranked = ranked.select("feature_id", "value", ((zeros + F.col("below") + (F.col("n") + 1) / 2.0) / n_cells).alias("r"))
+        out = counts.join(ranked, ["feature_id", "value"], "left").join(stored, "feature_id")
+        zero = (zeros + 1) / 2.0 / n_cells
+        return out.select("cell_id", "feature_id", F.coalesce("r", zero).alias("value"), zero.alias("zero_value"))
+    n = F.lit(float(n_cells))
+    moments = counts.groupBy("feature_id").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"), F.max("value").alias("hi"), F.min("value").alias("lo"), F.count("*").alias("stored"))
+    if method == "zscore":
+        variance = F.greatest((F.col("ss") - F.col("s") * F.col("s") / n) / F.greatest(n - 1, F.lit(1.0)), F.lit(0.0))
+        scale = moments.select("feature_id", (F.col("s") / n).alias("shift"), F.when(variance > 0, F.sqrt(variance)).otherwise(1.0).alias("by"))
+    elif method == "minmax":
+        least = F.when(F.col("stored") < n, F.least("lo", F.lit(0.0))).otherwise(F.col("lo"))
+        scale = moments.select("feature_id", least.alias("shift"), F.when(F.col("hi") > least, F.col("hi") - least).otherwise(1.0).alias("by"))
+    else:
+        raise ValueError(f"no alignment is called {method}")
+    return counts.join(scale, "feature_id").select("cell_id", "feature_id", ((F.col("value") - F.col("shift")) / F.col("by")).alias("value"), (-F.col("shift") / F.col("by")).alias("zero_value"))

@@ -791,3 +791,108 @@ def stratified_subsample(spark, d):
 @query("SELECT 'c_custkey' AS \"column\", 'bigint' AS type, count(*) AS n, count(*) - count(c_custkey) AS nulls, count(DISTINCT c_custkey) AS \"distinct\" FROM customer UNION ALL SELECT 'c_name', 'string', count(*), count(*) - count(c_name), count(DISTINCT c_name) FROM customer UNION ALL SELECT 'c_nationkey', 'int', count(*), count(*) - count(c_nationkey), count(DISTINCT c_nationkey) FROM customer UNION ALL SELECT 'c_acctbal', 'double', count(*), count(*) - count(c_acctbal), count(DISTINCT c_acctbal) FROM customer UNION ALL SELECT 'c_mktsegment', 'string', count(*), count(*) - count(c_mktsegment), count(DISTINCT c_mktsegment) FROM customer")
 def table_profile(spark, d):
     return tables.profile(tables.read_table(spark, d, "customer"))
+
+
+# Feature identifiers, feature filters and alignment of modalities
+
+
+def mixed_ids(spark, d):
+    return tables.read_table(spark, d, "part").select(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("ENSG"), F.lpad(F.col("p_partkey").cast("string"), 11, "0"))).otherwise(F.col("p_name")).alias("feature_id"))
+
+
+@query("SELECT round(avg((p_partkey % 2 = 0)::INT), 6) AS share, 'mixed' AS kind FROM part")
+def identifier_kind(spark, d):
+    return r6(joins.identifier_kind(mixed_ids(spark, d), C.is_ensembl), "share")
+
+
+MAPPED = "f AS (SELECT DISTINCT 'g' || (l_partkey % 200)::VARCHAR AS feature_id FROM lineitem), m AS (SELECT 'G' || p_partkey::VARCHAR AS symbol, min('E' || (p_partkey % 70)::VARCHAR) AS gene_id FROM part WHERE p_partkey % 3 > 0 GROUP BY 1), r AS (SELECT feature_id, gene_id, row_number() OVER (PARTITION BY gene_id ORDER BY feature_id) AS k FROM f JOIN m ON upper(feature_id) = symbol)"
+
+
+def gene_map(spark, d):
+    features = tables.read_table(spark, d, "lineitem").select(F.concat(F.lit("g"), (F.col("l_partkey") % 200).cast("string")).alias("feature_id")).distinct()
+    mapping = tables.read_table(spark, d, "part").where("p_partkey % 3 > 0").select(F.concat(F.lit("G"), F.col("p_partkey").cast("string")).alias("symbol"), F.concat(F.lit("E"), (F.col("p_partkey") % 70).cast("string")).alias("gene_id"))
+    return features, mapping
+
+
+@query(f"WITH {MAPPED} SELECT feature_id, gene_id FROM r WHERE k = 1")
+def map_genes_first(spark, d):
+    return joins.map_genes(*gene_map(spark, d), policy="first")
+
+
+@query(f"WITH {MAPPED} SELECT feature_id, CASE WHEN k > 1 THEN gene_id || '-' || (k - 1)::VARCHAR ELSE gene_id END AS gene_id FROM r")
+def map_genes_suffix(spark, d):
+    return joins.map_genes(*gene_map(spark, d), policy="suffix")
+
+
+@query("SELECT name, CASE WHEN name LIKE '1-URGENT - %' THEN 'urgent' || substr(name, 9) WHEN name LIKE '5-LOW - %' THEN 'low' || substr(name, 6) ELSE name END AS renamed FROM (SELECT DISTINCT CASE WHEN o_orderkey % 50 = 0 THEN 'bare' ELSE o_orderpriority || ' - ' || o_orderstatus END AS name FROM orders)")
+def relabel_features(spark, d):
+    o = tables.read_table(spark, d, "orders")
+    names = o.select(F.when(F.col("o_orderkey") % 50 == 0, "bare").otherwise(F.concat_ws(" - ", "o_orderpriority", "o_orderstatus")).alias("name")).distinct()
+    return names.withColumn("renamed", C.relabel_feature(F.col("name"), {"1-URGENT": "urgent", "5-LOW": "low"}))
+
+
+@query(f"WITH {D.UNITS}, k AS (SELECT i FROM units GROUP BY 1 HAVING var_samp(x) >= 0.001) SELECT unit, i::INT AS feature_id, round(x, 6) AS value FROM units WHERE i IN (SELECT i FROM k)")
+def varying_features(spark, d):
+    values = D.unit_vectors(spark, d).select("unit", F.posexplode("v").alias("p", "value")).select("unit", (F.col("p") + 1).alias("feature_id"), "value")
+    return r6(qc.varying_features(values, 0.001), "value")
+
+
+@query(f"WITH {D.COUNTS}, {D.CELLS} SELECT DISTINCT celltype, feature_id FROM counts JOIN cells USING (cell_id) WHERE value >= 50")
+def nonzero_features(spark, d):
+    counts = D.counts(spark, d).withColumn("value", F.when(F.col("value") >= 50, F.col("value")).otherwise(0.0))
+    return qc.nonzero_features(counts.join(D.cells(spark, d).select("cell_id", "celltype"), "cell_id"))
+
+
+@query(f"WITH {D.CELLS} SELECT nation AS sample, count(*) AS n FROM cells WHERE nation IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) GROUP BY 1")
+def batch_subset(spark, d):
+    listed = tables.read_table(spark, d, "nation").select(F.col("n_nationkey").alias("sample"), F.col("n_regionkey").cast("string").alias("batch"))
+    cells = D.cells(spark, d).select("cell_id", F.col("nation").alias("sample"))
+    return qc.batch_subset(cells, listed, "1").groupBy("sample").agg(F.count("*").alias("n"))
+
+
+@query("WITH r AS (SELECT o_orderpriority AS celltype, (o_orderkey * 37 % 1000 + 1) / 1001.0::DOUBLE AS p FROM orders), g AS (SELECT celltype, sum((p < 0.05)::INT)::BIGINT AS n_significant, min(p) AS least FROM r GROUP BY 1) SELECT celltype, n_significant, round(least, 6) AS least, row_number() OVER (ORDER BY n_significant DESC, least, celltype)::INT AS rank FROM g")
+def significance_order(spark, d):
+    results = tables.read_table(spark, d, "orders").select(F.col("o_orderpriority").alias("celltype"), ((F.col("o_orderkey") * 37 % 1000 + 1) / F.lit(1001.0)).alias("p"))
+    return r6(features.significance_order(results), "least")
+
+
+@query(f"WITH {KNN}, s AS (SELECT query, i, avg(x) AS y FROM knn JOIN long ON long.vec_id = neighbour WHERE i <= 8 GROUP BY 1, 2) SELECT s.i::INT AS feature_id, count(*) AS n, round(corr(x, y), 6) AS r FROM s JOIN long ON long.vec_id = query AND long.i = s.i GROUP BY 1")
+def knn_smoothed_correlation(spark, d):
+    v = D.vectors(spark, d)
+    values = v.select(F.col("vec_id").alias("cell_id"), F.posexplode(F.slice("embedding", 1, 8)).alias("p", "x")).select("cell_id", (F.col("p") + 1).alias("feature_id"), F.col("x").cast("double").alias("value"))
+    own = values.select(F.col("cell_id").alias("query"), "feature_id", F.col("value").alias("x"))
+    both = neighbours.smooth(knn(spark, d), values).join(own, ["query", "feature_id"])
+    return r6(both.groupBy("feature_id").agg(F.count("*").alias("n"), F.corr("x", "value").alias("r")), "r")
+
+
+LOGGED = D.COUNTS + ", tot AS (SELECT cell_id, sum(value) AS t FROM counts GROUP BY 1), v AS (SELECT cell_id, feature_id, ln(1 + value * 1e4 / t) AS value FROM counts JOIN tot USING (cell_id)), nc AS (SELECT count(*) AS n FROM tot)"
+
+
+def aligned(spark, d, method):
+    counts = D.counts(spark, d)
+    n = counts.agg(F.countDistinct("cell_id")).first()[0]
+    return r6(normalize.align_features(normalize.log1p_total(counts), n, method), "value", "zero_value")
+
+
+@query(f"WITH {LOGGED}, m AS (SELECT feature_id, sum(value) / max(n) AS mean, sqrt((sum(value * value) - sum(value) * sum(value) / max(n)) / (max(n) - 1)) AS sd FROM v, nc GROUP BY 1) SELECT cell_id, feature_id, round((value - mean) / sd, 6) AS value, round(-mean / sd, 6) AS zero_value FROM v JOIN m USING (feature_id)")
+def align_zscore(spark, d):
+    return aligned(spark, d, "zscore")
+
+
+@query(f"WITH {LOGGED}, m AS (SELECT feature_id, max(value) AS hi FROM v GROUP BY 1) SELECT cell_id, feature_id, round(value / hi, 6) AS value, 0.0::DOUBLE AS zero_value FROM v JOIN m USING (feature_id)")
+def align_minmax(spark, d):
+    return aligned(spark, d, "minmax")
+
+
+@query(f"WITH {D.COUNTS}, nc AS (SELECT count(DISTINCT cell_id) AS n FROM counts), r AS (SELECT cell_id, feature_id, rank() OVER (PARTITION BY feature_id ORDER BY value) + (count(*) OVER (PARTITION BY feature_id, value) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY feature_id) AS c FROM counts) SELECT cell_id, feature_id, round((n - c + r) / n, 6)::DOUBLE AS value, round((n - c + 1) / 2.0 / n, 6)::DOUBLE AS zero_value FROM r, nc")
+def align_rank(spark, d):
+    counts = D.counts(spark, d)
+    n = counts.agg(F.countDistinct("cell_id")).first()[0]
+    return r6(normalize.align_features(counts, n, "rank"), "value", "zero_value")
+
+
+@query()
+def combat_units(spark, d):
+    rows = D.unit_vectors(spark, d).orderBy("unit").collect()
+    y = stats.combat(np.array([r["v"] for r in rows]), [r["unit"] % 3 for r in rows])
+    return spark.createDataFrame([(r["unit"], [round(float(v), 6) for v in x]) for r, x in zip(rows, y, strict=True)], "unit long, v array<double>")

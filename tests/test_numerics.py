@@ -8,7 +8,7 @@ import pytest
 
 from tessella.functions import special
 from tessella.functions.columns import block_weights
-from tessella.operators import clusters, distance, embedding, features, stats, trajectory, tuning
+from tessella.operators import clusters, distance, embedding, features, normalize, stats, trajectory, tuning
 
 RNG = np.random.default_rng(3)
 
@@ -130,3 +130,28 @@ def test_searches_find_the_peak():
 def test_local_fit_follows_a_parabola():
     x = np.linspace(0, 1, 50)
     assert np.allclose(features.local_fit(x, x * x, 0.4), x * x, atol=1e-8)
+
+
+def test_aligned_features_against_dense(spark):
+    dense = RNG.integers(0, 4, (12, 5)).astype(float)
+    dense[:, 3], dense[:, 4] = 2.0, 0.0  # constant; never stored
+    stored = spark.createDataFrame([(i, j, float(dense[i, j])) for i in range(12) for j in range(5) if dense[i, j]], "cell_id long, feature_id long, value double")
+
+    def ranks(x):
+        return np.array([(x < v).sum() + ((x == v).sum() + 1) / 2 for v in x]) / len(x)
+
+    whole = {
+        "zscore": lambda x: (x - x.mean()) / (x.std(ddof=1) or 1.0),
+        "minmax": lambda x: (x - x.min()) / ((x.max() - x.min()) or 1.0),
+        "rank": ranks,
+    }
+    for method, f in whole.items():
+        rows = normalize.align_features(stored, 12, method).collect()
+        assert len(rows) == int((dense > 0).sum())
+        for r in rows:
+            want = f(dense[:, r["feature_id"]])
+            assert r["value"] == pytest.approx(want[r["cell_id"]], abs=1e-9)
+            for i in np.flatnonzero(dense[:, r["feature_id"]] == 0):
+                assert r["zero_value"] == pytest.approx(want[i], abs=1e-9)
+    with pytest.raises(ValueError):
+        normalize.align_features(stored, 12, "other")
