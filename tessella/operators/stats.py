@@ -209,6 +209,32 @@ def feature_spearman(left: DataFrame, right: DataFrame, feature: str, other: str
     return r.groupBy(feature).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho")).where(F.col("n") >= least)
 
 
+def random_partners(entities: DataFrame, entity: str, rounds: int, seed: int = 42, per_bucket: int = 1000) -> DataFrame:
+    """round, entity, partner: in each round every entity gets another one, and none is given twice.
+
+    Entities fall into buckets of about per_bucket by a seeded hash and are passed on in a ring inside them, so no window holds them all.
+    An entity alone in its bucket has no partner in that round.
+    """
+    one = entities.select(entity).where(F.col(entity).isNotNull()).distinct()
+    buckets = max(1, one.count() // per_bucket)
+    drawn = one.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("__h", F.xxhash64(entity, "round", F.lit(seed)))
+    ring = Window.partitionBy("round", F.pmod("__h", F.lit(buckets))).orderBy(F.xxhash64("__h", F.lit(seed)), entity)
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    paired = drawn.withColumn("partner", F.coalesce(F.lead(entity).over(ring), F.first(entity).over(whole)))
+    return paired.where(F.col("partner") != F.col(entity)).select("round", entity, "partner")
+
+
+def pair_baseline(left: DataFrame, right: DataFrame, entity: str, other: str, rounds: int = 5, least: int = 3, seed: int = 42) -> DataFrame:
+    """round, n, mean_r: mean correlation of an entity's two sides (round -1) and of sides of entities paired at random."""
+    partners = random_partners(left.select(entity).join(right.select(entity), entity, "left_semi"), entity, rounds, seed)
+    pair = F.struct("round", entity).alias("pair")
+    a = partners.join(left, entity).select(pair, other, "value")
+    b = partners.join(right.withColumnRenamed(entity, "partner"), "partner").select(pair, other, "value")
+    mean = [F.count("r").alias("n"), F.avg("r").alias("mean_r")]
+    drawn = entity_pearson(a, b, "pair", other, least).groupBy(F.col("pair.round").alias("round")).agg(*mean)
+    return entity_pearson(left, right, entity, other, least).agg(*mean).select(F.lit(-1).alias("round"), "n", "mean_r").unionByName(drawn)
+
+
 def bootstrap_mean(values: np.ndarray, rounds: int = 2000, alpha: float = 0.05, seed: int = 42) -> tuple[float, float, float]:
     rng = np.random.default_rng(seed)
     means = np.array([rng.choice(values, len(values)).mean() for _ in range(rounds)])

@@ -896,3 +896,27 @@ def combat_units(spark, d):
     rows = D.unit_vectors(spark, d).orderBy("unit").collect()
     y = stats.combat(np.array([r["v"] for r in rows]), [r["unit"] % 3 for r in rows])
     return spark.createDataFrame([(r["unit"], [round(float(v), 6) for v in x]) for r, x in zip(rows, y, strict=True)], "unit long, v array<double>")
+
+
+@query()
+def random_pair_baseline(spark, d):
+    return r6(stats.pair_baseline(*halves(spark, d), "e", "f"), "mean_r")
+
+
+ASSOCIATION = "WITH r AS (SELECT o_orderpriority AS variable, o_orderstatus AS component, regr_r2(o_totalprice, (o_orderkey % 97)::DOUBLE) AS r2 FROM orders GROUP BY 1, 2)"
+
+
+@query(f"{ASSOCIATION} SELECT variable, component, round(r2, 6) AS r2, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY variable ORDER BY r2 DESC, component) AS rank FROM r) WHERE rank <= 2")
+def best_components(spark, d):
+    o = tables.read_table(spark, d, "orders")
+    r2 = o.groupBy(F.col("o_orderpriority").alias("variable"), F.col("o_orderstatus").alias("component")).agg(F.pow(F.corr("o_totalprice", (F.col("o_orderkey") % 97).cast("double")), 2).alias("r2"))
+    return r6(tuning.best_components(r2), "r2")
+
+
+@query()
+def ablation_variants(spark, d):
+    """Mean squared coordinate of the units under each variant of the embedding."""
+    rows = D.unit_vectors(spark, d).orderBy("unit").collect()
+    x = np.array([r["v"] for r in rows])
+    made = tuning.ablations([x[:, :32], x[:, 32:]], [1.0, 0.6], [r["unit"] % 3 for r in rows], 5)
+    return spark.createDataFrame([(name, len(z), round(float((z**2).mean()), 6)) for name, z in made.items()], "variant string, n long, mean_square double")

@@ -155,3 +155,19 @@ def test_aligned_features_against_dense(spark):
                 assert r["zero_value"] == pytest.approx(want[i], abs=1e-9)
     with pytest.raises(ValueError):
         normalize.align_features(stored, 12, "other")
+
+
+def test_random_partners(spark):
+    entities = spark.range(300).withColumnRenamed("id", "e").union(spark.range(300))
+    rows = stats.random_partners(entities, "e", 3, per_bucket=40).collect()
+    for k in range(3):
+        mine = [(r["e"], r["partner"]) for r in rows if r["round"] == k]
+        assert all(a != b for a, b in mine) and len({a for a, _ in mine}) == len({b for _, b in mine}) == len(mine) > 290
+    assert sorted(map(tuple, stats.random_partners(entities, "e", 3, per_bucket=40).collect())) == sorted(map(tuple, rows))
+
+
+def test_pair_baseline_tells_pairs_from_chance(spark):
+    x = RNG.random((40, 30))
+    side = lambda noise: spark.createDataFrame([(i, j, float(x[i, j] + noise * RNG.random())) for i in range(40) for j in range(30)], "e long, f long, value double")
+    got = {r["round"]: r["mean_r"] for r in stats.pair_baseline(side(0.2), side(0.2), "e", "f").collect()}
+    assert sorted(got) == [-1, 0, 1, 2, 3, 4] and got[-1] > 0.8 and all(abs(got[k]) < 0.3 for k in range(5))
