@@ -6,8 +6,9 @@ Every filter is an aggregate and a semi join; the aggregates combine on the map
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -66,30 +67,82 @@ def imbalance(cells: DataFrame, cluster: str, modality: str, least: float = 0.05
     return grid.groupBy(cluster).agg(F.min(F.coalesce(F.col("n"), F.lit(0)) / F.col("size") / F.col("expected")).alias("balance")).withColumn("kept", F.col("balance") >= least)
 
 
-def doublet_scores(counts: DataFrame, sample: DataFrame, n_simulated: float = 2.0, k: int = 10, max_cells: int = 5000, seed: int = 42) -> DataFrame:
+def doublet_scores(counts: DataFrame, sample: DataFrame, n_simulated: float = 2.0, k: int = 10, seed: int = 42, block: int = 1024) -> DataFrame:
     """cell_id, score: per sample, the share of simulated sums of two cells among a cell's k nearest, on log-normalised features.
 
-    A sample is one group by its meaning; one of more than max_cells cells is refused rather than cut.
+    Every cell of a sample meets all its cells and simulated doublets, in products of blocks, so a sample may be of any size. Equal distances
+    (to 9 places) go to the real cell first, then by place, so the scores don't depend on the blocks.
     """
-    big = sample.groupBy("sample").agg(F.count("*").alias("n")).where(F.col("n") > max_cells).limit(1).collect()
-    if big:
-        raise ValueError(f"sample {big[0]['sample']} has over {max_cells} cells; split it first")
-
-    def score(group: pd.DataFrame) -> pd.DataFrame:
-        cells, feats = group["cell_id"].astype("category"), group["feature_id"].astype("category")
-        x = np.zeros((len(cells.cat.categories), len(feats.cat.categories)))
-        np.add.at(x, (cells.cat.codes, feats.cat.codes), group["value"])
-        rng = np.random.default_rng(seed)
-        pairs = rng.integers(0, len(x), (max(1, int(n_simulated * len(x))), 2))
-        both = np.concatenate([x, x[pairs[:, 0]] + x[pairs[:, 1]]])
-        both = np.log1p(1e4 * both / np.maximum(both.sum(1, keepdims=True), 1e-12))
-        d = (both**2).sum(1)[None, :] - 2 * both[: len(x)] @ both.T
-        d[np.arange(len(x)), np.arange(len(x))] = np.inf
-        near = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(both) - 1)]
-        return pd.DataFrame({"cell_id": cells.cat.categories, "score": (near >= len(x)).mean(axis=1)})
-
-    joined = counts.join(sample.select("cell_id", "sample"), "cell_id").select("sample", F.col("cell_id").cast("string").alias("cell_id"), "feature_id", F.col("value").cast("double"))
-    return joined.groupBy("sample").applyInPandas(score, "cell_id string, score double")
+    long = counts.join(sample.select("cell_id", "sample"), "cell_id").groupBy("sample", F.col("cell_id").cast("string").alias("cell_id"), F.xxhash64("feature_id").alias("f")).agg(F.sum(F.col("value").cast("double")).alias("v"))
+    cells = long.groupBy("sample", "cell_id").agg(F.collect_list(F.struct("f", "v")).alias("x"))
+    at = Window.partitionBy("sample").orderBy("cell_id")
+    ids = cells.select("sample", "cell_id").withColumn("at", F.row_number().over(at).cast("long") - 1)
+    size = ids.groupBy("sample").agg(F.count("*").alias("n"))
+    cells = cells.join(ids, ["sample", "cell_id"])
+    # Cell number i makes the doublets from floor(i r) up to floor((i + 1) r); a sample has one at least.
+    low, high = (F.floor((F.col("at") + i) * F.lit(float(n_simulated))) for i in (0, 1))
+    high = F.when((F.col("at") == 0) & (F.floor(F.col("n") * F.lit(float(n_simulated))) < 1), F.lit(1).cast("long")).otherwise(high)
+    made = ids.join(size, "sample").where(high > low).select("sample", "n", F.explode(F.sequence(low, high - 1)).alias("j"))
+    draw = lambda side: F.pmod(F.xxhash64(F.lit(seed), F.lit(side), "sample", "j"), F.col("n"))
+    half = lambda side: cells.select("sample", F.col("at").alias(side), F.col("x").alias(f"x_{side}"))
+    pairs = made.select("sample", (F.col("n") + F.col("j")).alias("id"), draw("a").alias("a"), draw("b").alias("b")).join(half("a"), ["sample", "a"]).join(half("b"), ["sample", "b"])
+    pool = cells.select("sample", F.col("at").alias("id"), F.lit(False).alias("simulated"), "x").unionByName(pairs.select("sample", "id", F.lit(True).alias("simulated"), F.concat("x_a", "x_b").alias("x")))
+
+    def packed(df: DataFrame, name: str) -> DataFrame:
+        number = F.floor(F.col("id") / block).alias(f"k_{name}")
+        return df.groupBy("sample", number).agg(F.collect_list(F.struct("id", "simulated", "x")).alias(name))
+
+    known = pool.groupBy("sample").agg(F.max(F.floor(F.col("id") / block)).alias("last"))
+    q = packed(pool.where("not simulated"), "q").join(known, "sample").withColumn("k_p", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+    # A batch of 10,000 rows of blocks would not fit beside the heap.
+    counts.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    # As many partitions as the session has for shuffles: the blocks are small, the work on them isn't.
+    met = q.join(packed(pool, "p"), ["sample", "k_p"]).repartition(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sample", "k_q", "k_p")
+
+    def rows(cells: pa.Array):
+        """Of one block: ids, simulated, and row, feature, value of its log-normalised entries."""
+        ids, simulated, x = (cells.field(i) for i in range(3))
+        ids, inner = ids.to_numpy(), x.flatten()
+        row = np.argsort(np.argsort(ids))[np.repeat(np.arange(len(ids)), pc.list_value_length(x).to_numpy())]
+        names, column = np.unique(inner.field(0).to_numpy(), return_inverse=True)
+        entry, which = np.unique(row * len(names) + column, return_inverse=True)
+        value, row = np.bincount(which, inner.field(1).to_numpy()), entry // len(names)
+        value = np.log1p(1e4 * value / np.maximum(np.bincount(row, value, len(ids)), 1e-12)[row])
+        order = np.argsort(ids)
+        return ids[order], simulated.to_numpy(zero_copy_only=False)[order], row, names[entry % len(names)], value
+
+    def dense(row: np.ndarray, feature: np.ndarray, value: np.ndarray, features: np.ndarray, n: int) -> np.ndarray:
+        out, column = np.zeros((n, len(features))), np.minimum(np.searchsorted(features, feature), len(features) - 1)
+        has = features[column] == feature
+        out[row[has], column[has]] = value[has]
+        return out
+
+    def best(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                (qi, _, *x), (pi, simulated, *y) = rows(one.column("q").flatten()), rows(one.column("p").flatten())
+                d = np.bincount(x[0], x[2] ** 2, len(qi))[:, None] + np.bincount(y[0], y[2] ** 2, len(pi))[None, :]
+                shared = np.intersect1d(x[1], y[1])
+                for at in range(0, len(shared), 4096):
+                    some = shared[at : at + 4096]
+                    d -= 2 * dense(*x, some, len(qi)) @ dense(*y, some, len(pi)).T
+                d = np.round(d, 9)
+                d[qi[:, None] == pi[None, :]] = np.inf
+                take = min(k, len(pi))
+                cut = np.partition(d, take - 1, axis=1)[:, take - 1]
+                row, col = np.nonzero((d <= cut[:, None]) & np.isfinite(d))
+                order = np.lexsort((col, d[row, col], row))
+                row, col = row[order], col[order]
+                first = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, col = row[first], col[first]
+                yield pa.RecordBatch.from_arrays([pa.array([one.column("sample")[0].as_py()] * len(row), pa.string()), pa.array(qi[row]), pa.array(pi[col]), pa.array(simulated[col]), pa.array(d[row, col])], ["sample", "at", "id", "simulated", "d"])
+
+    part = met.select(F.col("sample").cast("string").alias("sample"), "q", "p").mapInArrow(best, "sample string, at long, id long, simulated boolean, d double")
+    order = Window.partitionBy("sample", "at").orderBy("d", "id")
+    near = part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    score = near.groupBy("sample", "at").agg(F.avg(F.col("simulated").cast("double")).alias("score"))
+    return ids.withColumn("sample", F.col("sample").cast("string")).join(score, ["sample", "at"]).select("cell_id", "score")
 
 
 def sample_level_columns(cells: DataFrame, sample: str, columns: list[str]) -> DataFrame:

@@ -172,8 +172,7 @@ def modality_imbalance_filter(spark, d):
 
 @query()
 def doublet_scores(spark, d):
-    some = D.cells(spark, d).where("cell_id % 20 = 0").select("cell_id", F.col("nation").cast("string").alias("sample"))
-    return qc.doublet_scores(D.counts(spark, d).join(some.select("cell_id"), "cell_id", "left_semi"), some)
+    return qc.doublet_scores(D.counts(spark, d), D.cells(spark, d).select("cell_id", F.col("nation").cast("string").alias("sample")))
 
 
 @query("SELECT * FROM (SELECT 'c_nationkey' AS \"column\", max(n) <= 1 AS sample_level FROM (SELECT count(DISTINCT c_nationkey) AS n FROM customer GROUP BY c_custkey) UNION ALL SELECT 'c_acctbal', max(n) <= 1 FROM (SELECT count(DISTINCT c_acctbal) AS n FROM customer GROUP BY c_nationkey)) t")

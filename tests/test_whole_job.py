@@ -4,6 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from tessella.operators import qc
 from tessella.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +36,20 @@ def test_activity_takes_every_cell(spark, name):
     got = QUERIES[name](spark, SF).toPandas()
     same(got, uncut(name, ("WHERE l_orderkey % 50 = 0", "")), ["cell_id", "gene"])
     assert (got["cell_id"] % 50 != 0).any()
+
+
+def test_doublets_score_every_cell(spark):
+    cells = duckdb.connect().execute(f"select distinct o_orderkey from '{SF}/orders.parquet' join '{SF}/customer.parquet' on o_custkey = c_custkey join '{SF}/lineitem.parquet' on l_orderkey = o_orderkey").df()
+    got = QUERIES["doublet_scores"](spark, SF).toPandas()
+    assert sorted(got["cell_id"].astype(int)) == sorted(cells["o_orderkey"]) and got["score"].between(0, 1).all()
+
+
+def test_doublets_are_found_whatever_the_blocks(spark):
+    rng = np.random.default_rng(1)
+    rows = [(c, f"f{f}", float(v)) for c in range(60) for f, v in zip(rng.permutation(12)[:5] + 12 * (c % 2), rng.integers(1, 9, 5), strict=True)]
+    rows += [(100 + c, f"f{f}", float(rng.integers(1, 9))) for c in range(3) for f in (1, 2, 3, 4, 13, 14, 15, 16)]
+    counts = spark.createDataFrame(rows, "cell_id long, feature_id string, value double")
+    sample = counts.select("cell_id").distinct().selectExpr("cell_id", "'s' as sample")
+    one, many = ({r["cell_id"]: r["score"] for r in qc.doublet_scores(counts, sample, block=b).collect()} for b in (1024, 7))
+    assert one == many and len(one) == 63
+    assert np.mean([one[str(100 + c)] for c in range(3)]) > np.mean([one[str(c)] for c in range(60)])
