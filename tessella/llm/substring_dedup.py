@@ -1,9 +1,14 @@
-"""Repeated lines or paragraphs, removed but for their earliest occurrence.
+"""Repeated lines or paragraphs, then repeated passages of any place, removed but for their earliest occurrence.
 
 Units are normalised (lower case, runs of white space to one blank, ends trimmed), digested, and the digests grouped over the whole
 corpus. A unit's occurrences are ranked by doc_id, then by place in the text; the first stays and the rest go, with their offsets in
 the original text kept. Only digests, ids and places are shuffled by digest; texts meet their spans once, by id.
 
+What the units leave is searched for passages: runs of at least `passage` words (lower case, parted by white space) that a lesser id has too, or that the
+same row has before without overlap. Winnowing keeps one in some of the shorter runs, by content, so that every run of `passage` words has one that its
+other occurrences keep as well; only round those that recur, all runs of `passage` words are digested and grouped. A word goes if any such run that
+recurs covers it.
+
 Defined cases: a null or empty text has no units and is returned as it is; units of fewer than min_words words always stay; rows that
 share an id rank equally, and a unit's occurrences in the least id's rows are removed only after the first within each row; rows without an id
 rank last, equally; an empty table gives an empty table. Internal columns start with __, others pass through untouched.
@@ -11,14 +16,24 @@ rank last, equally; an empty table gives an empty table. Internal columns start
 
 from __future__ import annotations
 
+import hashlib
+import re
+from functools import cached_property
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import WORD, materialize, rows, small_batches
 
 #: What parts units, as a literal pattern.
 SEPARATORS = {"line": "\n", "paragraph": "\n\n"}
 LAST = (1 << 63) - 1
+#: Words of the runs that winnowing chooses from.
+RUN = 20
+find_words, each_word = re.compile(WORD).findall, re.compile(WORD).finditer
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 def units(docs: DataFrame, unit: str = "line", min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -41,22 +56,148 @@ def repeats(docs: DataFrame, unit: str = "line", min_words: int = 5, id_col: str
     return inside.join(common, "digest").select("__id", "__h", own.alias("at")).where(F.size("at") > 0).groupBy("__id", "__h").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("gone"))
 
 
-def deduplicate(docs: DataFrame, unit: str = "line", min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows with text_col rewritten, plus removed: array<struct<start, end>>, the removed units' offsets in the original text."""
-    spans = repeats(docs, unit, min_words, id_col, text_col).withColumnsRenamed({"__id": "__id2", "__h": "__h2"})
-    text = F.col(text_col).cast("string")
-    keyed = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "__h": F.xxhash64(text)})
-    joined = keyed.join(spans, (F.col("__id") == F.col("__id2")) & (F.col("__h") == F.col("__h2")), "left")
-    sep = SEPARATORS[unit]
-    parts = F.split(text, sep)
-    start = lambda p: F.when(p == 0, 0).otherwise(F.length(F.array_join(F.slice("__parts", 1, p), sep)) + len(sep)).cast("int")
-    removed = F.transform("gone", lambda p: F.struct(start(p).alias("start"), (start(p) + F.length(F.element_at("__parts", p + 1))).cast("int").alias("end")))
-    kept = F.array_join(F.filter("__parts", lambda _, i: ~F.array_contains("gone", i)), sep)
-    out = joined.withColumn("__parts", F.when(F.col("gone").isNotNull(), parts)).withColumns({
-        "__text": F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(kept),
-        "__removed": F.coalesce(removed, F.array().cast("array<struct<start:int,end:int>>")),
-    })
-    return out.select(*[F.col("__text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.col("__removed").alias("removed"))
+class Words:
+    """The words of the parts of a text that are left, their offsets in the text, and digests of runs of them."""
+
+    known: dict[str, int] = {}
+
+    def __init__(self, text: str | None, gone: list[int] | None, sep: str):
+        out, taken = set(gone or ()), 0
+        #: Start, text, whether the part is out.
+        self.parts = []
+        for i, part in enumerate((text or "").split(sep)):
+            self.parts.append((taken, part, i in out))
+            taken += len(part) + len(sep)
+
+    @cached_property
+    def codes(self) -> np.ndarray:
+        get, code = self.known.get, self.code
+        return np.array([get(w) or code(w) for _, part, out in self.parts if not out for w in find_words(part.lower())], np.uint64)
+
+    @cached_property
+    def spans(self) -> list[tuple[int, int]]:
+        return [(at + m.start(), at + m.end()) for at, part, out in self.parts if not out for m in each_word(part)]
+
+    @classmethod
+    def code(cls, word: str) -> int:
+        if (found := cls.known.get(word)) is None:
+            if len(cls.known) > 500_000:
+                cls.known.clear()
+            found = cls.known[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return found
+
+    def runs(self, n: int, base: int) -> np.ndarray:
+        """A 64-bit digest of each run of n words."""
+        if len(self.codes) < n:
+            return np.zeros(0, np.uint64)
+        inverse = np.uint64(pow(base, -1, 1 << 64))
+        up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(self.codes), np.uint64(base))]).astype(np.uint64), dtype=np.uint64)
+        down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(self.codes), inverse)]).astype(np.uint64), dtype=np.uint64)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.codes * up[:-1], dtype=np.uint64)])
+        h = (total[n:] - total[:-n]) * down[: len(self.codes) - n + 1]
+        return (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+
+    def chosen(self, passage: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and digests of the chosen runs: the least of any passage - RUN + 1 that follow one another."""
+        h, wide = self.runs(RUN, BASES[0]), passage - RUN + 1
+        if len(h) < wide:
+            return np.zeros(0, np.int64), h[:0]
+        at = np.unique(np.lib.stride_tricks.sliding_window_view(h, wide).argmin(axis=1) + np.arange(len(h) - wide + 1))
+        return at, h[at]
+
+
+def _texts(marked: DataFrame, text_col: str, *more: str) -> DataFrame:
+    return marked.select("__id", "__h", F.col(text_col).cast("string").alias("text"), "__gone", *more)
+
+
+def passages(marked: DataFrame, text_col: str, sep: str, passage: int) -> DataFrame:
+    """__id, __h, __starts: the words (counted in what the units leave) at which runs of `passage` words begin that go."""
+
+    def choose(batches):
+        for batch in rows(batches, 1 << 19):
+            each = [Words(t, g, sep).chosen(passage) for t, g in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            n = [len(at) for at, _ in each]
+            index = pa.array(np.repeat(np.arange(len(n)), n))
+            at, h = (np.concatenate([e[i] for e in each]) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64))], ["__id", "__h", "pos", "run"])
+
+    def around(batches):
+        for batch in rows(batches, 1 << 17):
+            ids, pos, digests = [], [], []
+            for i, (t, g, at) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True)):
+                words = Words(t, g, sep)
+                one, two = (words.runs(passage, b) for b in BASES)
+                start = np.unique(np.array(at)[:, None] - np.arange(passage - RUN + 1)[None, :])
+                start = start[(start >= 0) & (start < len(one))]
+                ids.append(np.full(len(start), i))
+                pos.append(start)
+                digests.append(np.stack([one[start], two[start]], axis=1))
+            index, both = pa.array(np.concatenate(ids)), np.concatenate(digests).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), pa.array(np.concatenate(pos).astype(np.int32)), pa.array(both[:, 0]), pa.array(both[:, 1])], ["__id", "__h", "pos", "d1", "d2"])
+
+    found = materialize(_texts(marked, text_col).mapInArrow(choose, "__id long, __h long, pos int, run long"), "runs")
+    again = materialize(found.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run"), "again")
+    places = found.join(again, "run").groupBy("__id", "__h").agg(F.collect_set("pos").alias("__at"))
+    whole = materialize(_texts(marked, text_col).join(places, ["__id", "__h"]).mapInArrow(around, "__id long, __h long, pos int, d1 long, d2 long"), "whole")
+    inside = materialize(whole.groupBy("__id", "__h", "d1", "d2").agg(F.array_sort(F.collect_set("pos")).alias("at")), "inside")
+    common = materialize(inside.groupBy("d1", "d2").agg(F.min("__id").alias("first"), F.count("*").alias("n"), F.max(F.size("at")).alias("most")).where("n > 1 or most > 1").select("d1", "d2", "first"), "common")
+    later = F.filter("at", lambda p: p >= F.element_at("at", 1) + passage)
+    own = F.when(F.col("__id") == F.col("first"), later).otherwise(F.col("at"))
+    return inside.join(common, ["d1", "d2"]).select("__id", "__h", own.alias("at")).where(F.size("at") > 0).groupBy("__id", "__h").agg(F.flatten(F.collect_list("at")).alias("__starts"))
+
+
+def _left(text: str | None, gone: list[int] | None, starts: list[int] | None, sep: str, passage: int) -> tuple[str | None, list[dict]]:
+    """The text without the units and passages that go, and their offsets in order; a passage is cut where a unit ends."""
+    if text is None or not (gone or starts):
+        return text, []
+    words = Words(text, gone, sep)
+    goes = np.zeros(len(words.spans) + 1 if starts else 1, np.int64)
+    for s in starts or ():
+        goes[s] += 1
+        goes[s + passage] -= 1
+    at = np.flatnonzero(np.cumsum(goes)[:-1] > 0)
+    kept, removed, k = [], [], 0
+    for begin, part, out in words.parts:
+        end = begin + len(part)
+        if out:
+            removed.append({"start": begin, "end": end})
+            continue
+        cuts = []
+        while k < len(at) and words.spans[at[k]][0] < end:
+            first, last = words.spans[at[k]]
+            if cuts and at[k] == at[k - 1] + 1:
+                cuts[-1][1] = last
+            else:
+                cuts.append([first, last])
+            k += 1
+        edges = [begin, *(x for c in cuts for x in c), end]
+        kept.append("".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+        removed += [{"start": a, "end": b} for a, b in cuts]
+    return sep.join(kept), removed
+
+
+def deduplicate(docs: DataFrame, unit: str = "line", min_words: int = 5, id_col: str = "doc_id", text_col: str = "text", passage: int = 50) -> DataFrame:
+    """The rows with text_col rewritten, plus removed: array<struct<start, end>>, the removed units' and passages' offsets in the original text."""
+    if passage < RUN:
+        raise ValueError(f"a passage has {RUN} words at least")
+    small_batches(docs.sparkSession)
+    spans = repeats(docs, unit, min_words, id_col, text_col).withColumnsRenamed({"__id": "__id2", "__h": "__h2", "gone": "__gone"})
+    text, sep = F.col(text_col).cast("string"), SEPARATORS[unit]
+    keyed = docs.withColumns({text_col: text, "__id": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "__h": F.xxhash64(text)})
+    marked = materialize(keyed.join(spans, (F.col("__id") == F.col("__id2")) & (F.col("__h") == F.col("__h2")), "left").drop("__id2", "__h2"), "marked")
+    starts = passages(marked, text_col, sep, passage).withColumnsRenamed({"__id": "__id2", "__h": "__h2"})
+    joined = marked.join(starts, (F.col("__id") == F.col("__id2")) & (F.col("__h") == F.col("__h2")), "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__gone", "__starts")
+    at, kind = docs.columns.index(text_col), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def cut(batches):
+        for batch in rows(batches, 1 << 19):
+            texts, gone, first = (batch.column(c).to_pylist() for c in (at, batch.num_columns - 2, batch.num_columns - 1))
+            done = [_left(t, g, f, sep, passage) for t, g, f in zip(texts, gone, first, strict=True)]
+            columns = batch.columns[:-2]
+            columns[at] = pa.array([t for t, _ in done], batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([r for _, r in done], kind)], [*batch.schema.names[:-2], "removed"])
+
+    return joined.mapInArrow(cut, marked.select(*[F.col(f"`{c}`") for c in docs.columns]).withColumn("removed", F.array().cast("array<struct<start:int,end:int>>")).schema)
 
 
 def report(docs: DataFrame, **options) -> DataFrame:

@@ -4,6 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from tessella.llm import substring_dedup
 from tessella.operators import qc
 from tessella.plans.catalog import ORACLES, QUERIES
 
@@ -53,3 +54,15 @@ def test_doublets_are_found_whatever_the_blocks(spark):
     one, many = ({r["cell_id"]: r["score"] for r in qc.doublet_scores(counts, sample, block=b).collect()} for b in (1024, 7))
     assert one == many and len(one) == 63
     assert np.mean([one[str(100 + c)] for c in range(3)]) > np.mean([one[str(c)] for c in range(60)])
+
+
+def test_passages_in_differing_lines_go(spark):
+    rng = np.random.default_rng(2)
+    text = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**9, n))
+    passage, near = text(56), text(49)
+    wrapped = passage.upper().replace(" ", "\n", 9)
+    rows = [(1, f"{text(30)} {passage} {text(9)}"), (2, f"{text(3)} {passage} {text(40)}"), (3, f"{text(8)}\n{wrapped} {text(5)}"), (4, f"{text(9)} {near} {text(9)}"), (5, f"{text(7)} {near} {text(2)}"), (6, "same " * 90), (7, None)]
+    out = {r["doc_id"]: r for r in substring_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    left = {i: (r["text"] or "").lower().split() for i, r in out.items()}
+    assert all(out[i]["text"] == dict(rows)[i] and out[i]["n_removed"] == 0 for i in (1, 4, 5, 6, 7))
+    assert [len(left[i]) for i in (2, 3)] == [43, 13] and not set(passage.split()) & set(left[2] + left[3])
