@@ -2,7 +2,7 @@
 
 Texts become normalised TF-IDF vectors of hashed letter 1- to 3-grams (of whole texts). Each language has several centroids,
 found by spherical k-means over a bounded sample of labelled documents; the nearest by cosine gives the language, and a text
-that is farther from all of them than any usual training text is rejected.
+that is farther from all of them than usual texts held back from the fit are is rejected.
 
 Parameters that bound the fit: max_docs labelled texts in all, at most per_language of one language; nothing else is sampled.
 Defined cases: a null text or one without a letter gives `und`, score 0, rejected; without labelled documents every text does;
@@ -89,10 +89,11 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centers
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", clusters: int = 4, per_language: int = 300, max_docs: int = 3000, slack: float = 0.3) -> Model:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", clusters: int = 4, per_language: int = 300, max_docs: int = 3000, quantile: float = 0.01, margin: float = 0.6) -> Model:
     """Learn from a bounded sample, chosen by a hash of the id: at most per_language texts each and max_docs in all.
 
-    floor: slack times the smallest cosine that a training text of the language has; nearer texts are never rejected.
+    Every fourth text of a language is held back from the centroids. floor: margin times that quantile of the held-back texts' cosines (of
+    the training texts' where none is held back); nearer texts are never rejected.
     """
     spark = labelled.sparkSession
     small_batches(spark)
@@ -120,10 +121,15 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     counts = np.zeros((len(found), SIZE), np.float32)
     for row, (_, at, n) in zip(counts, found, strict=True):
         row[np.frombuffer(at, "<u2")] = np.frombuffer(n, "<u4")
-    idf = (np.log((1 + len(found)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    x, of = vectors(counts, idf), np.array([languages.index(r[0]) for r in found], int)
+    of = np.array([languages.index(r[0]) for r in found], int)
+    # found is sorted by language, so this counts within each.
+    back = (np.arange(len(of)) - np.searchsorted(of, of)) % 4 == 3
+    held, held_of, counts, of = counts[back], of[back], counts[~back], of[~back]
+    idf = (np.log((1 + len(of)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
+    x, y = vectors(counts, idf), vectors(held, idf)
     groups = [cluster(x[of == k], clusters) for k in range(len(languages))]
-    floor = np.array([slack * float((x[of == k] @ g.T).max(axis=1).min()) for k, g in enumerate(groups)])
+    judged = [y[held_of == k] if (held_of == k).any() else x[of == k] for k in range(len(groups))]
+    floor = np.array([margin * float(np.quantile((v @ g.T).max(axis=1), quantile)) for v, g in zip(judged, groups, strict=True)])
     return Model(languages, idf, np.concatenate(groups).astype(np.float32) if groups else np.zeros((0, SIZE)), np.repeat(np.arange(len(groups)), [len(g) for g in groups]), floor)
 
 
