@@ -187,11 +187,19 @@ def reduce_units(values: DataFrame, batches: dict | None, components: int = 10,
     return spark.createDataFrame([(u, [float(v) for v in row]) for u, row in zip(units, z, strict=True)], ["unit", "pc"])
 
 
-def sample_embedding(cells: DataFrame, unit: str, celltype: str, vector: str, id_col: str, batch: str | None = None, k_medium: int = 8, k_fine: int = 16, alpha: float = 0.6, components: int = 10, method: str = "harmony", seed: int = 42) -> DataFrame:
-    """The flagship: hard composition, two soft compositions, displacement; stacked, reduced, corrected."""
+def sample_embedding(cells: DataFrame, unit: str, celltype: str, vector: str, id_col: str, batch: str | None = None, k_medium: int | None = None, k_fine: int | None = None, alpha: float = 0.6, components: int = 10, method: str = "harmony", seed: int = 42) -> DataFrame:
+    """The flagship: hard composition, two soft compositions, displacement; stacked, reduced, corrected.
+
+    Anchors follow the number of cells n unless given: min(120, max(2, n // 200)) and min(300, max(2, n // 100)).
+    """
     from ..functions.columns import block_weights
     from .compose import composition, majority
 
+    if k_medium is None or k_fine is None:
+        n = cells.count()
+        k_medium = min(120, max(2, n // 200)) if k_medium is None else k_medium
+        k_fine = min(300, max(2, n // 100)) if k_fine is None else k_fine
+
     hard = composition(cells, unit, celltype).select("unit", F.col("celltype").cast("string").alias("feature"), F.col("proportion").alias("value"))
     soft = [soft_composition(cells, kmeans_anchors(cells, vector, k, seed + i), unit, vector, id_col).select("unit", F.col("anchor").cast("string").alias("feature"), F.col("share").alias("value")) for i, k in enumerate((k_medium, k_fine))]
     moved = displacement(cells.withColumn("__all", F.lit(1)), unit, "__all", celltype, vector).select("unit", F.concat_ws(":", "celltype", "dim").alias("feature"), "value")

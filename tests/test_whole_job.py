@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from tessella.llm import language_id, substring_dedup
-from tessella.operators import qc
+from tessella.operators import embedding, qc
 from tessella.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -84,3 +84,13 @@ def test_other_languages_and_noise_are_rejected(spark):
     assert model.predict(letters + others + [base64.b64encode(rng.randbytes(400)).decode() for _ in range(10)])[2].all()
     kept = language_id.predict(docs, model).join(docs, "doc_id").where(language_id.held_out()).where("length(text) >= 100 and lang is not null").collect()
     assert np.mean([not r["rejected"] for r in kept]) > 0.995
+
+
+def test_anchors_follow_the_cells(spark, monkeypatch):
+    asked, fit = [], embedding.kmeans_anchors
+    monkeypatch.setattr(embedding, "kmeans_anchors", lambda cells, vector, k, seed: asked.append(k) or fit(cells, vector, min(k, 3), seed, 1))
+    cells = spark.range(2400).selectExpr("id as vec_id", "id % 4 as unit", "id % 3 as label", "array(double(id % 7), double(id % 11)) as v")
+    embedding.sample_embedding(cells, "unit", "label", "v", "vec_id")
+    embedding.sample_embedding(cells, "unit", "label", "v", "vec_id", k_fine=5)
+    embedding.sample_embedding(cells.where("vec_id < 100"), "unit", "label", "v", "vec_id")
+    assert asked == [12, 24, 12, 5, 2, 2]
