@@ -15,14 +15,14 @@ from tessella.plans.catalog import ORACLES, QUERIES
 SF = "/root/testdata/sf0.001"
 
 
-def uncut(name, *cuts):
+def uncut(name, *cuts, folder=SF):
     """The rows of the query's SQL after the given texts in it are replaced."""
     sql = ORACLES[name]
     for old, new in cuts:
         sql = sql.replace(old, new)
     con = duckdb.connect()
     for t in ("lineitem", "part", "supplier", "embeddings"):
-        con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
+        con.execute(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet')")
     return con.execute(sql).df()
 
 
@@ -94,3 +94,10 @@ def test_anchors_follow_the_cells(spark, monkeypatch):
     embedding.sample_embedding(cells, "unit", "label", "v", "vec_id", k_fine=5)
     embedding.sample_embedding(cells.where("vec_id < 100"), "unit", "label", "v", "vec_id")
     assert asked == [12, 24, 12, 5, 2, 2]
+
+
+def test_gene_ids_meet_all_parts(spark):
+    folder = "/root/testdata/sf0.01"
+    got = QUERIES["gene_id_intersection"](spark, folder).toPandas()
+    same(got, uncut("gene_id_intersection", ("WHERE p_partkey < 200", ""), folder=folder), ["gene"])
+    assert len(got) > 200
