@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 
 
 def local_fit(x: np.ndarray, y: np.ndarray, span: float) -> np.ndarray:
-    """Local quadratic regression with tricube weights."""
+    """Local quadratic regression with tricube weights; x ascends, so the nearest points are a window that moves up."""
     n = len(x)
     k = min(n, max(4, int(np.ceil(span * n))))
-    out = np.empty(n)
+    out, low = np.empty(n), 0
     for i in range(n):
-        d = np.abs(x - x[i])
-        near = np.argpartition(d, k - 1)[:k]
-        h = d[near].max() or 1.0
-        w = np.sqrt(np.clip(1 - (d[near] / h) ** 3, 0, 1) ** 3)
+        while low + k < n and x[low + k] - x[i] < x[i] - x[low]:
+            low += 1
+        near = slice(low, low + k)
+        d = np.abs(x[near] - x[i])
+        h = d.max() or 1.0
+        w = np.sqrt(np.clip(1 - (d / h) ** 3, 0, 1) ** 3)
         a = np.vander(x[near] - x[i], 3, increasing=True)
         beta, *_ = np.linalg.lstsq(a * w[:, None], y[near] * w, rcond=None)
         out[i] = beta[0]
@@ -24,19 +26,19 @@ def local_fit(x: np.ndarray, y: np.ndarray, span: float) -> np.ndarray:
 
 
 def variable_by_standardised(counts: DataFrame, n_cells: int, top: int, span: float = 0.3) -> DataFrame:
-    """feature_id, variance (of clipped standardised counts), rank <= top. The mean-variance curve is fitted on a row per feature, as is
-    usual, on at most 4,000 evenly placed features; the clipped second moment is an aggregate over all counts."""
+    """feature_id, variance (of clipped standardised counts), rank <= top. The mean-variance curve is fitted at the driver on a row
+    per feature, all features; the clipped second moment is an aggregate over all counts."""
     spark = counts.sparkSession
     m = counts.groupBy("feature_id").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
     mean = F.col("s") / n_cells
     var = (F.col("q") - n_cells * mean * mean) / max(1, n_cells - 1)
     stats = m.select("feature_id", mean.alias("mean"), var.alias("var"))
     usable = stats.where("var > 0 and mean > 0").select(F.log10("mean").alias("x"), F.log10("var").alias("y"))
-    points = usable.orderBy(F.xxhash64("x", "y")).limit(4000).collect()
+    points = usable.collect()
     if not points:
         return spark.createDataFrame([], "feature_id string, variance double, rank int")
     x, y = np.array([p[0] for p in points]), np.array([p[1] for p in points])
-    order = np.argsort(x)
+    order = np.lexsort((y, x))
     x, y = x[order], y[order]
     for s in (span, 0.5, 0.8, 1.0):
         fitted = local_fit(x, y, s)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from tessella.llm import language_id, substring_dedup
-from tessella.operators import embedding, qc
+from tessella.operators import embedding, features, qc
 from tessella.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -101,3 +101,31 @@ def test_gene_ids_meet_all_parts(spark):
     got = QUERIES["gene_id_intersection"](spark, folder).toPandas()
     same(got, uncut("gene_id_intersection", ("WHERE p_partkey < 200", ""), folder=folder), ["gene"])
     assert len(got) > 200
+
+
+def plain_fit(x, y, span):
+    k, out = max(4, int(np.ceil(span * len(x)))), []
+    for at in x:
+        d = np.abs(x - at)
+        near = np.argsort(d, kind="stable")[:k]
+        w = np.sqrt((1 - np.minimum(d[near] / d[near].max(), 1) ** 3) ** 3)
+        a = np.vander(x[near] - at, 3, increasing=True)
+        out.append(np.linalg.lstsq(a * w[:, None], y[near] * w, rcond=None)[0][0])
+    return np.array(out)
+
+
+def test_the_variance_curve_takes_every_feature(spark):
+    rng = np.random.default_rng(3)
+    n, m = 12, 4300
+    x = np.round(rng.gamma(2, np.exp(rng.normal(0, 1, m)), (n, m)) + 0.01, 3)
+    counts = spark.createDataFrame([(int(c), f"f{f}", float(x[c, f])) for c in range(n) for f in range(m)], "cell_id long, feature_id string, value double")
+    mean, var = x.mean(0), x.var(0, ddof=1)
+    order = np.lexsort((np.log10(var), np.log10(mean)))
+    sd = np.empty(m)
+    sd[order] = 10 ** (plain_fit(np.log10(mean)[order], np.log10(var)[order], 0.3) / 2)
+    z = np.minimum((x - mean) / sd, np.sqrt(n)).var(0, ddof=1)
+    got = features.variable_by_standardised(counts, n, m).collect()
+    assert len(got) == m
+    # Features with the very same mean share one point of the curve.
+    once = {f"f{f}" for f in range(m) if (np.abs(mean - mean[f]) < 1e-9).sum() == 1}
+    assert len(once) > m / 2 and all(abs(r["variance"] - z[int(r["feature_id"][1:])]) < 1e-7 for r in got if r["feature_id"] in once)
