@@ -391,7 +391,7 @@ def block_frobenius_stack(spark, d):
 
 @query(f"WITH {D.LONG} SELECT vec_id AS unit, i AS feature, round(x - avg(x) OVER (PARTITION BY unit % 4, i), 6) AS value FROM long WHERE i <= 8")
 def linear_batch_removal(spark, d):
-    long = D.vectors(spark, d).select(F.col("vec_id").alias("unit"), (F.col("unit") % 4).alias("batch"), F.posexplode(F.slice("embedding", 1, 8)).alias("feature", "x"))
+    long = D.vectors(spark, d).select(F.col("vec_id").alias("unit"), (F.col("unit") % 4).alias("batch"), F.posexplode("embedding").alias("feature", "x"))
     out = embedding.remove_batch(long.select("unit", "batch", (F.col("feature") + 1).cast("long").alias("feature"), F.col("x").cast("double").alias("value")), "batch")
     return r6(out.drop("batch"), "value")
 
@@ -858,7 +858,7 @@ def significance_order(spark, d):
 @query(f"WITH {KNN}, s AS (SELECT query, i, avg(x) AS y FROM knn JOIN long ON long.vec_id = neighbour WHERE i <= 8 GROUP BY 1, 2) SELECT s.i::INT AS feature_id, count(*) AS n, round(corr(x, y), 6) AS r FROM s JOIN long ON long.vec_id = query AND long.i = s.i GROUP BY 1")
 def knn_smoothed_correlation(spark, d):
     v = D.vectors(spark, d)
-    values = v.select(F.col("vec_id").alias("cell_id"), F.posexplode(F.slice("embedding", 1, 8)).alias("p", "x")).select("cell_id", (F.col("p") + 1).alias("feature_id"), F.col("x").cast("double").alias("value"))
+    values = v.select(F.col("vec_id").alias("cell_id"), F.posexplode("embedding").alias("p", "x")).select("cell_id", (F.col("p") + 1).alias("feature_id"), F.col("x").cast("double").alias("value"))
     own = values.select(F.col("cell_id").alias("query"), "feature_id", F.col("value").alias("x"))
     both = neighbours.smooth(knn(spark, d), values).join(own, ["query", "feature_id"])
     return r6(both.groupBy("feature_id").agg(F.count("*").alias("n"), F.corr("x", "value").alias("r")), "r")

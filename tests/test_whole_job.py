@@ -129,3 +129,10 @@ def test_the_variance_curve_takes_every_feature(spark):
     # Features with the very same mean share one point of the curve.
     once = {f"f{f}" for f in range(m) if (np.abs(mean - mean[f]) < 1e-9).sum() == 1}
     assert len(once) > m / 2 and all(abs(r["variance"] - z[int(r["feature_id"][1:])]) < 1e-7 for r in got if r["feature_id"] in once)
+
+
+@pytest.mark.parametrize(("name", "keys"), [("linear_batch_removal", ["unit", "feature"]), ("knn_smoothed_correlation", ["feature_id"])])
+def test_every_coordinate_is_a_feature(spark, name, keys):
+    got = QUERIES[name](spark, SF).toPandas()
+    same(got, uncut(name, ("WHERE i <= 8", "")), keys)
+    assert got[keys[-1]].nunique() == 64
