@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: The white space of the text contracts; everything else belongs to a word.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = " \t\n\r\x0b\x0c"
+#: Bytes of a written table's file, about: what adaptive execution aims at too where it is on.
+FILE = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,13 +32,25 @@ def scratch(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df below the shared folder and read it back: this cuts its lineage, and a lost executor costs a re-read only."""
+def materialize(df: DataFrame, name: str, like: DataFrame | None = None) -> DataFrame:
+    """Write df below the shared folder and read it back: this cuts its lineage, and a lost executor costs a re-read only.
+
+    like: a table that df is not much larger than; df then has a file for every FILE bytes of it at most, however many partitions it came in.
+    """
+    if like is not None:
+        df = df.coalesce(max(6, min(200_000, input_bytes(like) // FILE)))
     path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def file_system(path: str):
+    """pyarrow's file system of a path or URI of the shared folder, and the path in it."""
+    from pyarrow.fs import FileSystem, LocalFileSystem
+
+    return (LocalFileSystem(), path) if path.startswith("/") else FileSystem.from_uri(path)
+
+
 def drop(df: DataFrame) -> None:
     """Delete a materialized table that nothing will read again."""
     jvm = df.sparkSession._jvm

@@ -38,6 +38,15 @@ def test_the_order_of_the_cascade_changes_no_verdict():
     assert cheap == [quality_rules.RULES[1], quality_rules.RULES[2], quality_rules.RULES[0]] or cheap[0] == quality_rules.RULES[1]
 
 
+def test_costs_and_rejections_are_measured_behind_the_base_rules(spark):
+    plain = [(i, f"{' '.join(f'word{k}of{i}' for k in range(60))}") for i in range(40)]
+    loud = [(None, f"{' '.join(f'WORD{k}OF{i}' for k in range(60))}") for i in range(10)]
+    short = [(None, f"#$ ## {i}") for i in range(300)]
+    measures = quality_rules.measure_rules(frame(spark, plain + loud + short), quality_rules.RULES, 10_000, "doc_id", "text")
+    assert [m[0] for m in measures] == [50] * 6 and [m[1] for m in measures] == [0, 10, 0, 0, 0, 0] and all(m[2] > 0 for m in measures)
+    assert quality_rules.cascade(quality_rules.RULES, measures)[0] == quality_rules.RULES[1]
+
+
 def test_language_id(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.fit(docs.where(~language_id.held_out()))
@@ -72,38 +81,122 @@ def test_grades_in_order(spark):
     assert grade_model.score(frame(spark, []), model).count() == 0
 
 
-def plain_dedup(rows, least=5):
-    norm = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", x.lower()).strip(" ")
+def plain_dedup(rows, passage=50, sep="\n"):
+    word = re.compile(r"[^\x20\x09-\x0D]+")
     last = 1 << 63
+    rank = [last if i is None else i for i, _ in rows]
+    lines: list = [None] * len(rows)
+    for n, (_, t) in enumerate(rows):
+        at, lines[n] = 0, []
+        for x in (t or "").split(sep):
+            lines[n].append((x, [y.lower() for y in word.findall(x)], at))
+            at += len(x) + len(sep)
     first = {}
-    for i, t in rows:
-        for x in (t or "").split("\n"):
-            first[norm(x)] = min(first.get(norm(x), last), last - 1 if i is None else i)
+    for r, ls in zip(rank, lines, strict=True):
+        for _, w, _ in ls:
+            if w:
+                first[tuple(w)] = min(first.get(tuple(w), last), r)
     out = []
-    for i, t in rows:
-        seen, keep, spans, at = set(), [], [], 0
-        for x in (t or "").split("\n"):
-            n = norm(x)
-            if n and n.count(" ") >= least - 1 and ((last - 1 if i is None else i) > first[n] or n in seen):
-                spans.append(f"{at}-{at + len(x)}")
+    for r, ls in zip(rank, lines, strict=True):
+        seen, group, gone = set(), [], set()
+        for k, (_, w, _) in enumerate([*ls, ("", ["end of all"], 0)]):
+            if not w:
+                continue
+            if k < len(ls) and (r > first[tuple(w)] or tuple(w) in seen):
+                group.append(k)
             else:
-                keep.append(x)
-            seen.add(n)
-            at += len(x) + 1
-        out.append((i, t if not spans else "\n".join(keep), len(spans), ",".join(spans)))
-    return Counter(out)
+                if sum(len(ls[g][1]) for g in group) >= passage:
+                    gone |= set(group)
+                group = []
+            seen.add(tuple(w))
+        out.append(gone)
+    windows, own = {}, []
+    for r, ls, gone in zip(rank, lines, out, strict=True):
+        ws = [(x, k) for k, (_, w, _) in enumerate(ls) for x in w]
+        mine = {}
+        for p in range(len(ws) - passage + 1):
+            if any(k not in gone for _, k in ws[p : p + passage]):
+                mine.setdefault(tuple(x for x, _ in ws[p : p + passage]), []).append(p)
+        for h in mine:
+            windows[h] = min(windows.get(h, last), r)
+        own.append(mine)
+    done = []
+    for (i, t), r, ls, gone, mine in zip(rows, rank, lines, out, own, strict=True):
+        goes = {q for h, ps in mine.items() for p in ps if r > windows[h] or p >= ps[0] + passage for q in range(p, p + passage)}
+        kept, spans, q = [], [], 0
+        for k, (x, w, at) in enumerate(ls):
+            if k in gone:
+                spans.append((at, at + len(x)))
+                q += len(w)
+                continue
+            left, cuts = 0, []
+            for m in word.finditer(x):
+                if q in goes:
+                    if cuts and cuts[-1][2] == q - 1:
+                        cuts[-1][1:] = [m.end(), q]
+                    else:
+                        cuts.append([m.start(), m.end(), q])
+                q += 1
+            piece = ""
+            for a, b, _ in cuts:
+                piece, left = piece + x[left:a], b
+            kept.append(piece + x[left:])
+            spans += [(at + a, at + b) for a, b, _ in cuts]
+        done.append((i, t if t is None else sep.join(kept), len(spans), ",".join(f"{a}-{b}" for a, b in spans)))
+    return Counter(done)
+
+
+def passage_rows():
+    """Passages in lines, across lines, inside differing lines, within one text, in copies, overlapping, short ones, odd ones."""
+    say = lambda n, seed: [f"{'Äb' if (k * seed) % 5 == 0 else 'w'}{(k * 7 + seed * 131) % 997}" for k in range(n)]
+    long = " ".join(say(70, 1))
+    three = "\n".join(" ".join(say(20, s)) for s in (2, 3, 4))
+    short = "this  line has Six words\there"
+    wide = " ".join(say(140, 5))
+    return [
+        *ODD, (20, f"{short}\nother\n{short.upper()}"), (10, f"é é\n{short} "), (None, short), (12, "a b c d\na b c d"),
+        (30, f"own start {long} own end"), (31, f"Another beginning {long.upper()}\n and more"), (32, f"{long}"), (None, f"x {long} y"), (None, f"x {long} y"),
+        (40, f"{three}\n"), (41, f"head\n{three}\ntail"), (42, f"{three}"), (43, " ".join(say(20, 2)) + "\n\n \n" + " ".join(say(20, 3)) + "\nx\n" + " ".join(say(20, 4))), (44, f"a {three.replace(chr(10), ' ')} b"), (44, f"c {three} d"),
+        (50, f"{wide} middle {wide}"), (51, f"one\ttwo\r\n{wide} three {long}"), (52, " ".join(say(49, 5))), (53, "q " + " ".join(say(50, 5)) + " q"), (54, "same " * 130), (55, "same " * 60), (56, ("r s t u v w x y z \n" * 30)),
+        (60, f"{wide}\n{three}\n{long}"), (61, "0 " + " ".join([*say(30, 2), *say(30, 3)])), (3, f"again {long}"), (3, f"again {long}"),
+    ]
 
 
 def test_substring_dedup(spark):
-    line = "this  line has Six words\there"
-    rows = [*ODD, (20, f"{line}\nother\n{line.upper()}"), (10, f"é é\n{line} "), (11, line), (None, line), (12, "a b c d\na b c d"), (12, f"x\n{line}"), (13, f"{line}\n{line}\n")]
+    rows = passage_rows()
     got = substring_dedup.report(frame(spark, rows)).collect()
     assert Counter(tuple(r) for r in got) == plain_dedup(rows)
-    done = substring_dedup.rewrite(frame(spark, rows).withColumnRenamed("kept", "removed_"))
-    assert done.columns == ["doc_id", "text", "removed_"] and done.count() == len(rows)
     assert substring_dedup.report(frame(spark, [])).count() == 0
 
 
+def test_substring_dedup_by_paragraph(spark):
+    rows = [(i, t and t.replace("\n", "\n\n" if i and i % 2 else "\n\n\n")) for i, t in passage_rows()]
+    got = substring_dedup.report(frame(spark, rows), unit="paragraph").collect()
+    assert Counter(tuple(r) for r in got) == plain_dedup(rows, sep="\n\n")
+
+
+def test_substring_dedup_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = plain_dedup([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert Counter(tuple(r) for r in substring_dedup.report(docs).collect()) == want
+
+
+def test_a_text_of_many_lines(spark):
+    lines = [f"line {i} of a text with very many lines says {i * i}" for i in range(50_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(lines[:40_000] + ["its own end"])), (3, " ".join(lines[100:200]))]
+    got = {r["doc_id"]: r for r in substring_dedup.report(frame(spark, rows)).collect()}
+    assert got[1]["text"] == rows[0][1] and got[2]["text"] == "its own end" and got[2]["n_removed"] == 40_000
+    assert got[3]["text"] == "" and got[3]["n_removed"] == 1
+
+
+def test_substring_dedup_keeps_columns_whatever_their_names(spark):
+    rows = passage_rows()
+    docs = frame(spark, rows).withColumnRenamed("kept", "removed").selectExpr("*", "length(text) as n_chars", "doc_id as begin", "1 as `from`")
+    done = substring_dedup.rewrite(docs)
+    assert done.columns == docs.columns and done.count() == len(rows) and {r["removed"] for r in done.collect()} == {"x"}
+    assert all(r["n_chars"] == len(r["text"]) for r in done.where("text is not null").collect())
+
+
 @pytest.mark.parametrize("unit", ["line", "paragraph"])
 def test_spans_are_those_of_the_original(spark, unit):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
