@@ -3,11 +3,13 @@
 One weight vector over hashed text features is shared by all grades; ordered thresholds part them: P(grade <= k) = s(threshold_k - x.w).
 The expected grade and the tail probability P(grade >= keep_from) come from that, and the tail selects.
 
-Grades of the labels table: 0 for low quality, 1 for toxic, 2 for good. Fit on at most max_labels labelled documents (whole texts), chosen by a
-hash of the id, by full-batch Adam on the driver; its size doesn't follow the data. Every document is scored.
+Grades of the labels table: 0 for low quality, 1 for toxic, 2 for good. Fit on at most max_labels rated rows (whole texts): the first max_labels
+ratings by a hash of the id, and of the different rows that they meet in documents the first max_labels by a hash of id and text, so that neither a label
+nor a document that stands there any number of times sends more than that to the driver. Full-batch Adam on the driver. Every document is scored.
 
-Defined cases: a null or empty text has the bias alone; a label without a document, or a document without a label, takes no part in the fit; a
-document labelled twice counts twice; with fewer than two grades among the labels every document gets that grade (or 2) with certainty.
+Defined cases: a null or empty text has the bias alone; a label without a document, or a document without a label, takes no part in the fit; rows that
+agree in id, text and grade count once, those that share only some of it one by one; ids that are rated are whole numbers; with fewer than
+two grades among the labels every document gets that grade (or 2) with certainty.
 """
 
 from __future__ import annotations
@@ -38,36 +40,41 @@ def _shape(word: str) -> str:
     return _MARK.sub(r"\1\1", plain)[:12]
 
 
-_known: dict[str, tuple[int, int]] = {}
+#: Letters of a word's beginning that is a feature of its own where the word goes on: what words of one stem have in common.
+STEM = 5
+_known: dict[str, tuple[int, int, int]] = {}
 
 
-def _places(word: str) -> tuple[int, int]:
-    """The places of a word's bare small form and of its outline."""
+def _places(word: str) -> tuple[int, int, int]:
+    """The places of a word's bare small form, of its outline and of its beginning (-1 for none)."""
     found = _known.get(word)
     if found is None:
         bare = word.strip(".,;:!?\"'()[]{}<>|#*$%&").lower()
-        found = (zlib.crc32(b"w" + bare.encode()) & (SIZE - 1), zlib.crc32(b"s" + _shape(word[:200]).encode()) & (SIZE - 1))
+        at = lambda kind, x: zlib.crc32(kind + x.encode()) & (SIZE - 1)
+        found = (at(b"w", bare), at(b"s", _shape(word[:200])), at(b"p", bare[:STEM]) if len(bare) > STEM else -1)
         if len(_known) < 300_000:
             _known[word] = found
     return found
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Places and values: each distinct word 1; each outline its share of the words times 8; share of repeated words and lines, a bias."""
+    """Places and values: each word and beginning the root of its share of the words (of 20 more than there are, times 20); each outline its share
+    times 8; share of repeated words and lines, a bias."""
     words = (text or "").split()
     n = max(1, len(words))
     seen = Counter(words)
     outlines: Counter = Counter()
-    bare = set()
+    bare: Counter = Counter()
     for word, times in seen.items():
-        w, s = _places(word)
-        bare.add(w)
+        w, s, p = _places(word)
+        bare[w] += times
         outlines[s] += times
+        if p >= 0:
+            bare[p] += times
     lines = (text or "").split("\n")
     extra = {0: 1.0, 1: 8 * (1 - len(set(lines)) / len(lines)), 2: 8 * sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, 3: 8 * max(0.0, 0.3 - len(seen) / n)}
-    at = [*bare, *outlines, *extra]
-    value = [1.0] * len(bare) + [8 * v / n for v in outlines.values()] + list(extra.values())
-    return np.array(at, np.int32), np.array(value, np.float32)
+    share = np.sqrt(np.fromiter(bare.values(), float, len(bare)) * (20 / (n + 20)))
+    return np.array([*bare, *outlines, *extra], np.int32), np.concatenate([share, [8 * v / n for v in outlines.values()], list(extra.values())]).astype(np.float32)
 
 
 @dataclass
@@ -139,7 +146,7 @@ def fit_matrix(at: np.ndarray, value: np.ndarray, ends: np.ndarray, grade: np.nd
 
 
 def fit(docs: DataFrame, rated: DataFrame, max_labels: int = 10_000, grades: int = 3, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """rated: doc_id and grade, from 0 on. Its first max_labels by a hash of the id are the sample."""
+    """rated: doc_id and grade, from 0 on."""
     spark = docs.sparkSession
     small_batches(spark)
     few = rated.where("doc_id is not null and grade is not null").orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit("grade")), "doc_id", "grade").limit(max_labels).collect()
@@ -147,14 +154,18 @@ def fit(docs: DataFrame, rated: DataFrame, max_labels: int = 10_000, grades: int
         sure = few[0]["grade"] if few else grades - 1
         return Model(np.zeros(SIZE, np.float32), np.array([-50.0 if k < sure else 50.0 for k in range(grades - 1)]))
     chosen = F.broadcast(spark.createDataFrame([(r["doc_id"], int(r["grade"])) for r in few], "doc_id long, grade int"))  # max_labels rows
-    sample = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(chosen, "doc_id").select("doc_id", "grade", "text")
+    sample = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(chosen, "doc_id").select("doc_id", "grade", "text", F.xxhash64("doc_id", "text").alias("draw"))
 
     def make(batches):
         for batch in rows(batches):
             found = [features(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.tobytes() for a, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())], ["doc_id", "grade", "at", "value"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.tobytes() for a, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary()), batch.column(3)], ["doc_id", "grade", "at", "value", "draw"])
 
-    got = sorted(tuple(r) for r in sample.mapInArrow(make, "doc_id long, grade int, at binary, value binary").collect())
+    made = sample.mapInArrow(make, "doc_id long, grade int, at binary, value binary, draw long")
+    got = sorted(tuple(r)[:4] for r in made.dropDuplicates(["doc_id", "grade", "draw"]).orderBy("draw", "doc_id", "grade").limit(max_labels).collect())
+    if len({r[1] for r in got}) < 2:
+        sure = got[0][1] if got else grades - 1
+        return Model(np.zeros(SIZE, np.float32), np.array([-50.0 if k < sure else 50.0 for k in range(grades - 1)]))
     at = np.frombuffer(b"".join(r[2] for r in got), np.int32)
     value = np.frombuffer(b"".join(r[3] for r in got), np.float32).astype(float)
     ends = np.cumsum([len(r[2]) // 4 for r in got])
