@@ -197,12 +197,13 @@ def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
     return nodes.select("fp").mapInArrow(send, "bucket int, fps binary").groupBy("bucket").applyInArrow(meet_table, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, like: DataFrame | None = None) -> DataFrame:
     """(node, root): of the nodes that have an edge, all but each component's least. Alternating star contraction.
 
-    Each half round sends every neighbour of a node to the least one, by an aggregate and a join; a written table cuts the lineage.
+    Each half round sends every neighbour of a node to the least one, by an aggregate and a join; a written table cuts the lineage. like: a
+    written table that the edges are not much larger than.
     """
-    edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges", like)
     seen = None
     while True:
         both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -210,7 +211,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionAll(least.select("a", F.col("m").alias("b"))).distinct()
-        after = materialize(small, "edges")
+        after = materialize(small, "edges", edges)
         now = tuple(after.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31)))).first())
         drop(edges)
         edges = after
@@ -221,14 +222,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_copies(docs: DataFrame, radius: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (the least id that links reach, its own included)."""
-    marked = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    marked = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints", docs)
+    nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes", marked)
     # Rows that share an id join their fingerprints' components too.
     shared = marked.groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y")
     same = marked.join(shared.select("doc_id", "x"), "doc_id").select(F.col("fp").alias("a"), F.col("x").alias("b"))
-    tree = components(links(nodes, radius).unionAll(same))
+    tree = components(links(nodes, radius).unionAll(same), nodes)
     rooted = nodes.join(tree, nodes.fp == tree.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    part = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    # Written, so that both sides of the joins below stand on plain exchanges, whose large partitions (a large component, a frequent fingerprint)
+    # Spark can split.
+    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least", nodes)
+    part = materialize(rooted.join(least, "root").select("fp", "component_id"), "parts", nodes)
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return marked.join(part, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
