@@ -1,14 +1,17 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Documents of a source queue in a shuffled order, epoch after epoch; each gets the virtual finish time `words of its source up to and
-with it / target of its source`. All are range-sorted by finish time, and the mix is what fits in the total budget from the start.
+with it / target of its source`. All are ranged by finish time into slots, and the mix is what fits in the total budget from the start: the slots
+before the one that the budget ends in, and of that one, sorted, what still fits.
 
 Targets: the sources, by code point with null last, weigh as `weights` repeating, and share budget_share times all words; none gets more
 than max_epochs times its words, and what exceeds that is reshared by weight until none is above. In closed form: sorted by limit / weight,
 a source is capped while its limit is at most its weight's part of what is left.
 
-Running sums are made in two levels: by cells of the shuffle key or of the finish time, whose number grows with the rows, then inside each
-cell. So no source, however large, and no sort is in one task. The order comes from md5 of the id, so reruns agree.
+Running sums are made in three levels: over pages of cells (of the shuffle key, or of slots of the finish time), over a page's cells, inside a cell.
+Cells and pages follow the number of rows, so no source, however large, and no sort is in one task, and what a single task sums grows with the rows
+divided by CELL * PAGE. The order comes from md5 of the id, so reruns agree; rows that agree in id, source and size (such as rows without an id) are
+numbered, and the number goes into the key, so that a frequent id is not one cell.
 
 Defined cases: a null text has size 0; a null source is a source; a source without words has target 0 and gives nothing; rows that share id, source
 and size are interchangeable; an empty table gives an empty table.
@@ -16,13 +19,16 @@ and size are interchangeable; an empty table gives an empty table.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, materialize
 
 WEIGHTS = (5, 2, 1)
-CELL = 1024
+#: Rows of a cell, and cells of a page, about; hexadecimal digits of the key that tell a page's cells apart.
+CELL, PAGE, PAGE_DIGITS = 1024, 4096, 3
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -46,21 +52,46 @@ def targets(sized: DataFrame, weights=WEIGHTS, budget_share: float = 1.5, max_ep
     return capped.select("source", "source_size", F.round(F.when(F.col("capped"), F.col("limit")).otherwise(F.col("w") * level), 6).alias("target"))
 
 
+def numbered(base: DataFrame) -> DataFrame:
+    """base (rid, doc_id, source, size) with nth: 0, 1, ... for rows that agree in all but rid. Counted per partition of the scan first, as one id may
+    have any number of rows."""
+    same = ["doc_id", "source", "size"]
+    each = base.withColumn("part", F.shiftright("rid", 33))
+    per = each.groupBy(*same, "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*same).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # Only what has fellows in other partitions of the scan needs their number.
+    offsets = per.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where("before > 0").select(*[F.col(c).alias(f"__{c}") for c in (*same, "part")], "before")
+    own = each.withColumn("own", F.row_number().over(Window.partitionBy(*same, "part").orderBy("rid")) - 1)
+    met = own.join(offsets, F.col("part").eqNullSafe(F.col("__part")) & F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size")), "left")
+    return met.select("rid", *same, (F.col("own") + F.coalesce("before", F.lit(0))).alias("nth"))
+
+
+def running(rows: DataFrame, within: list[str], page: str, cell: str, value: str) -> DataFrame:
+    """rows (one per cell) with base: the sum of value over the cells before, by page, then by cell; per value of within, nulls as one."""
+    pages = rows.groupBy(*within, page).agg(F.sum(value).alias("__v"))
+    w = Window.partitionBy(*within) if within else Window.partitionBy()
+    first = w.orderBy(page).rowsBetween(Window.unboundedPreceding, -1)
+    pages = pages.select(*[F.col(c).alias(f"__{c}") for c in (*within, page)], F.coalesce(F.sum("__v").over(first), F.lit(0)).alias("__before"))
+    met = rows.join(pages, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*within, page)]))
+    inner = Window.partitionBy(*within, page).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    return met.withColumn("base", F.col("__before") + F.coalesce(F.sum(value).over(inner), F.lit(0))).select(*rows.columns, "base")
+
+
 def schedule(sized: DataFrame, weights=WEIGHTS, budget_share: float = 1.5, max_epochs: int = 2, seed: int = 42) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words) of each row of sized."""
-    base = materialize(sized.withColumn("rid", F.monotonically_increasing_id()), "sized")
-    goal = materialize(targets(base, weights, budget_share, max_epochs), "targets")
+    """doc_id, source, size, source_size, target, taken (words), copies of each row of sized."""
+    base = materialize(numbered(materialize(sized.withColumn("rid", F.monotonically_increasing_id()), "rows", sized)), "sized", sized)
+    goal = materialize(targets(base, weights, budget_share, max_epochs), "targets", base)
     n, budget = base.count(), goal.agg(F.round(F.sum("target"), 3)).first()[0] or 0.0
     digits = 1
     while 16**digits * CELL < n:
         digits += 1
-    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("epoch").cast("string"), F.lit(str(seed))))
+    first = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("epoch").cast("string"), F.lit(str(seed)))
+    key = F.md5(F.when(F.col("nth") == 0, first).otherwise(F.concat_ws(":", first, F.col("size").cast("string"), F.col("nth").cast("string"))))
     epochs = F.explode(F.array(*[F.lit(e) for e in range(1, max_epochs + 1)]))
-    queue = base.select("rid", "doc_id", "source", "size", epochs.alias("epoch")).withColumn("key", key).withColumn("cell", F.substring("key", 1, digits))
-    # Words of the source before each cell; a source has no more cells than its rows / CELL, epochs apart.
-    cells = queue.groupBy("source", "epoch", "cell").agg(F.sum("size").alias("words"))
-    earlier = Window.partitionBy("source").orderBy("epoch", "cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select(F.col("source").alias("s"), F.col("epoch").alias("e"), F.col("cell").alias("c"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base"))
+    queue = base.select("rid", "doc_id", "source", "size", "nth", epochs.alias("epoch")).withColumn("key", key).withColumn("cell", F.substring("key", 1, digits))
+    # Words of the source before each cell; a page's cells share the digits before the last PAGE_DIGITS, and the epoch.
+    cells = queue.groupBy("source", "epoch", "cell").agg(F.sum("size").alias("words")).withColumn("page", F.concat(F.lpad(F.col("epoch").cast("string"), 6, "0"), F.substring("cell", 1, max(0, digits - PAGE_DIGITS))))
+    cells = running(cells, ["source"], "page", "cell", "words").select(F.col("source").alias("s"), F.col("epoch").alias("e"), F.col("cell").alias("c"), "base")
     aims = goal.where("target > 0").select(F.col("source").alias("s2"), "target")
     cells = cells.join(aims, F.col("s").eqNullSafe(F.col("s2"))).drop("s2")
     inside = Window.partitionBy("source", "epoch", "cell").orderBy("key", "doc_id", "size", "rid").rowsBetween(Window.unboundedPreceding, 0)
@@ -69,14 +100,15 @@ def schedule(sized: DataFrame, weights=WEIGHTS, budget_share: float = 1.5, max_e
     finished = both.select("rid", "doc_id", "source", "size", "epoch", "key", ((F.col("base") + F.col("run")) / F.col("target")).alias("finish"))
     # Beyond 4 times its target a source's queue can't be reached: all sources finish near 1.
     per_unit = max(1, 2 * n // CELL)
-    queued = materialize(finished.withColumn("slot", F.least(F.floor(F.col("finish") * per_unit), F.lit(4 * per_unit)).cast("long")), "queue")
-    slots = queued.groupBy("slot").agg(F.sum("size").alias("words")).withColumn("before", F.coalesce(F.sum("words").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    cut = slots.where((F.col("before") <= F.lit(budget)) & (F.col("before") + F.col("words") > F.lit(budget))).orderBy("slot").first()
+    queued = materialize(finished.withColumn("slot", F.least(F.floor(F.col("finish") * per_unit), F.lit(4 * per_unit)).cast("long")), "queue", base)
+    slots = queued.groupBy("slot").agg(F.sum("size").alias("words")).withColumn("page", F.floor(F.col("slot") / PAGE))
+    summed = running(slots, [], "page", "slot", "words")
+    cut = summed.where((F.col("base") <= F.lit(budget)) & (F.col("base") + F.col("words") > F.lit(budget))).agg(F.min_by(F.struct("slot", "base"), "slot").alias("cut")).first()["cut"]
     if cut is None:
         taken = queued
     else:
         order = Window.orderBy("finish", F.col("source").asc_nulls_last(), "epoch", "key", "doc_id", "size", "rid").rowsBetween(Window.unboundedPreceding, 0)
-        last = queued.where(F.col("slot") == cut["slot"]).withColumn("total", F.sum("size").over(order) + F.lit(cut["before"])).where(F.col("total") <= F.lit(budget)).drop("total")
+        last = queued.where(F.col("slot") == cut["slot"]).withColumn("total", F.sum("size").over(order) + F.lit(cut["base"])).where(F.col("total") <= F.lit(budget)).drop("total")
         taken = queued.where(F.col("slot") < cut["slot"]).unionByName(last)
     words = taken.groupBy("rid").agg(F.sum("size").alias("taken"), F.count("*").alias("copies"))
     out = base.join(words, "rid", "left").join(goal.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")))
@@ -88,12 +120,16 @@ def plan(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of documents, all columns, as often as the mix takes them. Rows that agree in id, source and size share one decision."""
-    decided = schedule(sizes(docs), **options).where("copies > 0").groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__s"), F.col("size").alias("__n")).agg(F.max("copies").cast("int").alias("__copies"))
+    """The rows of documents, all columns, as often as the mix takes them. Rows that agree in id, source and size get what the mix takes of them all
+    in even shares; where that is no whole number, a hash of the text says which get one more."""
+    decided = schedule(sizes(docs), **options).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__s"), F.col("size").alias("__n")).agg(F.avg("copies").alias("__copies")).where("__copies > 0")
+    decided = materialize(decided, "decided", docs)
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     keyed = docs.withColumn("__size", size)
     both = keyed.join(decided, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__n")))
-    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    draw = F.pmod(F.xxhash64("text", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
+    times = (F.floor("__copies") + (draw < F.col("__copies") - F.floor("__copies")).cast("int")).cast("int")
+    return both.withColumn("__times", times).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 SQL = r"""
@@ -104,7 +140,8 @@ w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WH
 l AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 c AS (SELECT *, cap <= w * level AS capped FROM l),
 t AS (SELECT source, source_size, round(CASE WHEN capped THEN cap ELSE w * ((budget - sum(CASE WHEN capped THEN cap ELSE 0 END) OVER ()) / sum(CASE WHEN capped THEN 0 ELSE w END) OVER ()) END, 6) AS target FROM c),
-q AS (SELECT rid, doc_id, source, size, e AS epoch, md5(coalesce(doc_id::VARCHAR, '') || ':' || e || ':42') AS key FROM d, (VALUES (1), (2)) AS v(e)),
+x AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size ORDER BY rid) - 1 AS nth FROM d),
+q AS (SELECT rid, doc_id, source, size, e AS epoch, md5(coalesce(doc_id::VARCHAR, '') || ':' || e || ':42' || CASE WHEN nth = 0 THEN '' ELSE ':' || size || ':' || nth END) AS key FROM x, (VALUES (1), (2)) AS v(e)),
 f AS (SELECT q.*, (sum(size) OVER (PARTITION BY q.source ORDER BY epoch, key, doc_id, size, rid))::DOUBLE / target AS finish FROM q JOIN t ON q.source IS NOT DISTINCT FROM t.source WHERE target > 0),
 g AS (SELECT *, sum(size) OVER (ORDER BY finish, source NULLS LAST, epoch, key, doc_id, size, rid) AS total FROM f),
 k AS (SELECT rid, sum(size)::BIGINT AS taken FROM g WHERE total <= (SELECT round(sum(target), 3) FROM t) GROUP BY rid)
