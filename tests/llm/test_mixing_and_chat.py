@@ -50,10 +50,32 @@ def test_mixing(spark, monkeypatch, cell):
         assert abs(x - t) <= 41 * (2 if t else 1)
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
-    assert abs(mixed.select(F.size(F.split(F.trim("text"), " +"))).count() - sum(g["taken"] // g["size"] for g in got if g["size"])) <= 4
+    assert abs(mixed.count() - sum(r["copies"] for r in mixing.schedule(mixing.sizes(docs)).collect())) <= 4
     assert mixing.plan(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_many_rows_of_one_id(spark, monkeypatch, small):
+    """A third of the rows has no id; cells and pages of a few rows change nothing, and the sums are those of the SQL."""
+    if small:
+        for name, value in (("CELL", 2), ("PAGE", 4), ("PAGE_DIGITS", 1)):
+            monkeypatch.setattr(mixing, name, value)
+    rows = [(None if i % 3 == 0 else i, "w " * (1 + i % 4), f"s{i % 3}" if i % 7 else None) for i in range(600)] + [(None, None, "s1")] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    documents = docs.toPandas().astype({"doc_id": "Int64"})  # noqa: F841
+    con = duckdb.connect()
+    con.register("documents", documents)
+    want = con.sql(mixing.SQL).fetchall()
+    got = mixing.plan(docs).select("doc_id", "size", "source_size", "target", "taken").collect()
+    assert Counter(map(tuple, got)) == Counter(want)
+    taken, mixed = Counter(), Counter()
+    for g in mixing.schedule(mixing.sizes(docs)).collect():
+        taken[g["source"]] += g["taken"]
+    for r in mixing.mix(docs).collect():
+        mixed[r["source"]] += len((r["text"] or "").split())
+    assert all(abs(mixed[s] - n) <= 0.2 * n for s, n in taken.items())
+
+
 def test_mixing_equals_its_sql(spark):
     sf = "/root/testdata/sf0.001"
     duckdb.sql(f"create or replace view documents as select * from read_parquet('{sf}/documents.parquet')")
@@ -85,12 +107,15 @@ def test_chats_read_back(spark):
 
 def test_parts_become_placeholders(spark):
     part = lambda kind, text=None, ref=None, tokens=0: (kind, text, ref, tokens)
-    rows = [(1, 0, "user", [part("text", "see <this>"), part("image", None, "a.png", 256), part("audio", None, "b.wav", 40)]), (1, 1, "assistant", [part("text", "ok"), part("document", None, "c.pdf", 9), part("text", None)]), (2, 0, "user", None)]
+    rows = [(1, 0, "user", [part("text", "see <this>"), part("image", None, "a.png", 256), part("audio", None, "b.wav", 40)]), (1, 1, "assistant", [part("text", "ok"), part("document", None, "c.pdf", 9), part("text", None)]), (2, 0, "user", None), (3, 0, "user", [part("video", "a [caption]", "d.mp4", 9), part("x|>y", None, "e", None), part("turn", "t"), part(None, "u")])]
     df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {chat_format.PART}")
     got = {r["conv_id"]: r for r in chat_format.format_chats(df).collect()}
     assert got[1]["formatted"] == "<|turn|>user<|text|>see <\\this><|image|><|audio|><|end|><|turn|>assistant<|text|>ok<|document|><|end|>"
     assert [tuple(a) for a in got[1]["attachments"]] == [("image", "a.png", 256), ("audio", "b.wav", 40), ("document", "c.pdf", 9)] and got[1]["media_tokens"] == 305
     assert got[2]["formatted"] == "<|turn|>user<|text|><|end|>" and got[2]["attachments"] == []
+    assert got[3]["formatted"] == "<|turn|>user<|text|><|part:video|>a [\\caption]<|part:x__y|><|part:turn|>tu<|end|>"
+    assert [tuple(a) for a in got[3]["attachments"]] == [("video", "d.mp4", 9), ("x|>y", "e", 0), ("turn", None, 0)] and got[3]["media_tokens"] == 9
+    assert chat_format.format_chats(df).where("conv_id = 3").select(chat_format.read_turns(F.col("formatted")).alias("t")).first()["t"][0]["text"] == "a [caption]tu"
     back = chat_format.format_chats(df).select("conv_id", chat_format.read_turns(F.col("formatted")).alias("t")).where("conv_id = 1").first()["t"]
     assert [tuple(t) for t in back] == [("user", "see <this>"), ("assistant", "ok")]
 
