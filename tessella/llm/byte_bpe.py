@@ -6,7 +6,9 @@ and its ids return to the blocks that asked. The block's positions then put each
 with the table of token bytes.
 
 Words, ids and positions are shuffled as packed, compressed columns of a block rather than as a row per word: a common word costs one
-record per block, so neither hot words nor long documents gather in a task. A block is bounded by its bytes (one document at least).
+record per block, so neither hot words nor long documents gather in a task. A block is bounded by its bytes (one document at least). A bucket is one
+task, which encodes a word for the first block that has it and looks it up for the others; beyond KNOWN words, which takes some 50 TB of text whose
+words hardly recur, those that no block shared so far are encoded again.
 
 The positions and the words of a block come from two passes over the same scan, so the scan must give the same rows in the same order; a
 file scan does, and any other plan is written to the shared folder first. A checksum of the words, sent with both, is compared in the end.
@@ -30,11 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import gather, materialize, rows, small_batches
+from .common import gather, materialize, partitions, rows, small_batches
 from .pieces import Memo, split, text_of
 
-#: Text bytes of a block, about.
-BLOCK = 8 << 20
+#: Text bytes of a block, about, and of a bucket of words; the most buckets, and the distinct words of a bucket that are known at a time.
+BLOCK, PER_BUCKET, MOST, KNOWN = 8 << 20, 16 << 20, 16_384, 2_000_000
 
 
 _KINDS = ("<u1", "<u2", "<u4", "<u8", "<i8")
@@ -86,19 +88,19 @@ def index(texts: list[str], buckets: int):
     return raw, bucket[order], lengths, rank[seq], zlib.crc32(b"\0".join(raw))
 
 
-_memos: dict = {}
+_encoders: dict = {}
 
 
 def tokenizer(ranks_raw: bytes, pattern: str):
     """A worker's own encoding by the rank file."""
     key = (zlib.crc32(ranks_raw), pattern)
-    if key not in _memos:
+    if key not in _encoders:
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_raw.splitlines())}
         one = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
-        _memos[key] = Memo(lambda new, _: [np.array(one(text_of(w.decode())), "<u4").tobytes() for w in new])
-    return _memos[key]
+        _encoders[key] = lambda new, _: [np.array(one(text_of(w.decode())), "<u4").tobytes() for w in new]
+    return _encoders[key]
 
 
 class Table:
@@ -148,7 +150,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     kind = source.schema["doc_id"].dataType.simpleString()
     if not repeatable(docs):
         source = materialize(source, "texts")
-    parts = buckets or min(4096, max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    # So many that a bucket's words come from some PER_BUCKET bytes of text; no more than MOST, as each block sends a record to each.
+    parts = buckets or max(16, min(MOST, partitions(source, PER_BUCKET)))
 
     def block_id(k):
         return TaskContext.get().partitionId() << 32 | k
@@ -170,7 +173,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32()), strict=True)], ["bucket", "block", "check", "words", "n"])
 
     def encode_words(batches):
-        memo = tokenizer(sent.value, pattern)
+        memo = Memo(tokenizer(sent.value, pattern), KNOWN)  # a bucket's own: no other task sees its words
         for batch in batches:
             out = []
             for b, block, check, packed, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -204,7 +207,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     names = [x.split()[0] for x in out_schema.split(", ")]
     kind_of = to_arrow_type(source.schema["doc_id"].dataType)
     where = source.mapInArrow(positions, f"block long, doc_ids array<{kind}>, payload binary")
-    asked = source.mapInArrow(words, "bucket int, block long, check long, words binary, n int").repartition(parts, "bucket")
+    asked = source.mapInArrow(words, "bucket int, block long, check long, words binary, n int").repartitionById(parts, F.col("bucket"))
     answered = asked.mapInArrow(encode_words, "bucket int, block long, check long, ids binary")
     return where.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(assemble, out_schema)
 
