@@ -42,7 +42,7 @@ TOGETHER = 8192
 #: Ids of one shard, about; it is closed after the batch that reaches them.
 SHARD_IDS = 4 << 20
 #: Text bytes that are encoded together.
-BATCH = 6 << 20
+BATCH = 12 << 20
 
 
 class EliasFano:
