@@ -93,3 +93,29 @@ def inverse_trigamma(y: float) -> float:
         mid = math.sqrt(lo * hi)
         lo, hi = (mid, hi) if trigamma(mid) > y else (lo, mid)
     return math.sqrt(lo * hi)
+
+
+def studentized_range_tail(q: float, groups: int, df: float) -> float:
+    """Of the largest difference of `groups` standard normals over an independent deviation with df degrees of freedom; by Gauss-Legendre sums."""
+    import numpy as np
+
+    if q <= 0:
+        return 1.0
+    z, wz = np.polynomial.legendre.leggauss(160)
+    z, wz = 9 * z, 9 * wz
+    phi = np.exp(-(z**2) / 2) / math.sqrt(2 * math.pi)
+    below = np.vectorize(lambda x: 0.5 * math.erfc(-x / math.sqrt(2)))
+    here = below(z)
+
+    def inside(r: float) -> float:
+        return float(groups * (wz * phi * np.clip(here - below(z - r), 0, 1) ** (groups - 1)).sum())
+
+    if math.isinf(df):
+        return max(0.0, 1 - inside(q))
+    half = df / 2
+    spread = 12 / math.sqrt(2 * df)
+    s, ws = np.polynomial.legendre.leggauss(120)
+    lo, hi = max(0.0, 1 - spread), 1 + spread
+    s, ws = (hi - lo) / 2 * s + (hi + lo) / 2, (hi - lo) / 2 * ws
+    density = np.exp(half * math.log(half) + math.log(2) - math.lgamma(half) + (df - 1) * np.log(s) - half * s**2)
+    return min(1.0, max(0.0, 1 - sum(w * d * inside(q * x) for w, d, x in zip(ws, density, s, strict=True))))

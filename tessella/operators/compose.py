@@ -38,10 +38,14 @@ def pseudobulk(counts: DataFrame, cells: DataFrame, by: list[str], how: str = "m
 
 
 def pseudobulk_features(counts: DataFrame, cells: DataFrame, unit: str, celltype: str) -> DataFrame:
-    """unit, feature `type - gene`, mean over all cells of unit and type; present pairs only."""
+    """unit, feature `type - gene`, mean over all cells of unit and type; 0 for units without such cells or counts. Features that are 0 in every
+    unit are left out. A row per unit and feature, made from one record per feature that holds its units."""
     sums = counts.join(cells.select("cell_id", unit, celltype), "cell_id").groupBy(unit, celltype, "feature_id").agg(F.sum("value").alias("s"))
     sizes = cells.groupBy(unit, celltype).agg(F.count("*").alias("n"))
-    return sums.join(sizes, [unit, celltype]).select(unit, F.concat_ws(" - ", celltype, "feature_id").alias("feature"), (F.col("s") / F.col("n")).alias("value"))
+    means = sums.join(sizes, [unit, celltype]).groupBy(celltype, "feature_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col(unit), (F.col("s") / F.col("n")).alias("m")))).alias("m"), F.max(F.col("s") != 0).alias("some"))
+    units = [r[0] for r in cells.select(unit).where(F.col(unit).isNotNull()).distinct().orderBy(unit).collect()]  # units, not cells
+    each = means.where("some").withColumn(unit, F.explode(F.array(*map(F.lit, units)) if units else F.array().cast(f"array<{cells.schema[unit].dataType.simpleString()}>")))
+    return each.select(unit, F.concat_ws(" - ", celltype, "feature_id").alias("feature"), F.coalesce(F.element_at("m", F.col(unit)), F.lit(0.0)).alias("value"))
 
 
 def mean_and_variance(counts: DataFrame, cells: DataFrame, sample: str) -> DataFrame:

@@ -127,6 +127,80 @@ def cell_pca(cells: DataFrame, vector: str, k: int, out: str = "pc") -> DataFram
     return cells.withColumn(out, F.array(*score))
 
 
+def lsi(counts: DataFrame, components: int = 50, drop_first: bool = True, rounds: int = 8, more: int = 10, seed: int = 42) -> tuple[DataFrame, np.ndarray]:
+    """cell_id, lsi (a coordinate per component), and the components' deviations: the first left singular vectors of the TF-IDF of counts, each
+    brought to mean 0 and deviation 1 over the cells with counts; the first component, which follows the depth, is left out.
+
+    Subspace iteration: a cell's features stand in one row, each round adds up x' (x v) over the cells, and only features times components reach the
+    driver. Each component has its largest loading positive.
+    """
+    from .normalize import tfidf
+
+    spark = counts.sparkSession
+    names = [r[0] for r in counts.select("feature_id").distinct().orderBy("feature_id").collect()]  # features, not cells
+    k = min(components + more, len(names))
+    if len(names) * k > 1 << 26:
+        raise ValueError(f"{len(names)} features times {k} components exceed what one matrix may hold; choose variable features first")
+    place = spark.createDataFrame(list(enumerate(names)), f"i int, feature_id {dict(counts.dtypes)['feature_id']}")
+    rows = tfidf(counts).join(place, "feature_id").groupBy("cell_id").agg(F.collect_list(F.struct("i", "value")).alias("x")).select("cell_id", F.col("x.i").alias("i"), F.col("x.value").alias("x")).persist()
+    n = rows.count()
+
+    def product(i, x, v: np.ndarray):
+        sizes = [len(a) for a in i]
+        at, value = np.concatenate([np.asarray(a, int) for a in i]), np.concatenate([np.asarray(a, float) for a in x])
+        return np.add.reduceat(v[at] * value[:, None], np.cumsum([0, *sizes[:-1]]), axis=0), at, value, np.repeat(np.arange(len(sizes)), sizes)
+
+    def once(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """x' x v, the second moments and the sums of x v."""
+        sent = spark.sparkContext.broadcast(v)
+
+        def part(batch):
+            back, second, total = np.zeros_like(sent.value), np.zeros((sent.value.shape[1],) * 2), np.zeros(sent.value.shape[1])
+            chunk = []
+
+            def add():
+                u, at, value, owner = product([r[0] for r in chunk], [r[1] for r in chunk], sent.value)
+                np.add.at(back, at, u[owner] * value[:, None])
+                second.__iadd__(u.T @ u)
+                total.__iadd__(u.sum(0))
+                chunk.clear()
+
+            for r in batch:
+                chunk.append(r)
+                if len(chunk) >= 256:
+                    add()
+            if chunk:
+                add()
+            yield back, second, total
+
+        return rows.select("i", "x").rdd.mapPartitions(part).treeReduce(lambda a, b: tuple(x + y for x, y in zip(a, b, strict=True)))
+
+    v, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(names), k)))
+    for _ in range(rounds):
+        v, _ = np.linalg.qr(once(v)[0])
+    _, second, total = once(v)
+    values, turn = np.linalg.eigh(second)
+    order = np.argsort(-values)[: min(components, k)]
+    singular, turn = np.sqrt(np.maximum(values[order], 0)), turn[:, order]
+    load = v @ turn
+    sign = np.where(load[np.abs(load).argmax(0), np.arange(load.shape[1])] < 0, -1.0, 1.0)
+    own = slice(1 if drop_first else 0, None)
+    mean = (total @ turn * sign)[own] / n
+    sd = np.sqrt(np.maximum(singular[own] ** 2 / n - mean**2, 1e-300))
+    sent = spark.sparkContext.broadcast(load * sign)
+
+    def project(frames):
+        import pandas as pd
+
+        for frame in frames:
+            for lo in range(0, len(frame), 256):
+                part = frame.iloc[lo : lo + 256]
+                u = product(list(part["i"]), list(part["x"]), sent.value)[0][:, own]
+                yield pd.DataFrame({"cell_id": part["cell_id"].to_numpy(), "lsi": list((u - mean) / sd)})
+
+    return rows.mapInPandas(project, f"cell_id {dict(counts.dtypes)['cell_id']}, lsi array<double>"), singular[own] / np.sqrt(max(1, n - 1))
+
+
 def harmony(z: np.ndarray, batch: list, clusters: int | None = None, rounds: int = 30, sigma: float = 0.1, theta: float = 2.0, ridge: float = 1.0, seed: int = 42) -> np.ndarray:
     """Soft k-means on the sphere with a diversity penalty, then ridge removal of the batch per cluster, until it settles."""
     names = sorted(set(batch), key=str)

@@ -64,6 +64,20 @@ def variable_by_standardised(counts: DataFrame, n_cells: int, top: int, span: fl
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("variance"), "feature_id")))
 
 
+def variable_by_batch(counts: DataFrame, batches: DataFrame, top: int, span: float = 0.3) -> DataFrame:
+    """feature_id, batches, median_rank, rank: features by the median of their ranks in the batches whose top they are in, then by the number of
+    those. batches: cell_id, batch; a batch is ranked on its own, and batches without a variable feature are left out."""
+    per = None
+    for batch, n in sorted(map(tuple, batches.where("batch is not null").groupBy("batch").count().collect())):  # batches, not cells
+        own = variable_by_standardised(counts.join(batches.where(F.col("batch") == batch).select("cell_id"), "cell_id", "left_semi"), n, top, span).select("feature_id", "rank")
+        per = own if per is None else per.unionByName(own)
+    if per is None:
+        return counts.sparkSession.createDataFrame([], "feature_id string, batches long, median_rank double, rank int")
+    scored = per.groupBy("feature_id").agg(F.count("*").alias("batches"), F.median("rank").alias("median_rank"))
+    best = scored.orderBy("median_rank", F.desc("batches"), "feature_id").limit(top)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy("median_rank", F.desc("batches"), "feature_id")))
+
+
 def variable_by_dispersion(means: DataFrame, top: int, bins: int = 20) -> DataFrame:
     """feature_id, dispersion (z-score within its bin of means), rank. means: feature_id, mean, variance."""
     base = means.where("mean > 0").withColumn("d", F.log(F.greatest(F.col("variance") / F.col("mean"), F.lit(1e-12)))).withColumn("m", F.log1p("mean"))

@@ -96,3 +96,26 @@ def paired_units(units: DataFrame, unit: str, base, modality, a: str = "RNA", b:
     keyed = units.select(F.col(unit), base(F.col(unit)).alias("base"), modality(F.col(unit)).alias("m"))
     left = keyed.where(F.col("m") == a).select("base", F.col(unit).alias("unit_a"))
     return left.join(keyed.where(F.col("m") == b).select("base", F.col(unit).alias("unit_b")), "base")
+
+
+def with_pseudotime(meta: DataFrame, pseudotime: DataFrame, sample: str = "sample") -> DataFrame:
+    """The metadata of the samples that have a pseudotime, with it; ids are compared as trimmed strings."""
+    key = lambda c: F.trim(F.col(c).cast("string"))
+    own = pseudotime.select(key("sample").alias("__key"), "pseudotime")
+    return meta.withColumn("__own", key(sample)).join(own, F.col("__own") == F.col("__key")).drop("__own", "__key")
+
+
+def match_samples(reduced: DataFrame, samples: DataFrame, cells: DataFrame | None = None, key: str = "sample") -> DataFrame:
+    """The rows of reduced whose sample is among samples: by the very name; if none is, by the name in small letters, renamed to the other side's; if
+    none is either, by the names in cells. Nothing in common is an error."""
+    names = samples.select(F.col(key).cast("string").alias("__name")).distinct()
+    exact = reduced.join(names, F.col(key).cast("string") == F.col("__name"), "left_semi")
+    if not exact.isEmpty():
+        return exact
+    small = names.groupBy(F.lower("__name").alias("__small")).agg(F.min("__name").alias("__name"))
+    loose = reduced.join(small, F.lower(F.col(key).cast("string")) == F.col("__small")).withColumn(key, F.col("__name")).drop("__small", "__name")
+    if not loose.isEmpty():
+        return loose
+    if cells is not None:
+        return match_samples(reduced, cells, None, key)
+    raise ValueError("no sample is in both tables")

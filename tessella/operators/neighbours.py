@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 4096
+#: Pairs whose exact distances are made at a time.
+PAIRS = 1 << 17
 
 
 def _blocks(df: DataFrame, id_col: str, vector: str, n: int, name: str) -> DataFrame:
@@ -35,16 +37,25 @@ def nearest(queries: DataFrame, pool: DataFrame, k: int, metric: str = "euclidea
                 x, y = np.array([r["v"] for r in q], float), np.array([r["v"] for r in p], float)
                 if metric == "cosine":
                     x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
-                rough = (x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x @ y.T if metric == "euclidean" else 1 - x @ y.T
+                squares = (x**2).sum(1)[:, None] + (y**2).sum(1)[None, :]
+                rough = squares - 2 * x @ y.T if metric == "euclidean" else 1 - x @ y.T
                 if exclude_self:
                     rough[qi[:, None] == pi[None, :]] = np.inf
-                take = min(k + 8, len(pi))  # some more, as the products round
-                near = np.argpartition(rough, take - 1, axis=1)[:, :take]
-                d = np.sqrt(((x[:, None, :] - y[near]) ** 2).sum(2)) if metric == "euclidean" else 1 - np.einsum("ij,ikj->ik", x, y[near])
-                d[np.isinf(np.take_along_axis(rough, near, 1))] = np.inf
-                out = pd.DataFrame({"query": np.repeat(qi, take), "neighbour": pi[near].ravel(), "distance": d.ravel()})
-                out = out[np.isfinite(out["distance"])].sort_values(["query", "distance", "neighbour"])
-                yield out.groupby("query").head(k)
+                # All that may be as near as the k-th, as the products round: ties are told apart by their exact distances and ids.
+                limit = np.partition(rough, min(k, len(pi)) - 1, axis=1)[:, min(k, len(pi)) - 1] + 1e-10 * (1 + squares.max(1))
+                near = np.isfinite(rough) & (rough <= limit[:, None])
+                ends = np.cumsum(near.sum(1))
+                i = 0
+                while i < len(qi):
+                    j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS, "right")))
+                    a, c = np.nonzero(near[i:j])
+                    a += i
+                    d = np.sqrt(((x[a] - y[c]) ** 2).sum(1)) if metric == "euclidean" else 1 - np.einsum("ij,ij->i", x[a], y[c])
+                    order = np.lexsort((pi[c], d, a))
+                    a, c, d = a[order], c[order], d[order]
+                    keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+                    yield pd.DataFrame({"query": qi[a[keep]], "neighbour": pi[c[keep]], "distance": d[keep]})
+                    i = j
 
     part = met.select("q", "p").mapInPandas(best, "query long, neighbour long, distance double")
     order = Window.partitionBy("query").orderBy("distance", "neighbour")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,3 +67,59 @@ def align_features(counts: DataFrame, n_cells: int, method: str = "zscore") -> D
     else:
         raise ValueError(f"no alignment is called {method}")
     return counts.join(scale, "feature_id").select("cell_id", "feature_id", ((F.col("value") - F.col("shift")) / F.col("by")).alias("value"), (-F.col("shift") / F.col("by")).alias("zero_value"))
+
+
+#: Points of a reference distribution, and rows of a feature that are mapped at a time.
+QUANTILES, ROWS = 1000, 100_000
+
+
+def align_quantiles(reference: DataFrame, target: DataFrame, zero_aware: bool = True, strict_reference: bool = True) -> DataFrame:
+    """cell_id, feature_id, value, zero_value of target: each feature that both have carried to its distribution in reference. Both hold normalised values, 0 or more.
+
+    A value's share u is its place among min(QUANTILES, n) quantiles of the reference, the mean of the lowest and highest place for repeated ones;
+    the result is the reference's quantile at u, or with strict_reference at the normal distribution's share below u (which keeps to the upper half:
+    what the usual pair of a uniform and a normal quantile transform gives). zero_aware: only positive values count and change, and a feature needs
+    two of them on both sides; else entries that are not stored count as zeros, and zero_value is what they become. Other features stay as they are.
+    """
+    cells = lambda df: df.agg(F.countDistinct("cell_id")).first()[0]
+    n_reference = cells(reference)
+    known, own = (df.where("value > 0") if zero_aware else df for df in (reference, target))
+    n = known.groupBy("feature_id").agg(F.count("*").alias("stored")).withColumn("n", F.col("stored") if zero_aware else F.lit(n_reference))
+    enough = own.groupBy("feature_id").agg(F.count("*").alias("rows")).where("rows > 1" if zero_aware else "rows > 0")
+    sized = n.where("n > 1").join(enough, "feature_id")
+    shares = F.array(*[F.lit(i / (QUANTILES - 1)) for i in range(QUANTILES)])
+    weighed = known.select("feature_id", "value", F.lit(1).cast("long").alias("w")).join(sized.select("feature_id", "stored", "n"), "feature_id")
+    if not zero_aware:
+        weighed = weighed.unionByName(sized.where("n > stored").select("feature_id", F.lit(0.0).alias("value"), (F.col("n") - F.col("stored")).alias("w"), "stored", "n"))
+    # Few values are their own quantiles; of many the quantiles are made without gathering them.
+    few = weighed.where(F.col("n") <= QUANTILES).groupBy("feature_id").agg(F.array_sort(F.flatten(F.collect_list(F.array_repeat("value", F.col("w").cast("int"))))).alias("q"))
+    many = weighed.where(F.col("n") > QUANTILES).groupBy("feature_id").agg(F.percentile(F.col("value"), shares, F.col("w")).alias("q"))
+    quantiles = few.unionByName(many).join(sized.select("feature_id", "rows"), "feature_id").withColumn("parts", (F.floor(F.col("rows") / ROWS) + 1).cast("int"))
+    part = F.pmod(F.xxhash64("cell_id"), F.col("parts")).cast("int")
+    rows = own.join(quantiles.select("feature_id", "parts"), "feature_id").select("cell_id", "feature_id", F.col("value").cast("double").alias("value"), part.alias("part"))
+    each = quantiles.select(F.col("feature_id").alias("of"), "q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("of_part"))
+
+    def carry(values: np.ndarray, q: np.ndarray) -> np.ndarray:
+        share = np.linspace(0, 1, len(q))
+        u = 0.5 * (np.interp(values, q, share) - np.interp(-values, -q[::-1], -share[::-1]))
+        u = np.where(values <= q[0], 0.0, np.where(values >= q[-1], 1.0, u))
+        if strict_reference:
+            u = np.array([0.5 * math.erfc(-x / math.sqrt(2)) for x in u])
+        return np.interp(u, share, q)
+
+    def bring(left, right):
+        import pandas as pd
+
+        if not len(left) or not len(right):
+            return pd.DataFrame({"cell_id": [], "feature_id": [], "value": [], "zero_value": []})
+        q = np.array(right["q"].iloc[0], float)
+        zero = 0.0 if zero_aware else float(carry(np.zeros(1), q)[0])
+        return pd.DataFrame({"cell_id": left["cell_id"], "feature_id": left["feature_id"], "value": carry(left["value"].to_numpy(float), q), "zero_value": zero})
+
+    kinds = dict(target.dtypes)
+    done = rows.groupBy("feature_id", "part").cogroup(each.groupBy("of", "of_part")).applyInPandas(bring, f"cell_id {kinds['cell_id']}, feature_id {kinds['feature_id']}, value double, zero_value double")
+    rest = target.join(sized, "feature_id", "left_anti").select("cell_id", "feature_id", F.col("value").cast("double").alias("value"), F.lit(0.0).alias("zero_value"))
+    out = done.unionByName(rest)
+    if zero_aware:
+        out = out.unionByName(target.where("value = 0").join(sized, "feature_id", "left_semi").select("cell_id", "feature_id", F.lit(0.0).alias("value"), F.lit(0.0).alias("zero_value")))
+    return out

@@ -5,6 +5,8 @@ Every filter is an aggregate and a semi join; the aggregates combine on the map
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -208,3 +210,30 @@ def align_layers(processed: DataFrame, raw: DataFrame) -> DataFrame:
     if missing:
         raise ValueError("processed entries are missing from the raw layer")
     return processed.join(raw.withColumnRenamed("value", "raw"), ["cell_id", "feature_id"])
+
+
+#: Columns that earlier steps left and that are no variables of the samples.
+INTERNAL = (r"^pseudotime(_.*)?$", r"^cluster_.*_kmeans$", r"^X_DR_.*$", r"^_")
+
+
+def variable_columns(columns: list[str], internal: tuple[str, ...] = INTERNAL) -> list[str]:
+    return [c for c in columns if not any(re.match(p, c) for p in internal)]
+
+
+def data_types(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """column, kind, n_distinct: categorical if at most 80 % of the known values are numbers, or they are 0 and 1 alone; ordinal if they are whole, at most
+    10 different ones and fewer than a tenth of the rows; else numerical. 0 and 1 count as categorical under the same two limits. One pass."""
+    aggregates = []
+    for i, c in enumerate(columns):
+        text = F.col(f"`{c}`").cast("string")
+        number = F.when(~F.isnan(text.try_cast("double")), text.try_cast("double"))
+        known = text.isNotNull() & ~F.coalesce(F.isnan(text.try_cast("double")), F.lit(False))
+        aggregates += [F.count(F.when(known, 1)).alias(f"n{i}"), F.count(number).alias(f"m{i}"), F.countDistinct(F.when(known, text)).alias(f"d{i}"), F.countDistinct(number).alias(f"e{i}"), F.coalesce(F.bool_and(number.isin(0.0, 1.0)), F.lit(False)).alias(f"b{i}"), F.coalesce(F.bool_and(F.pmod(number, F.lit(1.0)) == 0), F.lit(False)).alias(f"w{i}")]
+
+    def kind(i):
+        n, m, d = (F.col(f"{x}{i}") for x in "nmd")
+        small = (d <= 10) & (d < 0.1 * n)
+        return F.when((n == 0) | (m <= 0.8 * n), "categorical").when(small & F.col(f"b{i}") & (F.col(f"e{i}") == 2), "categorical").when(small & F.col(f"w{i}"), "ordinal").otherwise("numerical")
+
+    items = [F.struct(F.lit(c).alias("column"), kind(i).alias("kind"), F.col(f"d{i}").alias("n_distinct")) for i, c in enumerate(columns)]
+    return rows.agg(*aggregates).select(F.explode(F.array(*items)).alias("x")).select("x.*")

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.special import digamma, f_tail, inverse_trigamma, t_tail, trigamma
+from ..functions.special import digamma, f_tail, inverse_trigamma, studentized_range_tail, t_tail, trigamma
 
 
 def benjamini_hochberg(rows: DataFrame, p: str, key: str, within: list[str] = ()) -> DataFrame:
@@ -71,10 +71,12 @@ def r2_permutations(rows: DataFrame, key: str, x: str, ys: list[str], rounds: in
     return long.where("round > 0").join(F.broadcast(seen), "component").groupBy("component").agg(F.first("seen").alias("r2"), ((F.sum((F.col("r2") >= F.col("seen") - 1e-12).cast("int")) + 1) / F.lit(float(rounds + 1))).alias("p"))
 
 
-def squeeze_variances(s2: np.ndarray, df: float) -> tuple[np.ndarray, float, float]:
-    """Moderated variances, prior degrees of freedom (may be infinite), prior variance: moments of log variances."""
-    e = np.log(np.maximum(s2, 1e-300)) - digamma(df / 2) + math.log(df / 2)
-    spread = e.var(ddof=1) - trigamma(df / 2) if len(e) > 1 else 0.0
+def squeeze_variances(s2: np.ndarray, df: float | np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Moderated variances, prior degrees of freedom (may be infinite), prior variance: moments of log variances. df: of each variance, or of all."""
+    df = np.broadcast_to(np.asarray(df, float), s2.shape)
+    kinds, which = np.unique(df, return_inverse=True)
+    e = np.log(np.maximum(s2, 1e-300)) - np.array([digamma(d / 2) - math.log(d / 2) for d in kinds])[which]
+    spread = e.var(ddof=1) - np.array([trigamma(d / 2) for d in kinds])[which].mean() if len(e) > 1 else 0.0
     if spread <= 0:
         return np.full_like(s2, math.exp(e.mean())), math.inf, math.exp(e.mean())
     prior = 2 * inverse_trigamma(spread)
@@ -89,13 +91,13 @@ def moderated_t(values: DataFrame, group: str, a: str, b: str) -> DataFrame:
     rows = side(a, "a").join(side(b, "b"), "feature").where("na > 1 and nb > 1").orderBy("feature").collect()  # a row per feature of a result
     if not rows:
         return values.sparkSession.createDataFrame([], "feature string, difference double, t double, p double, fdr double")
-    na, nb = rows[0]["na"], rows[0]["nb"]
+    na, nb = (np.array([r[c] for r in rows], float) for c in ("na", "nb"))
     df = na + nb - 2
-    pooled = np.array([((r["na"] - 1) * r["va"] + (r["nb"] - 1) * r["vb"]) / df for r in rows])
+    pooled = np.array([(r["na"] - 1) * r["va"] + (r["nb"] - 1) * r["vb"] for r in rows]) / df
     s2, prior, _ = squeeze_variances(pooled, df)
     diff = np.array([r["ma"] - r["mb"] for r in rows])
     t = diff / np.sqrt(np.maximum(s2, 1e-300) * (1 / na + 1 / nb))
-    out = values.sparkSession.createDataFrame([(str(r["feature"]), float(d), float(x), float(t_tail(x, min(df + prior, df * len(rows))))) for r, d, x in zip(rows, diff, t, strict=True)], "feature string, difference double, t double, p double")
+    out = values.sparkSession.createDataFrame([(str(r["feature"]), float(d), float(x), float(t_tail(x, min(own + prior, df.sum())))) for r, d, x, own in zip(rows, diff, t, df, strict=True)], "feature string, difference double, t double, p double")
     return benjamini_hochberg(out, "p", "feature")
 
 
@@ -132,7 +134,10 @@ def combat(y: np.ndarray, batch: list) -> np.ndarray:
 
 
 def two_way(y: np.ndarray, a: list, b: list) -> dict[str, dict[str, float]]:
-    """Type II sums of squares with interaction: ss, df, f, p, eta_sq, partial_eta_sq per term."""
+    """Type II sums of squares with interaction: ss, df, f, p, eta_sq (of all terms' and the residual's squares), partial_eta_sq per term. One
+    level of b: one-way over a alone."""
+    if len(set(b)) < 2:
+        return one_way(y, a)
     dummies = lambda v: np.array([[x == n for n in sorted(set(v), key=str)[1:]] for x in v], float).reshape(len(v), -1)
     da, db = dummies(a), dummies(b)
     cross = (da[:, :, None] * db[:, None, :]).reshape(len(y), -1)
@@ -146,8 +151,8 @@ def two_way(y: np.ndarray, a: list, b: list) -> dict[str, dict[str, float]]:
     full, rank = rss(da, db, cross)
     both, rank_both = rss(da, db)
     terms = {"a": (rss(db), (both, rank_both)), "b": (rss(da), (both, rank_both)), "a:b": ((both, rank_both), (full, rank))}
-    total, left = float(((y - y.mean()) ** 2).sum()), len(y) - rank
-    out = {}
+    left, out = len(y) - rank, {}
+    total = full + sum(max(0.0, less - more) for (less, _), (more, _) in terms.values())
     for name, ((less, r0), (more, r1)) in terms.items():
         ss, df = max(0.0, less - more), r1 - r0
         f = ss / df / (full / left) if df and left and full > 0 else math.nan
@@ -155,6 +160,33 @@ def two_way(y: np.ndarray, a: list, b: list) -> dict[str, dict[str, float]]:
     return out
 
 
+def one_way(y: np.ndarray, a: list) -> dict[str, dict[str, float]]:
+    groups = [y[[x == g for x in a]] for g in sorted(set(a), key=str)]
+    within, between = sum(float(((g - g.mean()) ** 2).sum()) for g in groups), sum(len(g) * float(g.mean() - y.mean()) ** 2 for g in groups)
+    df, left = len(groups) - 1, len(y) - len(groups)
+    f = between / df / (within / left) if df and left and within > 0 else math.nan
+    share = between / (between + within) if between + within else math.nan
+    return {"a": {"ss": between, "df": df, "f": f, "p": f_tail(f, df, left) if f == f else math.nan, "eta_sq": share, "partial_eta_sq": share}}
+
+
+def tukey(y: np.ndarray, a: list, level: float = 0.05) -> list[tuple[str, str, float, float, bool]]:
+    """(one, other, difference of means, p, whether p is below level) of all pairs of groups, by the studentized range with unequal sizes."""
+    names = sorted(set(a), key=str)
+    of = {g: y[[x == g for x in a]] for g in names}
+    left = len(y) - len(names)
+    if left < 1:
+        return []
+    mean_square = sum(float(((v - v.mean()) ** 2).sum()) for v in of.values()) / left
+    out = []
+    for i, g in enumerate(names):
+        for h in names[i + 1 :]:
+            gap = float(of[h].mean() - of[g].mean())
+            error = math.sqrt(mean_square / 2 * (1 / len(of[g]) + 1 / len(of[h])))
+            p = float(studentized_range_tail(abs(gap) / error, len(names), left)) if error > 0 else float(gap == 0)
+            out.append((str(g), str(h), gap, p, p < level))
+    return out
+
+
 def silhouette_batch(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row: (1 - mean silhouette) / 2, clipped to 0..1. pairs: both directions a, b, distance; labels: id, label."""
     own, other = labels.select(F.col("id").alias("a"), F.col("label").alias("la")), labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))

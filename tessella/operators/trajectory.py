@@ -90,6 +90,14 @@ def cca_pseudotime(units: DataFrame, key: str, vector: str, target: str) -> Data
     return units.sparkSession.createDataFrame([(r[0], score, float(a)) for r, a in zip(rows, along, strict=True)], [key, "score", "pseudotime"])
 
 
+def cca_with_all(units: DataFrame, key: str, vector: str, target: str) -> DataFrame:
+    """key, target (the mean of the known ones where it is null), score, pseudotime along the first two coordinates: no unit is left out."""
+    value = F.col(target).cast("double")
+    mean = units.agg(F.avg(value).alias("__mean"))
+    filled = units.join(F.broadcast(mean)).select(key, F.slice(vector, 1, 2).alias(vector), F.coalesce(value, "__mean").alias(target))
+    return filled.select(key, target).join(cca_pseudotime(filled, key, vector, target), key)
+
+
 def cca_permutation(units: DataFrame, key: str, vector: str, target: str, rounds: int = 200, seed: int = 42) -> tuple[float, float]:
     """The score, and the share of shuffles of the target that reach it (no + 1)."""
     from .stats import permutation_p
@@ -187,13 +195,13 @@ def gaussian_mixture(x: np.ndarray, k: int, restarts: int = 10, ridge: float = 1
     return best
 
 
-def cluster_by_bic(x: np.ndarray, most: int = 20, seed: int = 42, restarts: int = 3) -> np.ndarray:
+def cluster_by_bic(x: np.ndarray, most: int = 20, seed: int = 42, restarts: int = 5) -> np.ndarray:
     """Labels of the mixture with the least BIC over k = 2..min(most, n // 2)."""
     tried = [gaussian_mixture(x, k, restarts, seed=seed + 1) for k in range(2, max(3, min(most, len(x) // 2) + 1))]
     return min(tried, key=lambda t: t[0])[1]
 
 
-def tree_pseudotime(units: DataFrame, key: str, vector: str, target: str | None = None, most: int = 6, seed: int = 42) -> DataFrame:
+def tree_pseudotime(units: DataFrame, key: str, vector: str, target: str | None = None, most: int = 20, seed: int = 42) -> DataFrame:
     """key, cluster, edge, pseudotime: mixture clusters, their spanning tree, its principal path from the end with the lower mean target."""
     columns = [key, vector] + ([target] if target else [])
     rows = units.orderBy(key).select(*columns).collect()
@@ -208,7 +216,8 @@ def tree_pseudotime(units: DataFrame, key: str, vector: str, target: str | None
         means = [np.mean([float(r[2]) for r, c in zip(rows, cluster, strict=True) if c == e and r[2] is not None] or [math.inf]) for e in (path[0], path[-1])]
         if means[1] < means[0]:
             path = path[::-1]
-    placed = sorted(project_on_path(x, cluster, path, edges), key=lambda p: (p[1], p[2], p[0]))
+    # By the clusters along the path, inside a cluster by its two edges, inside an edge by the projection.
+    placed = sorted(project_on_path(x, cluster, path, edges), key=lambda p: (path.index(cluster[p[0]]), p[1], p[2], p[0]))
     return units.sparkSession.createDataFrame([(rows[i][0], int(cluster[i]), int(e), k / max(1, len(placed) - 1)) for k, (i, e, _) in enumerate(placed)], [key, "cluster", "edge", "pseudotime"])
 
 
@@ -227,14 +236,21 @@ def spline_basis(x: np.ndarray, splines: int, order: int) -> np.ndarray:
     return b[:, :splines]
 
 
-def spline_size(n: int, splines: int = 10, order: int = 3) -> tuple[int, int]:
-    """Fewer and lower splines for few points."""
-    if n < 10:
-        return max(3, min(splines, n // 2)), min(order, 2)
-    return (min(splines, max(4, n // 3)), order) if n < 30 else (splines, order)
+def spline_size(n: int, splines: int = 5, order: int = 3) -> tuple[int, int]:
+    """Number and order of the splines for n points: lower orders up to 5 points, about two points a spline, always more splines than their order."""
+    if n <= order:
+        most, order = min(2, max(1, n - 2)), 1
+    elif n < 6:
+        most, order = max(2, n - 3), 2
+    elif n < 10:
+        order = min(3, order)
+        most = max(2, (n - order - 1) // 2)
+    else:
+        most = min(max(2, n - order - 4), max(2, n // 2))
+    return max(2, min(splines, most), order + 1), order
 
 
-def gam_trends(values: DataFrame, pseudotime: DataFrame, splines: int = 10, order: int = 3, penalty: float = 0.6) -> DataFrame:
+def gam_trends(values: DataFrame, pseudotime: DataFrame, splines: int = 5, order: int = 3, penalty: float = 0.6) -> DataFrame:
     """feature, n, p, deviance, effect, direction, fdr: a penalised spline of value over pseudotime per feature, where the value isn't 0.
 
     values: unit, feature, value. Features with too few points are left out. effect: range of the fit over the residual scale.

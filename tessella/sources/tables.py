@@ -26,6 +26,35 @@ def write_matrix(tables: dict[str, DataFrame], folder: str, clean: bool = False)
         out.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
 
 
+def write_table(df: DataFrame, path: str) -> None:
+    """By the path's ending: csv, tsv or txt (tabs) with a header, json, parquet. Columns of arrays and structs are written as JSON text where the format has none."""
+    kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    writer = lambda x: x.write.mode("overwrite")
+    if kind == "parquet":
+        writer(df).parquet(path)
+    elif kind == "json":
+        writer(df).json(path)
+    elif kind in ("csv", "tsv", "txt"):
+        flat = df.select(*[F.to_json(F.col(f"`{c}`")).alias(c) if t.startswith(("array", "struct", "map")) else F.col(f"`{c}`") for c, t in df.dtypes])
+        writer(flat).option("header", True).option("sep", "," if kind == "csv" else "\t").csv(path)
+    else:
+        raise ValueError(f"no table is written as {kind}")
+
+
+def read_gene_models(spark: SparkSession, path: str, feature: str = "gene") -> DataFrame:
+    """gene_id (without version), gene, chrom (with chr), start (0-based), end, strand, biotype from a GTF or GFF3 text, a row per line of that feature."""
+    lines = spark.read.text(path).where(~F.col("value").startswith("#")).select(F.split("value", "\t").alias("f")).where((F.size("f") == 9) & (F.col("f")[2] == feature))
+    more = F.col("f")[8]
+
+    def attribute(*names):
+        found = [F.nullif(F.regexp_extract(more, rf'(?:^|;\s*){n}(?:=|\s+)"?([^";]*)"?', 1), F.lit("")) for n in names]
+        return F.coalesce(*found)
+
+    chrom = F.when(F.col("f")[0].startswith("chr"), F.col("f")[0]).otherwise(F.concat(F.lit("chr"), F.col("f")[0]))
+    gene_id = F.substring_index(F.regexp_replace(attribute("gene_id", "ID"), "^gene:", ""), ".", 1)
+    return lines.select(gene_id.alias("gene_id"), F.coalesce(attribute("gene_name", "Name"), gene_id).alias("gene"), chrom.alias("chrom"), (F.col("f")[3].cast("long") - 1).alias("start"), F.col("f")[4].cast("long").alias("end"), F.col("f")[6].alias("strand"), attribute("gene_type", "gene_biotype", "biotype").alias("biotype"))
+
+
 def sniff_separator(spark: SparkSession, path: str) -> str:
     head = spark.read.text(path).limit(1).collect()
     line = head[0][0] if head else ""
