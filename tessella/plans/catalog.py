@@ -213,7 +213,7 @@ def pseudobulk_sample(spark, d):
     return r6(compose.pseudobulk(D.counts(spark, d), D.cells(spark, d), ["sample"]), "value")
 
 
-@query(f"WITH {D.CELLS}, {D.COUNTS}, n AS (SELECT sample, celltype, count(*) AS n FROM cells GROUP BY 1, 2), s AS (SELECT sample, celltype, feature_id, sum(value) AS s FROM counts JOIN cells USING (cell_id) GROUP BY 1, 2, 3) SELECT sample, celltype || ' - ' || feature_id AS feature, round(s / n, 6) AS value FROM s JOIN n USING (sample, celltype)")
+@query(f"WITH {D.CELLS}, {D.COUNTS}, n AS (SELECT sample, celltype, count(*) AS n FROM cells GROUP BY 1, 2), s AS (SELECT sample, celltype, feature_id, sum(value) AS s FROM counts JOIN cells USING (cell_id) GROUP BY 1, 2, 3), f AS (SELECT celltype, feature_id FROM s GROUP BY 1, 2 HAVING bool_or(s <> 0)) SELECT g.sample, f.celltype || ' - ' || f.feature_id AS feature, round(coalesce(s.s / n.n, 0), 6) AS value FROM (SELECT DISTINCT sample FROM cells) g CROSS JOIN f LEFT JOIN s ON s.sample = g.sample AND s.celltype = f.celltype AND s.feature_id = f.feature_id LEFT JOIN n ON n.sample = g.sample AND n.celltype = f.celltype")
 def pseudobulk_sample_celltype(spark, d):
     return r6(compose.pseudobulk_features(D.counts(spark, d), D.cells(spark, d), "sample", "celltype"), "value")
 
@@ -314,7 +314,7 @@ def union_modalities(spark, d):
 GENE_SIDES = "l AS (SELECT CASE WHEN l_partkey % 2 = 0 THEN 'ens' || 'g' || lpad((l_partkey % 400)::VARCHAR, 6, '0') || '.1' ELSE 'Sym' || (l_partkey % 400)::VARCHAR END AS f FROM lineitem), k AS (SELECT f, CASE WHEN f LIKE 'ensg%' THEN split_part(upper(f), '.', 1) ELSE upper(f) END AS gene FROM l)"
 
 
-@query(f"WITH {GENE_SIDES}, p AS (SELECT 'SYM' || p_partkey::VARCHAR AS f, 'SYM' || p_partkey::VARCHAR AS gene FROM part WHERE p_partkey < 200 UNION ALL SELECT 'ENSG' || lpad(p_partkey::VARCHAR, 6, '0') || '.7', 'ENSG' || lpad(p_partkey::VARCHAR, 6, '0') FROM part WHERE p_partkey < 200) SELECT gene, min(k.f) AS left_id, min(p.f) AS right_id FROM k JOIN p USING (gene) GROUP BY 1")
+@query(f"WITH {GENE_SIDES}, p AS (SELECT 'SYM' || p_partkey::VARCHAR AS f, 'SYM' || p_partkey::VARCHAR AS gene FROM part UNION ALL SELECT 'ENSG' || lpad(p_partkey::VARCHAR, 6, '0') || '.7', 'ENSG' || lpad(p_partkey::VARCHAR, 6, '0') FROM part) SELECT gene, min(k.f) AS left_id, min(p.f) AS right_id FROM k JOIN p USING (gene) GROUP BY 1")
 def gene_id_intersection(spark, d):
     k = F.col("l_partkey")
     left = tables.read_table(spark, d, "lineitem").select(F.when(k % 2 == 0, F.concat(F.lit("ensg"), F.lpad((k % 400).cast("string"), 6, "0"), F.lit(".1"))).otherwise(F.concat(F.lit("Sym"), (k % 400).cast("string"))).alias("feature_id"))
@@ -389,7 +389,7 @@ def block_frobenius_stack(spark, d):
     return r6(embedding.frobenius_stack([(block, 2.0)]), "value")
 
 
-@query(f"WITH {D.LONG} SELECT vec_id AS unit, i AS feature, round(x - avg(x) OVER (PARTITION BY unit % 4, i), 6) AS value FROM long WHERE i <= 8")
+@query(f"WITH {D.LONG} SELECT vec_id AS unit, i AS feature, round(x - avg(x) OVER (PARTITION BY unit % 4, i), 6) AS value FROM long")
 def linear_batch_removal(spark, d):
     long = D.vectors(spark, d).select(F.col("vec_id").alias("unit"), (F.col("unit") % 4).alias("batch"), F.posexplode("embedding").alias("feature", "x"))
     out = embedding.remove_batch(long.select("unit", "batch", (F.col("feature") + 1).cast("long").alias("feature"), F.col("x").cast("double").alias("value")), "batch")
@@ -855,7 +855,7 @@ def significance_order(spark, d):
     return r6(features.significance_order(results), "least")
 
 
-@query(f"WITH {KNN}, s AS (SELECT query, i, avg(x) AS y FROM knn JOIN long ON long.vec_id = neighbour WHERE i <= 8 GROUP BY 1, 2) SELECT s.i::INT AS feature_id, count(*) AS n, round(corr(x, y), 6) AS r FROM s JOIN long ON long.vec_id = query AND long.i = s.i GROUP BY 1")
+@query(f"WITH {KNN}, s AS (SELECT query, i, avg(x) AS y FROM knn JOIN long ON long.vec_id = neighbour GROUP BY 1, 2) SELECT s.i::INT AS feature_id, count(*) AS n, round(corr(x, y), 6) AS r FROM s JOIN long ON long.vec_id = query AND long.i = s.i GROUP BY 1")
 def knn_smoothed_correlation(spark, d):
     v = D.vectors(spark, d)
     values = v.select(F.col("vec_id").alias("cell_id"), F.posexplode("embedding").alias("p", "x")).select("cell_id", (F.col("p") + 1).alias("feature_id"), F.col("x").cast("double").alias("value"))
@@ -873,7 +873,7 @@ def aligned(spark, d, method):
     return r6(normalize.align_features(normalize.log1p_total(counts), n, method), "value", "zero_value")
 
 
-@query(f"WITH {LOGGED}, m AS (SELECT feature_id, sum(value) / max(n) AS mean, sqrt((sum(value * value) - sum(value) * sum(value) / max(n)) / (max(n) - 1)) AS sd FROM v, nc GROUP BY 1) SELECT cell_id, feature_id, round((value - mean) / sd, 6) AS value, round(-mean / sd, 6) AS zero_value FROM v JOIN m USING (feature_id)")
+@query(f"WITH {LOGGED}, m AS (SELECT feature_id, sum(value) AS s, sum(value * value) AS ss FROM v GROUP BY 1), k AS (SELECT feature_id, s / n AS mean, sqrt((ss - s * s / n) / (n - 1)) AS sd FROM m CROSS JOIN nc) SELECT v.cell_id, v.feature_id, round((value - mean) / sd, 6) AS value, round(-mean / sd, 6) AS zero_value FROM v JOIN k ON k.feature_id = v.feature_id")
 def align_zscore(spark, d):
     return aligned(spark, d, "zscore")
 
@@ -890,6 +890,67 @@ def align_rank(spark, d):
     return r6(normalize.align_features(counts, n, "rank"), "value", "zero_value")
 
 
+def carried(spark, d, zero_aware):
+    """Every second cell as one modality, the others carried to its distributions."""
+    logged = normalize.log1p_total(D.counts(spark, d))
+    return r6(normalize.align_quantiles(logged.where("cell_id % 2 = 0"), logged.where("cell_id % 2 = 1"), zero_aware), "value", "zero_value")
+
+
+@query()
+def align_quantile(spark, d):
+    return carried(spark, d, False)
+
+
+@query()
+def align_zero_aware_quantile(spark, d):
+    return carried(spark, d, True)
+
+
+@query()
+def lsi_embedding(spark, d):
+    return embedding.lsi(D.counts(spark, d), 10)[0].select("cell_id", F.transform("lsi", lambda x: F.round(x, 4)).alias("lsi"))
+
+
+@query()
+def variable_by_batch(spark, d):
+    return r6(features.variable_by_batch(D.counts(spark, d), D.cells(spark, d).select("cell_id", F.col("sample").alias("batch")), 30), "median_rank")
+
+
+@query()
+def tukey_hsd(spark, d):
+    rows = D.cells(spark, d).groupBy("sample", "batch", "celltype").agg(F.avg("price").alias("y")).orderBy("sample", "batch", "celltype").collect()
+    found = stats.tukey(np.array([r["y"] for r in rows]), [r["batch"] for r in rows])
+    return spark.createDataFrame([(a, b, round(gap, 6), round(p, 6), bool(no)) for a, b, gap, p, no in found], "one string, other string, difference double, p double, rejected boolean")
+
+
+@query()
+def cca_imputed(spark, d):
+    units = unit_table(spark, d).withColumn("y", F.when(F.col("unit") != 3, F.col("y")))
+    return r6(trajectory.cca_with_all(units, "unit", "pc", "y"), "y", "score", "pseudotime")
+
+
+@query(f"WITH {TIMED} SELECT c_custkey, c_mktsegment, x AS pseudotime FROM customer JOIN (SELECT user_id, round(x, 6) AS x FROM u) ON user_id = c_custkey")
+def pseudotime_inner_join(spark, d):
+    meta = tables.read_table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    time = timed(spark, d).select(F.col("user_id").cast("string").alias("sample"), F.round("x", 6).alias("pseudotime"))
+    return joins.with_pseudotime(meta, time, "c_custkey")
+
+
+@query("SELECT n_name AS sample, n_nationkey::DOUBLE AS pc FROM nation WHERE n_nationkey % 3 <> 0")
+def sample_matching(spark, d):
+    n = tables.read_table(spark, d, "nation")
+    reduced = n.select(F.lower("n_name").alias("sample"), F.col("n_nationkey").cast("double").alias("pc"))
+    return joins.match_samples(reduced, n.where("n_nationkey % 3 <> 0").select(F.col("n_name").alias("sample")))
+
+
+NUMERIC = "(SELECT count({c}) AS n, count(DISTINCT {c}) AS d, bool_and({c}::DOUBLE % 1 = 0) AS w, '{c}' AS c FROM {t})"
+
+
+@query(" UNION ALL ".join(f"SELECT c AS \"column\", CASE WHEN d <= 10 AND d < 0.1 * n AND w THEN 'ordinal' ELSE 'numerical' END AS kind, d AS n_distinct FROM {NUMERIC.format(c=c, t='part')}" for c in ("p_size", "p_retailprice", "p_partkey")) + " UNION ALL SELECT 'p_brand', 'categorical', count(DISTINCT p_brand) FROM part")
+def data_types(spark, d):
+    return qc.data_types(tables.read_table(spark, d, "part"), ["p_size", "p_retailprice", "p_partkey", "p_brand"])
+
+
 @query()
 def combat_units(spark, d):
     rows = D.unit_vectors(spark, d).orderBy("unit").collect()

@@ -75,4 +75,4 @@ def peak_counts(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("cell_id"), F.col("l_partkey").alias("peak")).agg(F.sum("l_quantity").alias("value"))
 
 
-PEAK_COUNTS = "pc AS (SELECT l_orderkey AS cell_id, l_partkey AS peak, sum(l_quantity) AS value FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY 1, 2)"
+PEAK_COUNTS = "pc AS (SELECT l_orderkey AS cell_id, l_partkey AS peak, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2)"
