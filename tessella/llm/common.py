@@ -40,10 +40,17 @@ def materialize(df: DataFrame, name: str, like: DataFrame | None = None) -> Data
     if like is not None:
         df = df.coalesce(max(6, min(200_000, input_bytes(like) // FILE)))
     path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    at, fs = _hadoop(df.sparkSession, path)
+    fs.deleteOnExit(at)  # what no one drops before goes with the session
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
 def file_system(path: str):
     """pyarrow's file system of a path or URI of the shared folder, and the path in it."""
     from pyarrow.fs import FileSystem, LocalFileSystem
@@ -51,13 +58,12 @@ def file_system(path: str):
     return (LocalFileSystem(), path) if path.startswith("/") else FileSystem.from_uri(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Delete a materialized table that nothing will read again."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+def drop(*written: DataFrame) -> None:
+    """Delete materialized tables that nothing will read again."""
+    for df in written:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            at, fs = _hadoop(df.sparkSession, folder)
+            fs.delete(at, True)
 
 
 def small_batches(spark: SparkSession, size: str = "8m") -> None:

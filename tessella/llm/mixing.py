@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, drop, materialize
 
 WEIGHTS = (5, 2, 1)
 #: Rows of a cell, and cells of a page, about; hexadecimal digits of the key that tell a page's cells apart.
@@ -79,14 +79,16 @@ def running(rows: DataFrame, within: list[str], page: str, cell: str, value: str
 
 def schedule(sized: DataFrame, weights=WEIGHTS, budget_share: float = 1.5, max_epochs: int = 2, seed: int = 42) -> DataFrame:
     """doc_id, source, size, source_size, target, taken (words), copies of each row of sized."""
-    base = materialize(numbered(materialize(sized.withColumn("rid", F.monotonically_increasing_id()), "rows", sized)), "sized", sized)
+    first = materialize(sized.withColumn("rid", F.monotonically_increasing_id()), "rows", sized)
+    base = materialize(numbered(first), "sized", sized)
+    drop(first)
     goal = materialize(targets(base, weights, budget_share, max_epochs), "targets", base)
     n, budget = base.count(), goal.agg(F.round(F.sum("target"), 3)).first()[0] or 0.0
     digits = 1
     while 16**digits * CELL < n:
         digits += 1
-    first = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("epoch").cast("string"), F.lit(str(seed)))
-    key = F.md5(F.when(F.col("nth") == 0, first).otherwise(F.concat_ws(":", first, F.col("size").cast("string"), F.col("nth").cast("string"))))
+    plain = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("epoch").cast("string"), F.lit(str(seed)))
+    key = F.md5(F.when(F.col("nth") == 0, plain).otherwise(F.concat_ws(":", plain, F.col("size").cast("string"), F.col("nth").cast("string"))))
     epochs = F.explode(F.array(*[F.lit(e) for e in range(1, max_epochs + 1)]))
     queue = base.select("rid", "doc_id", "source", "size", "nth", epochs.alias("epoch")).withColumn("key", key).withColumn("cell", F.substring("key", 1, digits))
     # Words of the source before each cell; a page's cells share the digits before the last PAGE_DIGITS, and the epoch.

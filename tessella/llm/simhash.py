@@ -233,6 +233,7 @@ def near_copies(docs: DataFrame, radius: int = 4, words: int = 4, id_col: str =
     # Spark can split.
     least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least", nodes)
     part = materialize(rooted.join(least, "root").select("fp", "component_id"), "parts", nodes)
+    drop(nodes, tree, least)
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return marked.join(part, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 

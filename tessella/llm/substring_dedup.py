@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import gather, materialize, rows, small_batches
+from .common import drop, gather, materialize, rows, small_batches
 from .wording import BASES, Words, lowered, runs, sliding, stretches
 
 #: What parts units, as a literal pattern.
@@ -106,21 +106,21 @@ def scan(texts: DataFrame, sep: str, passage: int) -> DataFrame:
     return texts.mapInArrow(read, SCANNED)
 
 
-def earliest(found: DataFrame, name: str, apart: int) -> DataFrame:
+def earliest(found: DataFrame, name: str, apart: int) -> tuple[DataFrame, DataFrame]:
     """__id, __h, at, more: the occurrences that are not the earliest of their digest, from found, a written table with a row per text and digest:
-    __id, __h, d1, d2, place (the first in the text), others (the later ones), more."""
+    __id, __h, d1, d2, place (the first in the text), others (the later ones), more; and the table of digests, written for them."""
     # Written, so that the join below stands on plain exchanges, whose large partitions Spark can split.
     grouped = found.groupBy("d1", "d2").agg(F.min("__id").alias("first"), F.count("*").alias("texts"), F.max(F.size("others")).alias("most"))
     common = materialize(grouped.where("texts > 1 or most > 0").select("d1", "d2", "first"), f"{name}-common", found)
     later = F.filter("others", lambda p: p >= F.col("place") + apart)
     own = F.when(F.col("__id") == F.col("first"), later).otherwise(F.concat(F.array("place"), "others"))
-    return found.join(common, ["d1", "d2"]).select("__id", "__h", own.alias("at"), "more").where(F.size("at") > 0)
+    return found.join(common, ["d1", "d2"]).select("__id", "__h", own.alias("at"), "more").where(F.size("at") > 0), common
 
 
 def repeats(scanned: DataFrame, passage: int) -> DataFrame:
     """__id, __h, begin, end: of each row that loses units, its stretches of them, counted in units with words."""
     each = scanned.select("__id", "__h", F.explode(F.arrays_zip("d1", "d2", "n", "place", "others")).alias("u"))
-    found = earliest(each.select("__id", "__h", "u.d1", "u.d2", "u.place", "u.others", F.col("u.n").alias("more")), "units", 1)
+    found, common = earliest(each.select("__id", "__h", "u.d1", "u.d2", "u.place", "u.others", F.col("u.n").alias("more")), "units", 1)
     marked = found.groupBy("__id", "__h").agg(F.sort_array(F.flatten(F.collect_list(F.transform("at", lambda p: F.struct(p.alias("p"), F.col("more").alias("n")))))).alias("u"))
 
     def join(batches):
@@ -138,7 +138,9 @@ def repeats(scanned: DataFrame, passage: int) -> DataFrame:
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(p[begins].astype(np.int32), some, pa.int32()), lists((p[ends - 1] + 1).astype(np.int32), some, pa.int32())], ["__id", "__h", "begin", "end"])
             yield out.filter(pa.array(np.diff(some) > 0))
 
-    return marked.mapInArrow(join, "__id long, __h long, begin array<int>, end array<int>")
+    gone = materialize(marked.mapInArrow(join, "__id long, __h long, begin array<int>, end array<int>"), "gone", scanned)
+    drop(common)
+    return gone
 
 
 def covered(batch: pa.RecordBatch, begin: int, end: int, bounds: np.ndarray) -> np.ndarray:
@@ -198,8 +200,13 @@ def passages(texts: DataFrame, scanned: DataFrame, gone: DataFrame, sep: str, pa
     again = materialize(found.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run"), "again", found)
     places = found.join(again, "run").groupBy("__id", "__h").agg(F.collect_set("place").alias("__at"))
     asked = materialize(places.join(gone, ["__id", "__h"], "left"), "places", found)
+    drop(found, again)
     near = texts.join(asked, ["__id", "__h"]).select("__id", "__h", "__text", "__at", "begin", "end").mapInArrow(around, "__id long, __h long, d1 long, d2 long, place int, others array<int>")
-    return earliest(materialize(near.withColumn("more", F.lit(0)), "windows", texts), "passages", passage).groupBy("__id", "__h").agg(F.flatten(F.collect_list("at")).alias("from"))
+    windows = materialize(near.withColumn("more", F.lit(0)), "windows", texts)
+    repeated, common = earliest(windows, "passages", passage)
+    out = materialize(repeated.groupBy("__id", "__h").agg(F.flatten(F.collect_list("at")).alias("from")), "from", scanned)
+    drop(asked, windows, common)
+    return out
 
 
 def cut(text: str, begin: list[int], end: list[int], starts: np.ndarray, sep: str, passage: int) -> tuple[str, list[dict]]:
@@ -248,9 +255,11 @@ def deduplicate(docs: DataFrame, unit: str = "line", id_col: str = "doc_id", tex
     sep = SEPARATORS[unit]
     texts = keyed(docs, id_col, text_col)
     scanned = materialize(scan(texts, sep, passage), "scanned", texts)
-    gone = materialize(repeats(scanned, passage), "gone", scanned)
-    marks = gone.join(passages(texts, scanned, gone, sep, passage), ["__id", "__h"], "full").select(F.col("__id").alias("__id2"), F.col("__h").alias("__h2"), F.col("begin").alias("__begin"), F.col("end").alias("__end"), F.col("from").alias("__from"))
+    gone = repeats(scanned, passage)
+    found = passages(texts, scanned, gone, sep, passage)
+    marks = gone.join(found, ["__id", "__h"], "full").select(F.col("__id").alias("__id2"), F.col("__h").alias("__h2"), F.col("begin").alias("__begin"), F.col("end").alias("__end"), F.col("from").alias("__from"))
     marks = materialize(marks, "marks", scanned)
+    drop(scanned, gone, found)
     own = [F.col(f"`{c}`") for c in docs.columns if c != removed]
     names = [c for c in docs.columns if c != removed]
     text = F.col(f"`{text_col}`").cast("string")

@@ -2,13 +2,18 @@ import base64
 import hashlib
 from collections import Counter
 
+import duckdb
+import pandas as pd
 import public_tokenizers as P
 import tiktoken
 
 import corpus_pipeline
-from tessella.llm import language_id, simhash, substring_dedup
+from tessella.llm import language_id, mixing
 from tessella.llm.common import table
 
+from .test_simhash import brute, plain
+from .test_text_operators import plain_dedup
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -21,22 +26,31 @@ def test_stages_keep_the_columns(spark):
 
 
 def test_pipeline_against_plain_python(spark):
-    """Every stage's decisions, one after the other, from its operator's own report or the library."""
-    docs = table(spark, SF, "documents")
+    """Every stage's decisions, one after the other: the model's own predictions, then all pairs of fingerprints, all runs of words, the mix's SQL and
+    the library, on plain lists."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    rows = sorted((r["doc_id"], r["text"], r["source"]) for r in docs.collect())
     model = language_id.fit(docs.where(~language_id.held_out()))
-    rejected = {r["doc_id"] for r in language_id.predict(docs, model).where("rejected").collect()}
-    kept = docs.where(~docs["doc_id"].isin(sorted(rejected))) if rejected else docs
-    first = {r["component_id"] for r in simhash.near_copies(kept).collect()}
-    texts = {r["doc_id"]: r["text"] for r in substring_dedup.report(kept.where(kept["doc_id"].isin(sorted(first)))).collect()}
+    rejected = model.predict([t for _, t, _ in rows])[2]
+    rows = [r for r, no in zip(rows, rejected, strict=True) if not no]
+    least = {i: least for i, _, least in brute([(i, plain(t)) for i, t, _ in rows])}
+    rows = [r for r in rows if least[r[0]] == r[0]]
+    texts = {i: t for i, t, *_ in plain_dedup([r[:2] for r in rows])}
+    documents = pd.DataFrame([(i, texts[i], s) for i, _, s in rows], columns=["doc_id", "text", "source"])
+    con = duckdb.connect()
+    con.register("documents", documents)
+    taken = {r[0]: (r[1], r[4]) for r in con.sql(mixing.SQL).fetchall()}
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    got = Counter((r["doc_id"], r["n_tokens"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, SF).collect())
-    assert {g[0] for g in got} <= first and max(got.values()) <= 2
-    for doc_id, n, sha in got:
-        assert n == len(enc.encode_ordinary(texts[doc_id])) and sha == hashlib.sha256(texts[doc_id].encode()).hexdigest()
-    words = sum(len(t.split()) for t in texts.values())
-    taken = sum(len(texts[i].split()) * n for (i, _, _), n in got.items())
-    assert abs(taken - 1.5 * words) < 0.05 * words
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    want = Counter()
+    for i, t in texts.items():
+        ids = enc.encode_ordinary(t)
+        size, words = taken[i]
+        if size:
+            want[i, len(ids), sha(",".join(map(str, ids)).encode()), sha(t.encode())] = words // size
+    got = Counter(tuple(r[c] for c in ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")) for r in corpus_pipeline.run(spark, "/root/testdata/sf0.01").collect() if taken[r["doc_id"]][0])
+    assert got == +want and sum(got.values()) > 500
 
 
 def test_empty_documents(spark):
