@@ -1,4 +1,4 @@
-"""The corpus pipeline: language ID, SimHash near copies, repeated lines, mixing, byte-level BPE; each stage written and read again.
+"""The corpus pipeline: language ID, SimHash near copies, repeated passages, mixing, byte-level BPE; each stage written and read again.
 
 Stages return the columns of documents, the last one token ids. No SQL says what fingerprints and merges do: tests hold it against brute force.
 """
@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import byte_bpe, language_id, mixing, simhash, substring_dedup
-from tessella.llm.common import materialize, table
+from tessella.llm.common import drop, materialize, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_first(docs)
 
 
-def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return substring_dedup.rewrite(docs)
 
 
@@ -33,12 +33,15 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("language_id", language), ("simhash_near_dedup", near_copies), ("substring_dedup", repeated_lines), ("mixing", mix), ("byte_bpe", tokens)]
+STAGES = [("language_id", language), ("simhash_near_dedup", near_copies), ("substring_dedup", repeated_passages), ("mixing", mix), ("byte_bpe", tokens)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
