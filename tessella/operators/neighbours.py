@@ -1,7 +1,8 @@
 """Exact nearest neighbours, label transfer over them, and scores of neighbourhoods.
 
-Reference vectors go out in packed blocks of bounded size, and each query block takes the k best of each reference block by a matrix product;
-blocks meet in a join on the block pair, partial bests are merged by query, so neither side has to fit anywhere as a whole.
+Reference vectors go out in packed blocks of bounded size, and each query block takes the k best of each reference block by matrix products of
+CHUNK queries; blocks meet in a join on the block pair, partial bests are merged by query, so neither side has to fit anywhere as a whole. A query block
+is SIDE times a reference block, as it is what travels to every reference block.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096
+BLOCK, SIDE, CHUNK = 4096, 8, 1024
 #: Pairs whose exact distances are made at a time.
 PAIRS = 1 << 17
 
@@ -25,7 +26,7 @@ def nearest(queries: DataFrame, pool: DataFrame, k: int, metric: str = "euclidea
     """query, neighbour, distance, rank (from 1); equal distances go by the neighbour's id."""
     if metric not in ("euclidean", "cosine"):
         raise ValueError("euclidean or cosine")
-    nq, np_ = (max(1, -(-df.count() // BLOCK)) for df in (queries, pool))
+    nq, np_ = (max(1, -(-df.count() // size)) for df, size in ((queries, SIDE * BLOCK), (pool, BLOCK)))
     a, b = _blocks(queries, id_col, vector, nq, "q"), _blocks(pool, id_col, vector, np_, "p")
     # Each query block is sent to each block of the pool: an equi-join on the pool block's number.
     met = a.withColumn("k_p", F.explode(F.sequence(F.lit(0), F.lit(np_ - 1)))).join(b, "k_p")
@@ -33,29 +34,33 @@ def nearest(queries: DataFrame, pool: DataFrame, k: int, metric: str = "euclidea
     def best(batches):
         for frame in batches:
             for q, p in zip(frame["q"], frame["p"], strict=True):
-                qi, pi = np.array([r["id"] for r in q]), np.array([r["id"] for r in p])
-                x, y = np.array([r["v"] for r in q], float), np.array([r["v"] for r in p], float)
-                if metric == "cosine":
-                    x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
-                squares = (x**2).sum(1)[:, None] + (y**2).sum(1)[None, :]
-                rough = squares - 2 * x @ y.T if metric == "euclidean" else 1 - x @ y.T
-                if exclude_self:
-                    rough[qi[:, None] == pi[None, :]] = np.inf
-                # All that may be as near as the k-th, as the products round: ties are told apart by their exact distances and ids.
-                limit = np.partition(rough, min(k, len(pi)) - 1, axis=1)[:, min(k, len(pi)) - 1] + 1e-10 * (1 + squares.max(1))
-                near = np.isfinite(rough) & (rough <= limit[:, None])
-                ends = np.cumsum(near.sum(1))
-                i = 0
-                while i < len(qi):
-                    j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS, "right")))
-                    a, c = np.nonzero(near[i:j])
-                    a += i
-                    d = np.sqrt(((x[a] - y[c]) ** 2).sum(1)) if metric == "euclidean" else 1 - np.einsum("ij,ij->i", x[a], y[c])
-                    order = np.lexsort((pi[c], d, a))
-                    a, c, d = a[order], c[order], d[order]
-                    keep = np.arange(len(a)) - np.searchsorted(a, a) < k
-                    yield pd.DataFrame({"query": qi[a[keep]], "neighbour": pi[c[keep]], "distance": d[keep]})
-                    i = j
+                pi, y = np.array([r["id"] for r in p]), np.array([r["v"] for r in p], float)
+                for lo in range(0, len(q), CHUNK):
+                    part = q[lo : lo + CHUNK]
+                    yield from nearest_of(np.array([r["id"] for r in part]), np.array([r["v"] for r in part], float), pi, y)
+
+    def nearest_of(qi, x, pi, y):
+        if metric == "cosine":
+            x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
+        squares = (x**2).sum(1)[:, None] + (y**2).sum(1)[None, :]
+        rough = squares - 2 * x @ y.T if metric == "euclidean" else 1 - x @ y.T
+        if exclude_self:
+            rough[qi[:, None] == pi[None, :]] = np.inf
+        # All that may be as near as the k-th, as the products round: ties are told apart by their exact distances and ids.
+        limit = np.partition(rough, min(k, len(pi)) - 1, axis=1)[:, min(k, len(pi)) - 1] + 1e-10 * (1 + squares.max(1))
+        near = np.isfinite(rough) & (rough <= limit[:, None])
+        ends = np.cumsum(near.sum(1))
+        i = 0
+        while i < len(qi):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS, "right")))
+            a, c = np.nonzero(near[i:j])
+            a += i
+            d = np.sqrt(((x[a] - y[c]) ** 2).sum(1)) if metric == "euclidean" else 1 - np.einsum("ij,ij->i", x[a], y[c])
+            order = np.lexsort((pi[c], d, a))
+            a, c, d = a[order], c[order], d[order]
+            keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+            yield pd.DataFrame({"query": qi[a[keep]], "neighbour": pi[c[keep]], "distance": d[keep]})
+            i = j
 
     part = met.select("q", "p").mapInPandas(best, "query long, neighbour long, distance double")
     order = Window.partitionBy("query").orderBy("distance", "neighbour")
@@ -77,7 +82,8 @@ def snn_transfer(xx: DataFrame, xy: DataFrame, yx: DataFrame, yy: DataFrame, lab
     b = xy.select(F.col("query").alias("x"), F.col("neighbour").alias("m")).join(yy.select(F.col("query").alias("y"), F.col("neighbour").alias("m")), "m").select("x", "y")
     j = a.unionAll(b).groupBy("x", "y").agg(F.count("*").alias("j"))
     weighed = j.join(labels.select(F.col("id").alias("x"), "label"), "x").groupBy("y", "label").agg(F.sum(F.col("j") / (4 * k - F.col("j"))).alias("w"))
-    best = weighed.groupBy("y").agg(F.min_by("label", F.struct(-F.col("w"), "label")).alias("label"), (F.max("w") / F.sum("w")).alias("confidence"))
+    # Rounded, so that sums in another order are a tie still.
+    best = weighed.groupBy("y").agg(F.min_by("label", F.struct(-F.round("w", 12), "label")).alias("label"), (F.max("w") / F.sum("w")).alias("confidence"))
     return yx.select(F.col("query").alias("y")).distinct().join(best, "y", "left").select("y", F.coalesce("label", F.lit("unassigned")).alias("label"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import digamma, f_tail, inverse_trigamma, studentized_range_tail, t_tail, trigamma
+from .ordered import before
 
 
 def benjamini_hochberg(rows: DataFrame, p: str, key: str, within: list[str] = ()) -> DataFrame:
@@ -27,8 +28,7 @@ def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
 
     def ranked(df, c):
         n = df.groupBy(c).agg(F.count("*").alias("__n"))
-        before = F.coalesce(F.sum("__n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return n.select(F.col(c).alias(f"__{c}"), (before + (F.col("__n") + 1) / 2.0).alias(f"r_{c}"))
+        return before(n, c, [], "__before", "__n").select(F.col(c).alias(f"__{c}"), (F.col("__before") + (F.col("__n") + 1) / 2.0).alias(f"r_{c}"))
 
     met = both.join(ranked(both, x), F.col(x) == F.col(f"__{x}")).join(ranked(both, y), F.col(y) == F.col(f"__{y}"))
     return met.agg(F.corr(f"r_{x}", f"r_{y}").alias("rho"), F.count("*").alias("n"))

@@ -10,21 +10,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import f_tail
+from .ordered import before
 
 
 def rank_pseudotime(rows: DataFrame, key: str, order: str) -> DataFrame:
     """key, pseudotime = i / (n - 1) in order, ties by key."""
-    ranked = rows.select(key, F.row_number().over(Window.orderBy(order, key)).alias("i"), F.count("*").over(Window.partitionBy()).alias("n"))
-    return ranked.select(key, F.when(F.col("n") > 1, (F.col("i") - 1) / (F.col("n") - 1)).otherwise(0.0).alias("pseudotime"))
+    n = rows.count()
+    ranked = before(rows.select(key, order), order, [key], "__i")
+    return ranked.select(key, (F.col("__i") / F.lit(float(n - 1)) if n > 1 else F.lit(0.0)).alias("pseudotime"))
 
 
 def path_pseudotime(rows: DataFrame, key: str, order: str, coordinates: list[str]) -> DataFrame:
     """key, pseudotime: the length of the path through the ordered points so far, over the whole length."""
-    w = Window.orderBy(order, key)
-    step = F.sqrt(sum((F.pow(F.col(c) - F.lag(c).over(w), 2) for c in coordinates), F.lit(0.0)))
-    run = rows.withColumn("__d", F.coalesce(step, F.lit(0.0))).withColumn("__s", F.sum("__d").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    total = F.max("__s").over(Window.partitionBy())
-    return run.select(key, F.when(total > 0, F.col("__s") / total).otherwise(0.0).alias("pseudotime"))
+    placed = before(rows.select(key, order, *coordinates), order, [key], "__i")
+    last = placed.select((F.col("__i") + 1).alias("__j"), *[F.col(c).alias(f"__{c}") for c in coordinates])
+    step = F.sqrt(sum((F.pow(F.col(c) - F.col(f"__{c}"), 2) for c in coordinates), F.lit(0.0)))
+    steps = placed.join(last, F.col("__i") == F.col("__j"), "left").select(key, "__i", F.coalesce(step, F.lit(0.0)).alias("__d"))
+    total = steps.agg(F.sum("__d")).first()[0] or 0.0
+    run = before(steps, "__i", [], "__s", "__d")
+    return run.select(key, ((F.col("__s") + F.col("__d")) / F.lit(total) if total > 0 else F.lit(0.0)).alias("pseudotime"))
 
 
 def min_max(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -49,9 +53,9 @@ def quantile_bins(rows: DataFrame, value: str, q: int = 4) -> DataFrame:
 
 def order_score(rows: DataFrame, position: str, value: str) -> DataFrame:
     """One row: sum over i < j of (s_j - s_i), over the same for the sorted values; closed form sum s_i (2 i - n + 1)."""
-    n = F.count("*").over(Window.partitionBy())
-    i, k = F.row_number().over(Window.orderBy(position)) - 1, F.row_number().over(Window.orderBy(value, position)) - 1
-    s = rows.select((F.col(value) * (2 * i - n + 1)).alias("seen"), (F.col(value) * (2 * k - n + 1)).alias("best")).agg(F.sum("seen").alias("seen"), F.sum("best").alias("best"))
+    n = F.lit(rows.count())
+    ranked = before(before(rows.select(position, value), position, [], "__i"), value, [position], "__k")
+    s = ranked.agg(F.sum(F.col(value) * (2 * F.col("__i") - n + 1)).alias("seen"), F.sum(F.col(value) * (2 * F.col("__k") - n + 1)).alias("best"))
     return s.select(F.when(F.col("best") > 0, F.col("seen") / F.col("best")).alias("score"))
 
 

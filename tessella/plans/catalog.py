@@ -486,7 +486,7 @@ def sides(spark, d):
 @query(f"""WITH {D.LONG}, nd AS (SELECT a.vec_id AS q, a.modality AS qm, b.vec_id AS n, b.modality AS nm, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS dd FROM long a JOIN long b ON a.i = b.i AND a.vec_id <> b.vec_id GROUP BY 1, 2, 3, 4),
 k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q, nm ORDER BY dd, n) AS r FROM nd) WHERE r <= 5),
 j AS (SELECT x, y, count(*) AS j FROM (SELECT a.q AS x, b.q AS y FROM k a JOIN k b ON a.n = b.n WHERE a.qm = 'RNA' AND a.nm = 'RNA' AND b.qm = 'ATAC' AND b.nm = 'RNA' UNION ALL SELECT a.q, b.q FROM k a JOIN k b ON a.n = b.n WHERE a.qm = 'RNA' AND a.nm = 'ATAC' AND b.qm = 'ATAC' AND b.nm = 'ATAC') GROUP BY 1, 2),
-w AS (SELECT y, label, sum(j / (20 - j)::DOUBLE) AS w FROM j JOIN vec ON vec_id = x GROUP BY 1, 2), best AS (SELECT y, label, w / t AS c FROM (SELECT *, sum(w) OVER (PARTITION BY y) AS t, row_number() OVER (PARTITION BY y ORDER BY w DESC, label) AS k FROM w) WHERE k = 1)
+w AS (SELECT y, label, sum(j / (20 - j)::DOUBLE) AS w FROM j JOIN vec ON vec_id = x GROUP BY 1, 2), best AS (SELECT y, label, w / t AS c FROM (SELECT *, sum(w) OVER (PARTITION BY y) AS t, row_number() OVER (PARTITION BY y ORDER BY round(w, 12) DESC, label) AS k FROM w) WHERE k = 1)
 SELECT vec_id AS y, coalesce(best.label, 'unassigned') AS label, round(coalesce(c, 0), 6) AS confidence FROM vec LEFT JOIN best ON y = vec_id WHERE modality = 'ATAC'""")
 def snn_label_transfer(spark, d):
     x, y = sides(spark, d)

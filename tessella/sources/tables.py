@@ -6,7 +6,7 @@ import json
 import re
 from dataclasses import asdict, dataclass, fields
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -159,8 +159,10 @@ def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
 
 def batches_of_rows(counts: DataFrame, cells: DataFrame, start: int, size: int) -> DataFrame:
     """The counts of cells start..start+size by id order."""
-    ordered = cells.select("cell_id").distinct().withColumn("i", F.row_number().over(Window.orderBy("cell_id")) - 1)
-    return counts.join(F.broadcast(ordered.where(F.col("i").between(start, start + size - 1)).select("cell_id")), "cell_id", "left_semi")
+    from ..operators.ordered import before
+
+    ordered = before(cells.select("cell_id").distinct(), "cell_id", [], "__i")
+    return counts.join(ordered.where(F.col("__i").between(start, start + size - 1)).select("cell_id"), "cell_id", "left_semi")
 
 
 def safe_name(name: str) -> str:

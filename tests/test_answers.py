@@ -198,3 +198,19 @@ def test_gene_models_and_sinks(spark, tmp_path):
         assert back == [(1, "a b"), (2, None)]
     with pytest.raises(ValueError, match="written"):
         tables.write_table(df, str(tmp_path / "t.xyz"))
+
+
+def test_sums_before_each_row(spark, monkeypatch):
+    from tessella.operators import ordered
+
+    rng = np.random.default_rng(9)
+    rows = [(None if i % 50 == 0 else int(rng.integers(0, 300)), i, float(rng.integers(1, 9))) for i in range(2000)]
+    df = spark.createDataFrame(rows, "x long, k long, v double").repartition(7)
+    want, n, total = {}, 0, 0.0
+    for _, k, v in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        want[k], n, total = (n, total), n + 1, total + v
+    for whole in (10_000, 100):
+        monkeypatch.setattr(ordered, "WHOLE", whole)
+        monkeypatch.setattr(ordered, "ROWS", 70)
+        got = ordered.before(ordered.before(df, "x", ["k"], "n"), "x", ["k"], "s", "v").collect()
+        assert {r["k"]: (r["n"], r["s"]) for r in got} == want
