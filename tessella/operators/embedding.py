@@ -127,28 +127,32 @@ def cell_pca(cells: DataFrame, vector: str, k: int, out: str = "pc") -> DataFram
     return cells.withColumn(out, F.array(*score))
 
 
-def lsi(counts: DataFrame, components: int = 50, drop_first: bool = True, rounds: int = 8, more: int = 10, seed: int = 42) -> tuple[DataFrame, np.ndarray]:
-    """cell_id, lsi (a coordinate per component), and the components' deviations: the first left singular vectors of the TF-IDF of counts, each
-    brought to mean 0 and deviation 1 over the cells with counts; the first component, which follows the depth, is left out.
+def _sparse_product(i, x, v: np.ndarray):
+    """x v of cells given by their features' places i and values x; and the entries: places, values, rows."""
+    sizes = [len(a) for a in i]
+    at, value = np.concatenate([np.asarray(a, int) for a in i]), np.concatenate([np.asarray(a, float) for a in x])
+    return np.add.reduceat(v[at] * value[:, None], np.cumsum([0, *sizes[:-1]]), axis=0), at, value, np.repeat(np.arange(len(sizes)), sizes)
+
+
+def decompose(values: DataFrame, components: int, centred: bool, rounds: int = 8, more: int = 10, seed: int = 42):
+    """Singular vectors of the cells' features (cell_id, feature_id, value; absent ones are 0), minus each feature's mean over the cells if centred.
 
     Subspace iteration: a cell's features stand in one row, each round adds up x' (x v) over the cells, and only features times components reach the
-    driver. Each component has its largest loading positive.
+    driver. Returns the rows (cell_id, i, x), the loadings by feature (each component's largest is positive), the features' means (0 if not centred),
+    the singular values and the components' means over the cells.
     """
-    from .normalize import tfidf
-
-    spark = counts.sparkSession
-    names = [r[0] for r in counts.select("feature_id").distinct().orderBy("feature_id").collect()]  # features, not cells
+    spark = values.sparkSession
+    names = [r[0] for r in values.select("feature_id").distinct().orderBy("feature_id").collect()]  # features, not cells
     k = min(components + more, len(names))
     if len(names) * k > 1 << 26:
         raise ValueError(f"{len(names)} features times {k} components exceed what one matrix may hold; choose variable features first")
-    place = spark.createDataFrame(list(enumerate(names)), f"i int, feature_id {dict(counts.dtypes)['feature_id']}")
-    rows = tfidf(counts).join(place, "feature_id").groupBy("cell_id").agg(F.collect_list(F.struct("i", "value")).alias("x")).select("cell_id", F.col("x.i").alias("i"), F.col("x.value").alias("x")).persist()
+    place = spark.createDataFrame(list(enumerate(names)), f"i int, feature_id {dict(values.dtypes)['feature_id']}")
+    rows = values.join(place, "feature_id").groupBy("cell_id").agg(F.collect_list(F.struct("i", "value")).alias("x")).select("cell_id", F.col("x.i").alias("i"), F.col("x.value").alias("x")).persist()
     n = rows.count()
-
-    def product(i, x, v: np.ndarray):
-        sizes = [len(a) for a in i]
-        at, value = np.concatenate([np.asarray(a, int) for a in i]), np.concatenate([np.asarray(a, float) for a in x])
-        return np.add.reduceat(v[at] * value[:, None], np.cumsum([0, *sizes[:-1]]), axis=0), at, value, np.repeat(np.arange(len(sizes)), sizes)
+    mean = np.zeros(len(names))
+    if centred:
+        for i, m in values.join(place, "feature_id").groupBy("i").agg(F.sum("value") / n).collect():
+            mean[i] = m
 
     def once(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """x' x v, the second moments and the sums of x v."""
@@ -159,7 +163,7 @@ def lsi(counts: DataFrame, components: int = 50, drop_first: bool = True, rounds
             chunk = []
 
             def add():
-                u, at, value, owner = product([r[0] for r in chunk], [r[1] for r in chunk], sent.value)
+                u, at, value, owner = _sparse_product([r[0] for r in chunk], [r[1] for r in chunk], sent.value)
                 np.add.at(back, at, u[owner] * value[:, None])
                 second.__iadd__(u.T @ u)
                 total.__iadd__(u.sum(0))
@@ -173,21 +177,24 @@ def lsi(counts: DataFrame, components: int = 50, drop_first: bool = True, rounds
                 add()
             yield back, second, total
 
-        return rows.select("i", "x").rdd.mapPartitions(part).treeReduce(lambda a, b: tuple(x + y for x, y in zip(a, b, strict=True)))
+        back, second, total = rows.select("i", "x").rdd.mapPartitions(part).treeReduce(lambda a, b: tuple(x + y for x, y in zip(a, b, strict=True)))
+        shift = mean @ v
+        return back - n * np.outer(mean, shift), second - n * np.outer(shift, shift), total - n * shift
 
     v, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(names), k)))
     for _ in range(rounds):
         v, _ = np.linalg.qr(once(v)[0])
     _, second, total = once(v)
-    values, turn = np.linalg.eigh(second)
-    order = np.argsort(-values)[: min(components, k)]
-    singular, turn = np.sqrt(np.maximum(values[order], 0)), turn[:, order]
-    load = v @ turn
+    found, turn = np.linalg.eigh(second)
+    order = np.argsort(-found)[: min(components, k)]
+    load = v @ turn[:, order]
     sign = np.where(load[np.abs(load).argmax(0), np.arange(load.shape[1])] < 0, -1.0, 1.0)
-    own = slice(1 if drop_first else 0, None)
-    mean = (total @ turn * sign)[own] / n
-    sd = np.sqrt(np.maximum(singular[own] ** 2 / n - mean**2, 1e-300))
-    sent = spark.sparkContext.broadcast(load * sign)
+    return rows, load * sign, mean, np.sqrt(np.maximum(found[order], 0)), total @ turn[:, order] * sign / n
+
+
+def _scores(rows: DataFrame, name: str, load: np.ndarray, shift: np.ndarray, by: np.ndarray) -> DataFrame:
+    """cell_id and name: (x load - shift) / by of every cell."""
+    sent = rows.sparkSession.sparkContext.broadcast((load, shift, by))
 
     def project(frames):
         import pandas as pd
@@ -195,10 +202,27 @@ def lsi(counts: DataFrame, components: int = 50, drop_first: bool = True, rounds
         for frame in frames:
             for lo in range(0, len(frame), 256):
                 part = frame.iloc[lo : lo + 256]
-                u = product(list(part["i"]), list(part["x"]), sent.value)[0][:, own]
-                yield pd.DataFrame({"cell_id": part["cell_id"].to_numpy(), "lsi": list((u - mean) / sd)})
+                u = _sparse_product(list(part["i"]), list(part["x"]), sent.value[0])[0]
+                yield pd.DataFrame({"cell_id": part["cell_id"].to_numpy(), name: list((u - sent.value[1]) / sent.value[2])})
 
-    return rows.mapInPandas(project, f"cell_id {dict(counts.dtypes)['cell_id']}, lsi array<double>"), singular[own] / np.sqrt(max(1, n - 1))
+    return rows.mapInPandas(project, f"cell_id {dict(rows.dtypes)['cell_id']}, {name} array<double>")
+
+
+def lsi(counts: DataFrame, components: int = 50, drop_first: bool = True, rounds: int = 8, more: int = 10, seed: int = 42) -> tuple[DataFrame, np.ndarray]:
+    """cell_id, lsi (a coordinate per component), and the components' deviations: the first left singular vectors of the TF-IDF of counts, each
+    brought to mean 0 and deviation 1 over the cells with counts; the first component, which follows the depth, is left out."""
+    from .normalize import tfidf
+
+    rows, load, _, singular, mean = decompose(tfidf(counts), components, False, rounds, more, seed)
+    n, own = rows.count(), slice(1 if drop_first else 0, None)
+    sd = np.sqrt(np.maximum(singular[own] ** 2 / n - mean[own] ** 2, 1e-300))
+    return _scores(rows, "lsi", load[:, own], mean[own], sd), singular[own] / np.sqrt(max(1, n - 1))
+
+
+def count_pca(values: DataFrame, components: int = 20, rounds: int = 8, more: int = 10, seed: int = 42) -> DataFrame:
+    """cell_id, pc: scores of the first principal components of the features of normalised counts, over the cells with counts."""
+    rows, load, mean, singular, _ = decompose(values, components, True, rounds, more, seed)
+    return _scores(rows, "pc", load, mean @ load, np.ones(len(singular)))
 
 
 def harmony(z: np.ndarray, batch: list, clusters: int | None = None, rounds: int = 30, sigma: float = 0.1, theta: float = 2.0, ridge: float = 1.0, seed: int = 42) -> np.ndarray:
@@ -261,13 +285,13 @@ def reduce_units(values: DataFrame, batches: dict | None, components: int = 10,
     return spark.createDataFrame([(u, [float(v) for v in row]) for u, row in zip(units, z, strict=True)], ["unit", "pc"])
 
 
-def sample_embedding(cells: DataFrame, unit: str, celltype: str, vector: str, id_col: str, batch: str | None = None, k_medium: int | None = None, k_fine: int | None = None, alpha: float = 0.6, components: int = 10, method: str = "harmony", seed: int = 42) -> DataFrame:
-    """The flagship: hard composition, two soft compositions, displacement; stacked, reduced, corrected.
+def sample_blocks(cells: DataFrame, unit: str, celltype: str, vector: str, id_col: str, k_medium: int | None = None, k_fine: int | None = None, alpha: float = 0.6, seed: int = 42) -> list[tuple[DataFrame, float]]:
+    """The four blocks (unit, feature, value) and their weights: hard composition, two soft compositions, displacement.
 
     Anchors follow the number of cells n unless given: min(120, max(2, n // 200)) and min(300, max(2, n // 100)).
     """
     from ..functions.columns import block_weights
-    from .compose import composition, majority
+    from .compose import composition
 
     if k_medium is None or k_fine is None:
         n = cells.count()
@@ -280,5 +304,13 @@ def sample_embedding(cells: DataFrame, unit: str, celltype: str, vector: str, id
     grid = moved.select("unit").distinct().join(F.broadcast(moved.select("feature").distinct()))
     moved = grid.join(moved, ["unit", "feature"], "left").na.fill(0.0, ["value"])
     weights = block_weights(hard.select("feature").distinct().count(), k_medium, k_fine, alpha)
+    return list(zip([hard, *soft, moved], weights, strict=True))
+
+
+def sample_embedding(cells: DataFrame, unit: str, celltype: str, vector: str, id_col: str, batch: str | None = None, k_medium: int | None = None, k_fine: int | None = None, alpha: float = 0.6, components: int = 10, method: str = "harmony", seed: int = 42) -> DataFrame:
+    """The flagship: the four blocks, stacked, reduced, corrected."""
+    from .compose import majority
+
+    blocks = sample_blocks(cells, unit, celltype, vector, id_col, k_medium, k_fine, alpha, seed)
     batches = {r[0]: r[1] for r in majority(cells, unit, batch).select(unit, batch).collect()} if batch else None
-    return reduce_units(frobenius_stack(list(zip([hard, *soft, moved], weights, strict=True))), batches, components, method)
+    return reduce_units(frobenius_stack(blocks), batches, components, method)

@@ -248,10 +248,10 @@ def variable_by_standardised(spark, d):
     return features.variable_by_standardised(counts, counts.select("cell_id").distinct().count(), 50)
 
 
-@query()
+@query(f"WITH {D.CELLS}, {D.COUNTS}, {MV}, m AS (SELECT feature_id, avg(mean) AS mean, avg(variance) AS variance FROM mv GROUP BY 1), b AS (SELECT feature_id, ln(greatest(variance / mean, 1e-12)) AS d, ln(1 + mean) AS m FROM m WHERE mean > 0), e AS (SELECT min(m) AS lo, max(m) AS hi FROM b), k AS (SELECT feature_id, d, least(19, floor((m - lo) / (hi - lo + 1e-12) * 20))::INT AS bin FROM b CROSS JOIN e), p AS (SELECT bin, avg(d) AS bm, stddev_samp(d) AS bs FROM k GROUP BY 1), z AS (SELECT feature_id, round(CASE WHEN bs > 0 THEN (d - bm) / bs ELSE 1.0 END, 6) AS dispersion, CASE WHEN bs > 0 THEN (d - bm) / bs ELSE 1.0 END AS exact FROM k JOIN p ON p.bin = k.bin) SELECT feature_id, dispersion, rank FROM (SELECT *, row_number() OVER (ORDER BY exact DESC, feature_id)::INT AS rank FROM z) WHERE rank <= 50")
 def variable_by_dispersion(spark, d):
     m = compose.mean_and_variance(D.counts(spark, d), D.cells(spark, d), "sample").groupBy("feature_id").agg(F.avg("mean").alias("mean"), F.avg("variance").alias("variance"))
-    return features.variable_by_dispersion(m, 50)
+    return r6(features.variable_by_dispersion(m, 50), "dispersion")
 
 
 @query(f"WITH {D.CELLS}, {D.COUNTS}, {MV}, c AS (SELECT quantile_cont(mean, 0.7) AS c FROM mv), k AS (SELECT feature_id, var_samp(mean) AS variance FROM mv GROUP BY 1 HAVING max(mean) > (SELECT c FROM c)) SELECT feature_id, round(variance, 6) AS variance, rank FROM (SELECT *, row_number() OVER (ORDER BY variance DESC, feature_id)::INT AS rank FROM k) WHERE rank <= 30")
@@ -645,8 +645,10 @@ def gene_concordance(spark, d):
 
 @query()
 def association_permutation(spark, d):
-    rows = D.unit_vectors(spark, d).select("unit", *[F.col("v")[i].alias(f"pc{i}") for i in range(3)], (F.col("unit") % 5).alias("x"))
-    return r6(stats.r2_permutations(rows, "unit", "x", ["pc0", "pc1", "pc2"]), "r2", "p")
+    v = D.unit_vectors(spark, d)
+    names = [f"pc{i}" for i in range(v.agg(F.max(F.size("v"))).first()[0] or 0)]
+    rows = v.select("unit", *[F.col("v")[i].alias(c) for i, c in enumerate(names)], (F.col("unit") % 5).alias("x"))
+    return r6(stats.r2_permutations(rows, "unit", "x", names), "r2", "p")
 
 
 @query()
@@ -723,7 +725,9 @@ def proportion_trends(spark, d):
 
 
 def unit_table(spark, d):
-    return D.unit_vectors(spark, d).select("unit", F.slice("v", 1, 4).alias("pc"), (F.col("unit") % 5).cast("double").alias("y"))
+    """The units' first four principal components over all coordinates, and a target."""
+    units, _, x = embedding.matrix(D.unit_vectors(spark, d).select("unit", F.posexplode("v").alias("feature", "value")))
+    return spark.createDataFrame([(u, [float(v) for v in row], float(u % 5)) for u, row in zip(units, embedding.pca(x, 4), strict=True)], "unit long, pc array<double>, y double")
 
 
 @query()
@@ -759,7 +763,7 @@ def kmeans_clusters(spark, d):
 @query()
 def gmm_bic(spark, d):
     rows = unit_table(spark, d).orderBy("unit").collect()
-    found = trajectory.cluster_by_bic(np.array([r["pc"] for r in rows]), 5)
+    found = trajectory.cluster_by_bic(np.array([r["pc"] for r in rows]))
     return spark.createDataFrame([(r["unit"], int(c)) for r, c in zip(rows, found, strict=True)], "unit long, cluster int")
 
 
@@ -773,12 +777,16 @@ def cluster_reconciliation(spark, d):
     return clusters.reconcile(tables.read_table(spark, d, "embeddings").select((F.col("vec_id") % 7).alias("c"), "label"), "c", "label")
 
 
+def blocks(spark, d):
+    """Units, and the four blocks of their embedding with weights."""
+    made = [(embedding.matrix(b), w) for b, w in embedding.sample_blocks(D.vectors(spark, d), "unit", "label", "embedding", "vec_id")]
+    return made[0][0][0], [x for (_, _, x), _ in made], [w for _, w in made]
+
+
 @query()
 def autotune_alpha(spark, d):
-    v = D.vectors(spark, d)
-    hard = embedding.matrix(compose.composition(v, "unit", "label").select("unit", F.col("celltype").alias("feature"), F.col("proportion").alias("value")))
-    moved = embedding.matrix(embedding.displacement(v.withColumn("g", F.lit(1)), "unit", "g", "label", "embedding").select("unit", F.concat_ws(":", "celltype", "dim").alias("feature"), "value"))
-    score, alpha = tuning.autotune([hard[2], moved[2]], [1.0], [float(u % 5) for u in hard[0]], "cca", "grid")
+    units, made, weights = blocks(spark, d)
+    score, alpha = tuning.autotune(made, weights[:-1], [float(u % 5) for u in units], "cca")
     return spark.createDataFrame([(round(score, 6), round(alpha, 6))], "score double, alpha double")
 
 
@@ -906,6 +914,12 @@ def align_zero_aware_quantile(spark, d):
     return carried(spark, d, True)
 
 
+@query()
+def count_pca(spark, d):
+    found = embedding.count_pca(normalize.log1p_total(D.counts(spark, d)), 5)
+    return found.select("cell_id", F.transform("pc", lambda x: F.round(x, 4)).alias("pc"))
+
+
 @query()
 def lsi_embedding(spark, d):
     return embedding.lsi(D.counts(spark, d), 10)[0].select("cell_id", F.transform("lsi", lambda x: F.round(x, 4)).alias("lsi"))
@@ -976,7 +990,6 @@ def best_components(spark, d):
 @query()
 def ablation_variants(spark, d):
     """Mean squared coordinate of the units under each variant of the embedding."""
-    rows = D.unit_vectors(spark, d).orderBy("unit").collect()
-    x = np.array([r["v"] for r in rows])
-    made = tuning.ablations([x[:, :32], x[:, 32:]], [1.0, 0.6], [r["unit"] % 3 for r in rows], 5)
-    return spark.createDataFrame([(name, len(z), round(float((z**2).mean()), 6)) for name, z in made.items()], "variant string, n long, mean_square double")
+    units, made, weights = blocks(spark, d)
+    variants = tuning.ablations(made, weights, [u % 3 for u in units], 5)
+    return spark.createDataFrame([(name, len(z), round(float((z**2).mean()), 6)) for name, z in variants.items()], "variant string, n long, mean_square double")

@@ -98,9 +98,13 @@ class RunConfig:
     sample_column: str = "sample"
     celltype_column: str = "celltype"
     batch_column: str = ""
+    target_column: str = ""
     min_cells: int = 500
     min_features: int = 500
     max_pct_special: float = 20.0
+    special_prefix: str = "MT-"
+    variable_features: int = 2000
+    cell_types: int = 0
     components: int = 10
     k_medium: int = 120
     k_fine: int = 300

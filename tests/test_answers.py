@@ -214,3 +214,57 @@ def test_sums_before_each_row(spark, monkeypatch):
         monkeypatch.setattr(ordered, "ROWS", 70)
         got = ordered.before(ordered.before(df, "x", ["k"], "n"), "x", ["k"], "s", "v").collect()
         assert {r["k"]: (r["n"], r["s"]) for r in got} == want
+
+
+def test_count_pca(spark):
+    rng = np.random.default_rng(12)
+    x = np.where(rng.random((70, 25)) < 0.5, rng.gamma(2, 1, (70, 25)) * np.linspace(1, 3, 25), 0)
+    x[:, 3] += np.arange(70) / 5
+    x[:, 0] += 0.1
+    values = spark.createDataFrame([(int(c), f"f{f:02d}", float(x[c, f])) for c, f in zip(*np.nonzero(x), strict=True)], "cell_id long, feature_id string, value double")
+    got = np.array([r["pc"] for r in embedding.count_pca(values, 3, rounds=40).orderBy("cell_id").collect()])
+    u, s, _ = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    for j in range(3):
+        assert min(np.abs(got[:, j] - sign * u[:, j] * s[j]).max() for sign in (1, -1)) < 1e-5
+
+
+def test_trend_by_its_definition(spark):
+    from tessella.functions.special import f_tail
+
+    rng = np.random.default_rng(13)
+    t = np.sort(rng.random(30))
+    y = np.sin(3 * t) + 0.1 * rng.normal(size=30) + 2
+    values = spark.createDataFrame([(i, "f", float(v)) for i, v in enumerate(y)], "unit long, feature string, value double")
+    got = trajectory.gam_trends(values, spark.createDataFrame([(i, float(v)) for i, v in enumerate(t)], "unit long, pseudotime double")).first()
+    b = trajectory.spline_basis(t, 5, 3)
+    d = np.array([[1, -2, 1, 0, 0], [0, 1, -2, 1, 0], [0, 0, 1, -2, 1]], float)
+    hat = b @ np.linalg.solve(b.T @ b + 0.6 * d.T @ d, b.T)
+    fitted, edof = hat @ y, np.trace(hat)
+    rss, tss = ((y - fitted) ** 2).sum(), ((y - y.mean()) ** 2).sum()
+    f = ((tss - rss) / (edof - 1)) / (rss / (30 - edof))
+    assert np.allclose([got["deviance"], got["p"], got["effect"]], [1 - rss / tss, f_tail(f, edof - 1, 30 - edof), np.ptp(fitted) / math.sqrt(rss / (30 - edof))], rtol=1e-6) and got["direction"] == ("UP" if fitted[-1] > fitted[0] else "DOWN")
+
+
+def test_mixture_finds_its_parts():
+    rng = np.random.default_rng(14)
+    x = np.concatenate([rng.normal(m, 0.3, (25, 2)) for m in ((0, 0), (4, 0), (0, 5))])
+    found = trajectory.cluster_by_bic(x, 6)
+    assert len(set(found)) == 3 and all(len(set(found[i : i + 25])) == 1 for i in (0, 25, 50))
+    bic, label = trajectory.gaussian_mixture(x, 3)
+    total = 0.0
+    parts = [(x[label == j].mean(0), np.cov(x[label == j].T, ddof=0) + 1e-3 * np.eye(2), (label == j).mean()) for j in range(3)]
+    for row in x:
+        total += math.log(sum(w * math.exp(-0.5 * (row - m) @ np.linalg.solve(c, row - m)) / (2 * math.pi * math.sqrt(np.linalg.det(c))) for m, c, w in parts))
+    assert abs(bic - (17 * math.log(75) - 2 * total)) < 0.5
+
+
+def test_kmeans_is_settled(spark):
+    from tessella.operators import clusters
+
+    rng = np.random.default_rng(15)
+    x = np.concatenate([rng.normal(m, 0.2, (40, 3)) for m in ((0, 0, 0), (3, 0, 1), (0, 4, 2))])
+    rows = clusters.kmeans(spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>"), "vec_id", "embedding", 3).collect()
+    name = next(c for c in rows[0].asDict() if c != "vec_id")
+    label = np.array([r[name] for r in sorted(rows, key=lambda r: r["vec_id"])])
+    centre = {c: x[label == c].mean(0) for c in set(label.tolist())}
+    assert len(centre) == 3 and all(min(centre, key=lambda c: ((x[i] - centre[c]) ** 2).sum()) == label[i] for i in range(len(x)))
