@@ -48,6 +48,29 @@ def pseudobulk_features(counts: DataFrame, cells: DataFrame, unit: str, celltype
     return each.select(unit, F.concat_ws(" - ", celltype, "feature_id").alias("feature"), F.coalesce(F.element_at("m", F.col(unit)), F.lit(0.0)).alias("value"))
 
 
+def pseudobulk_corrected(counts: DataFrame, cells: DataFrame, unit: str, celltype: str, batch: str | None = None, top: int | None = 2000) -> DataFrame:
+    """pseudobulk_features, each cell type on its own: without the batches' effects (a unit's batch is its most frequent one; the mean over the batches
+    stays), then the top features of the type by dispersion within bins of means."""
+    from .features import variable_by_dispersion
+
+    values = pseudobulk_features(counts, cells, unit, celltype)
+    if batch:
+        of = majority(cells, unit, batch).select(unit, F.col(batch).alias("__batch"))
+        per = Window.partitionBy("feature", "__batch")
+        met = values.join(of, unit).withColumn("__mean", F.avg("value").over(per)).withColumn("__first", F.row_number().over(per.orderBy(unit)) == 1)
+        level = F.avg(F.when(F.col("__first"), F.col("__mean"))).over(Window.partitionBy("feature"))
+        values = met.select(unit, "feature", (F.col("value") - F.col("__mean") + level).alias("value"))
+    if top is None:
+        return values
+    kind = F.substring_index("feature", " - ", 1)
+    moments = values.groupBy("feature").agg(F.avg("value").alias("mean"), F.var_samp("value").alias("variance")).withColumn("kind", kind)
+    kept = None
+    for (k,) in sorted(map(tuple, moments.select("kind").distinct().collect())):  # types, not cells
+        own = variable_by_dispersion(moments.where(F.col("kind") == k).select(F.col("feature").alias("feature_id"), "mean", "variance"), top).select(F.col("feature_id").alias("feature"))
+        kept = own if kept is None else kept.unionByName(own)
+    return values if kept is None else values.join(kept, "feature", "left_semi").select(unit, "feature", "value")
+
+
 def mean_and_variance(counts: DataFrame, cells: DataFrame, sample: str) -> DataFrame:
     """sample, feature_id, mean, variance within the sample: E[x^2] - mean^2, times n / (n - 1); absent entries count as zeros."""
     s = counts.join(cells.select("cell_id", sample), "cell_id").groupBy(sample, "feature_id").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))

@@ -24,25 +24,58 @@ def contrast_design(groups: list, paired: list | None = None) -> tuple[np.ndarra
     return x, names
 
 
-def sample_test(stats: DataFrame, samples: DataFrame, a: str, b: str, permutations: int = 100, seed: int = 42) -> DataFrame:
-    """feature, fold_change, statistic, p, fdr for group a against b.
+def design_of(rows: list[dict], kind: str, a=None, b=None, custom: dict | None = None, contrast: list[float] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The design of the samples (a row each) and the contrast that is tested.
 
-    stats: sample, feature_id, mean, variance, n (cells); samples: sample, group. A feature's measurement variance is the pooled within-sample
-    variance, shrunk over features; its sample variance is what the residuals show beyond that. The null of the statistic comes from
-    permuted groups, taken as normal or as the t distribution that fits it best.
+    unpaired: a column per group, a minus b; paired: besides, a column per individual but the first; continuous: a column of ones and the value, its
+    slope; custom: each sample's own row, and the contrast as given.
+    """
+    if kind == "continuous":
+        return np.array([[1.0, float(r["value"])] for r in rows]), np.array([0.0, 1.0])
+    if kind == "custom":
+        x, c = np.array([custom[r["sample"]] for r in rows], float), np.asarray(contrast, float)
+        if x.ndim != 2 or x.shape[1] != len(c):
+            raise ValueError("a custom design needs as many columns as its contrast has entries")
+        return x, c
+    if kind not in ("unpaired", "paired"):
+        raise ValueError(f"no design is called {kind}")
+    x, names = contrast_design([r["group"] for r in rows], [r["individual"] for r in rows] if kind == "paired" else None)
+    return x, np.array([1.0 if n == a else -1.0 if n == b else 0.0 for n in names])
+
+
+def sample_test(stats: DataFrame, samples: DataFrame, a: str | None = None, b: str | None = None, kind: str = "unpaired", custom: dict | None = None, contrast: list[float] | None = None, permutations: int = 100, seed: int = 42) -> DataFrame:
+    """feature, fold_change, statistic, p, fdr of the contrast of a design (see design_of): group a against b, the slope of a value, or any other.
+
+    stats: sample, feature_id, mean, variance, n (cells); samples: sample, and group, individual or value as the design needs; samples without what it
+    needs, and for groups those of others, are left out. A feature's measurement variance is the pooled within-sample variance, shrunk over features; its
+    sample variance is what the residuals show beyond that. The null of the statistic comes from permuted samples (of the same individual, if paired),
+    taken as normal or as the t distribution that fits it best.
     """
 
     spark = stats.sparkSession
-    order = [(r[0], r[1]) for r in samples.where(F.col("group").isin(a, b)).orderBy("sample").select("sample", "group").collect()]
-    names, groups = [x[0] for x in order], [x[1] for x in order]
-    design, columns = contrast_design(groups)
+    needed = {"unpaired": ["group"], "paired": ["group", "individual"], "continuous": ["value"], "custom": []}.get(kind, [])
+    used = samples.where(F.col("group").isin(a, b)) if "group" in needed else samples
+    order = [r.asDict() for r in used.orderBy("sample").select("sample", *needed).collect() if all(r[x] is not None for x in needed)]
+    if kind == "custom":
+        order = [r for r in order if r["sample"] in (custom or {})]
+    names = [r["sample"] for r in order]
+    design, c = design_of(order, kind, a, b, custom, contrast)
+    if np.linalg.matrix_rank(np.vstack([design, c])) > np.linalg.matrix_rank(design):
+        raise ValueError("the design can't tell the contrast")
     inverse = np.linalg.pinv(design)
-    c = np.array([1.0 if n == a else -1.0 if n == b else 0.0 for n in columns])
     k = c @ inverse
     residual = np.eye(len(names)) - design @ inverse
-    df = max(1, len(names) - design.shape[1])
+    df = max(1, len(names) - int(np.linalg.matrix_rank(design)))
     rng = np.random.default_rng(seed)
-    null = [c @ np.linalg.pinv(design[rng.permutation(len(names))]) for _ in range(permutations)]
+    alike = [[i for i, r in enumerate(order) if r["individual"] == x] for x in dict.fromkeys(r["individual"] for r in order)] if kind == "paired" else [list(range(len(names)))]
+
+    def shuffled() -> np.ndarray:
+        at = np.arange(len(names))
+        for group in alike:
+            at[group] = rng.permutation(group)
+        return design[at]
+
+    null = [c @ np.linalg.pinv(shuffled()) for _ in range(permutations)]
     at = {s: i for i, s in enumerate(names)}
 
     def fit(key, frame: pd.DataFrame) -> pd.DataFrame:
@@ -51,7 +84,7 @@ def sample_test(stats: DataFrame, samples: DataFrame, a: str, b: str, permutatio
             y[at[s]], w[at[s]] = m, max(v, 0.0) / max(1, n)
         return pd.DataFrame({"feature": [str(key[0])], "b": [float(k @ y)], "within": [w.tolist()], "rss": [float(y @ residual @ y) / df], "null": [[float(q @ y) for q in null]]})
 
-    rows = stats.join(F.broadcast(samples.where(F.col("group").isin(a, b)).select("sample")), "sample").select("feature_id", "sample", "mean", "variance", "n")
+    rows = stats.join(F.broadcast(spark.createDataFrame([(n,) for n in names], f"sample {dict(samples.dtypes)['sample']}")), "sample").select("feature_id", "sample", "mean", "variance", "n")
     found = rows.groupBy("feature_id").applyInPandas(fit, "feature string, b double, within array<double>, rss double, null array<double>").orderBy("feature").collect()
     if not found:
         return spark.createDataFrame([], "feature string, fold_change double, statistic double, p double, fdr double")

@@ -44,6 +44,13 @@ def z_scores(rows: DataFrame, feature: str, value: str) -> DataFrame:
     return rows.withColumn("z", F.when(sd > 0, (F.col(value) - F.avg(value).over(w)) / sd).otherwise(0.0))
 
 
+def temporal_order(rows: DataFrame, group: str, time: str, value: str = "z") -> DataFrame:
+    """group, peak, rank: groups (such as clusters of features) by the time at which their mean value is highest (to 9 decimals), the first of equal ones."""
+    means = rows.groupBy(group, time).agg(F.avg(value).alias("__m"))
+    peak = means.groupBy(group).agg(F.min_by(time, F.struct(-F.round("__m", 9), F.col(time))).alias("peak"))
+    return peak.withColumn("rank", F.row_number().over(Window.orderBy("peak", group)))
+
+
 def quantile_bins(rows: DataFrame, value: str, q: int = 4) -> DataFrame:
     """bin (from 0): right-closed between the distinct quantiles; the least value is in the first."""
     cuts = rows.agg(F.array_distinct(F.percentile(value, F.array(*[F.lit(i / q) for i in range(q + 1)]))).alias("__cuts"))

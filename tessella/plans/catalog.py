@@ -666,6 +666,43 @@ def sample_test(spark, d):
     return r6(differential.sample_test(s, groups, "a", "b"), "fold_change", "statistic", "p", "fdr")
 
 
+def sample_stats(spark, d):
+    cells = D.cells(spark, d).withColumn("sample", F.col("nation").cast("string"))
+    n = cells.groupBy("sample").agg(F.count("*").alias("n"))
+    of = F.col("sample").cast("int")
+    samples = n.select("sample", F.element_at(F.array(*map(F.lit, "abc")), of % 3 + 1).alias("group"), (of / 2).cast("int").alias("individual"), of.cast("double").alias("value"))
+    return compose.mean_and_variance(D.counts(spark, d), cells, "sample").join(n, "sample"), samples
+
+
+@query()
+def sample_test_paired(spark, d):
+    s, samples = sample_stats(spark, d)
+    sides = samples.withColumn("group", F.when(F.col("value") % 2 == 0, "a").otherwise("b")).where("individual < 12")
+    return r6(differential.sample_test(s, sides, "a", "b", "paired"), "fold_change", "statistic", "p", "fdr")
+
+
+@query()
+def sample_test_continuous(spark, d):
+    s, samples = sample_stats(spark, d)
+    return r6(differential.sample_test(s, samples, kind="continuous"), "fold_change", "statistic", "p", "fdr")
+
+
+@query()
+def sample_test_pairwise(spark, d):
+    s, samples = sample_stats(spark, d)
+    return r6(differential.pairwise_tests(s, samples, permutations=20)[0], "fold_change", "statistic", "p", "fdr")
+
+
+@query()
+def pseudobulk_corrected(spark, d):
+    return r6(compose.pseudobulk_corrected(D.counts(spark, d), D.cells(spark, d).withColumn("unit", F.col("nation")), "unit", "celltype", "batch", 50), "value")
+
+
+@query("WITH z AS (SELECT p_brand, p_size, coalesce((p_retailprice - avg(p_retailprice) OVER w) / nullif(stddev_pop(p_retailprice) OVER w, 0), 0) AS z FROM part WINDOW w AS (PARTITION BY p_brand)), m AS (SELECT p_brand, p_size, round(avg(z), 9) AS m FROM z GROUP BY 1, 2), k AS (SELECT p_brand, p_size AS peak, row_number() OVER (PARTITION BY p_brand ORDER BY m DESC, p_size) AS i FROM m) SELECT p_brand, peak, row_number() OVER (ORDER BY peak, p_brand)::INT AS rank FROM k WHERE i = 1")
+def temporal_order(spark, d):
+    return trajectory.temporal_order(trajectory.z_scores(tables.read_table(spark, d, "part"), "p_brand", "p_retailprice"), "p_brand", "p_size")
+
+
 @query()
 def two_way_anova(spark, d):
     rows = D.cells(spark, d).groupBy("sample", "batch", "celltype").agg(F.avg("price").alias("y")).orderBy("sample", "batch", "celltype").collect()

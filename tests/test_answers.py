@@ -268,3 +268,67 @@ def test_kmeans_is_settled(spark):
     label = np.array([r[name] for r in sorted(rows, key=lambda r: r["vec_id"])])
     centre = {c: x[label == c].mean(0) for c in set(label.tolist())}
     assert len(centre) == 3 and all(min(centre, key=lambda c: ((x[i] - centre[c]) ** 2).sum()) == label[i] for i in range(len(x)))
+
+
+def test_designs(spark):
+    from tessella.operators import differential
+
+    rng = np.random.default_rng(16)
+    samples = [(f"s{i:02d}", "ab"[i % 2], f"p{i // 2}", float(i // 3)) for i in range(16)]
+    person = rng.normal(0, 5, 8)
+    y = {(s, f): 3 + person[i // 2] + (1.5 * (f == 0) if i % 2 else 0) + 0.4 * v * (f == 1) + rng.normal(0, 0.1) for i, (s, _, _, v) in enumerate(samples) for f in range(30)}
+    stats_ = spark.createDataFrame([(s, f"f{f}", float(m), 0.5, 40) for (s, f), m in y.items()], "sample string, feature_id string, mean double, variance double, n long")
+    table = spark.createDataFrame(samples, "sample string, group string, individual string, value double")
+    paired = {r["feature"]: r for r in differential.sample_test(stats_, table, "b", "a", "paired").collect()}
+    one = {r["feature"]: r for r in differential.sample_test(stats_, table, "b", "a").collect()}
+    for f in range(30):
+        gaps = [y[samples[i + 1][0], f] - y[samples[i][0], f] for i in range(0, 16, 2)]
+        assert abs(paired[f"f{f}"]["fold_change"] - np.mean(gaps)) < 1e-9 and abs(one[f"f{f}"]["fold_change"] - np.mean(gaps)) < 1e-9
+    assert paired["f0"]["fdr"] < 0.05 < one["f0"]["p"] and min(paired[f"f{f}"]["p"] for f in range(2, 30)) > paired["f0"]["p"]
+    slope = {r["feature"]: r["fold_change"] for r in differential.sample_test(stats_, table, kind="continuous").collect()}
+    own = {r["feature"]: r["fold_change"] for r in differential.sample_test(stats_, table, kind="custom", custom={s: [1.0, v, float(i % 2)] for i, (s, _, _, v) in enumerate(samples)}, contrast=[0, 1, 0]).collect()}
+    v = np.array([x[3] for x in samples])
+    for f in range(30):
+        m = np.array([y[x[0], f] for x in samples])
+        assert abs(slope[f"f{f}"] - np.polyfit(v, m, 1)[0]) < 1e-9
+        assert abs(own[f"f{f}"] - np.linalg.lstsq(np.stack([np.ones(16), v, np.arange(16) % 2], axis=1), m, rcond=None)[0][1]) < 1e-9
+    with pytest.raises(ValueError, match="contrast"):
+        differential.sample_test(stats_, table, kind="custom", custom={x[0]: [1.0, 1.0] for x in samples}, contrast=[1, -1])
+    with pytest.raises(ValueError, match="design"):
+        differential.sample_test(stats_, table, kind="other")
+    found, failed = differential.pairwise_tests(stats_, table, permutations=10)
+    assert found.count() == 30 and not failed
+
+
+def test_pseudobulk_without_batches(spark):
+    rng = np.random.default_rng(17)
+    counts, cells = [], []
+    for i in range(60):
+        u = i % 6
+        cells.append((i, f"u{u}", "tw"[i // 6 % 2], "xy"[u % 2]))
+        counts += [(i, f"g{g}", float(rng.poisson(3 + 4 * (u % 2)) + 1)) for g in range(5)]
+    counts, cells = spark.createDataFrame(counts, "cell_id long, feature_id string, value double"), spark.createDataFrame(cells, "cell_id long, unit string, celltype string, batch string")
+    plain = {(r["unit"], r["feature"]): r["value"] for r in compose.pseudobulk_features(counts, cells, "unit", "celltype").collect()}
+    got = {(r["unit"], r["feature"]): r["value"] for r in compose.pseudobulk_corrected(counts, cells, "unit", "celltype", "batch", None).collect()}
+    side = {f"u{u}": u % 2 for u in range(6)}
+    for f in {f for _, f in plain}:
+        means = [np.mean([plain[u, f] for u in side if side[u] == b]) for b in (0, 1)]
+        assert all(abs(got[u, f] - (plain[u, f] - means[side[u]] + np.mean(means))) < 1e-9 for u in side)
+    few = compose.pseudobulk_corrected(counts, cells, "unit", "celltype", "batch", 2)
+    assert few.count() == 2 * 2 * 6
+
+
+def test_small_columns(spark):
+    from tessella.functions import columns as C
+
+    df = spark.createDataFrame([("s1:ACGTACGTACGTACGT-1", "x", 2), ("s2:ENCSR123ABC", None, 3), ("plain", "y", 4)], "id string, b string, n int")
+    rows = df.select(C.sample_of(F.col("id")).alias("s"), C.barcode(F.col("id")).alias("c"), C.batch_key(F.col("b"), F.col("n")).alias("k")).collect()
+    assert [tuple(r) for r in rows] == [("s1", "ACGTACGTACGTACGT", "x__2"), ("s2", "ENCSR123ABC", "3"), ("plain", None, "y__4")]
+    assert tables.same_design(spark, '{"a": 1, "b": [2]}', '{"b": [2], "a": 1}') and not tables.same_design(spark, '{"a": 1}', '{"a": 2}')
+    cells = spark.createDataFrame([(1, "u"), (2, "v")], "cell_id long, unit string")
+    meta = spark.createDataFrame([(1, "m")], "cell_id long, age string")
+    assert sorted((r["cell_id"], r["age"]) for r in joins.join_cell_metadata(cells, meta).collect()) == [(1, "m"), (2, None)]
+    counts = spark.createDataFrame([(c, "f", 1.0) for c in range(10)], "cell_id long, feature_id string, value double")
+    assert sorted(r["cell_id"] for r in tables.batches_of_rows(counts, counts.select("cell_id"), 3, 4).collect()) == [3, 4, 5, 6]
+    trends = spark.createDataFrame([("a", 0.01, 2.0), ("b", 0.2, 9.0), ("c", 0.02, 5.0), ("d", 0.03, 0.5)], "feature string, fdr double, effect double")
+    assert [r["feature"] for r in trajectory.select_trends(trends).collect()] == ["c", "a"] and [r["feature"] for r in trajectory.select_trends(trends, top=1).collect()] == ["c"]
