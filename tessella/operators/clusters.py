@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,10 +33,10 @@ def leiden(n: int, edges: list[tuple[int, int, float]], resolution: float = 1.0,
         load: dict[int, float] = {}
         for i, c in enumerate(of):
             load[c] = load.get(c, 0.0) + degree[i]
-        changed, queue = False, list(rng.permutation(len(graph)))
+        changed, queue = False, deque(rng.permutation(len(graph)).tolist())
         waiting = set(queue)
         while queue:
-            i = queue.pop(0)
+            i = queue.popleft()
             waiting.discard(i)
             links: dict[int, float] = {}
             for j, w in graph[i].items():
@@ -96,27 +98,39 @@ def average_linkage(x: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def cell_types(links: DataFrame, cells: DataFrame, id_col: str, vector: str, target: int | None = None, resolution: float = 0.8, most: float = 5.0, seed: int = 42, max_cells: int = 200_000) -> DataFrame:
+def cell_types(links: DataFrame, cells: DataFrame, id_col: str, vector: str, target: int | None = None, resolution: float = 0.8, most: float = 5.0, seed: int = 42, max_nodes: int = 200_000, groups: int = 20_000) -> DataFrame:
     """id, celltype: Leiden on the kNN links; the resolution rises by 0.5 until there are target types, and what is over is merged by centroids.
 
-    The graph step is one machine's work; more than max_cells is refused (label a part, then carry labels over by neighbours).
+    The graph step is one machine's work on max_nodes nodes at most. Beyond, the nodes are groups of near cells (K-means centres, all cells take part),
+    joined by the number of links between their cells, so what reaches the driver is bounded whatever the number of cells; a group has one type.
     """
-    ids = [r[0] for r in cells.select(id_col).orderBy(id_col).limit(max_cells + 1).collect()]
-    if len(ids) > max_cells:
-        raise ValueError(f"over {max_cells} cells: cluster a part of them and transfer labels")
-    at = {x: i for i, x in enumerate(ids)}
-    edges = [(at[r[0]], at[r[1]], 1.0) for r in links.select("query", "neighbour").collect()]
-    found = leiden(len(ids), edges, resolution, seed)
+    n = cells.count()
+    if n <= max_nodes:
+        ids = [r[0] for r in cells.select(id_col).orderBy(id_col).collect()]
+        at = {x: i for i, x in enumerate(ids)}
+        edges = [(at[r[0]], at[r[1]], 1.0) for r in links.select("query", "neighbour").collect()]
+        nodes = cells.sparkSession.createDataFrame(list(enumerate(ids)), f"__node long, {id_col} {dict(cells.dtypes)[id_col]}")
+        size = len(ids)
+    else:
+        nodes = kmeans(cells, id_col, vector, groups, seed).select(id_col, (F.col("cluster") - 1).cast("long").alias("__node")).persist()
+        side = lambda own, name: nodes.select(F.col(id_col).alias(own), F.col("__node").alias(name))
+        between = links.join(side("query", "a"), "query").join(side("neighbour", "b"), "neighbour").groupBy("a", "b").agg(F.count("*").alias("w"))
+        # A group's own links count from both of their ends, as they would cell by cell.
+        edges = [(r["a"], r["b"], float(r["w"] * (2 if r["a"] == r["b"] else 1))) for r in between.collect()]
+        size = groups
+    found = leiden(size, edges, resolution, seed)
     while target and found.max() < target and resolution < most:
         resolution += 0.5
-        found = leiden(len(ids), edges, resolution, seed)
+        found = leiden(size, edges, resolution, seed)
+    label = cells.sparkSession.createDataFrame([(i, int(c)) for i, c in enumerate(found)], "__node long, c int")
+    long = nodes.join(label, "__node").select(id_col, "c")
     if target and found.max() > target:
-        long = cells.sparkSession.createDataFrame([(i, int(c)) for i, c in zip(ids, found, strict=True)], f"{id_col} long, c int")
         means = cells.join(long, id_col).select("c", F.posexplode(F.col(vector).cast("array<double>")).alias("i", "x")).groupBy("c", "i").agg(F.avg("x").alias("x")).groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
         centre = {r["c"]: r["v"] for r in means.collect()}
-        merged = average_linkage(np.array([centre[c] for c in range(1, found.max() + 1)]), target)
-        found = merged[found - 1]
-    return cells.sparkSession.createDataFrame([(i, int(c)) for i, c in zip(ids, found, strict=True)], f"{id_col} long, celltype int")
+        present = sorted(centre)
+        merged = average_linkage(np.array([centre[c] for c in present]), target)
+        long = long.join(cells.sparkSession.createDataFrame([(c, int(m)) for c, m in zip(present, merged, strict=True)], "c int, m int"), "c").select(id_col, F.col("m").alias("c"))
+    return long.select(F.col(id_col), F.col("c").cast("int").alias("celltype"))
 
 
 def assignment(cost: np.ndarray) -> list[tuple[int, int]]:

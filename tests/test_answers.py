@@ -332,3 +332,17 @@ def test_small_columns(spark):
     assert sorted(r["cell_id"] for r in tables.batches_of_rows(counts, counts.select("cell_id"), 3, 4).collect()) == [3, 4, 5, 6]
     trends = spark.createDataFrame([("a", 0.01, 2.0), ("b", 0.2, 9.0), ("c", 0.02, 5.0), ("d", 0.03, 0.5)], "feature string, fdr double, effect double")
     assert [r["feature"] for r in trajectory.select_trends(trends).collect()] == ["c", "a"] and [r["feature"] for r in trajectory.select_trends(trends, top=1).collect()] == ["c"]
+
+
+def test_cell_types_of_any_number_of_cells(spark):
+    """Beyond the bound of nodes the graph is one of groups; separated types come out the same."""
+    from tessella.operators import clusters
+
+    rng = np.random.default_rng(18)
+    x = np.concatenate([rng.normal(m, 0.3, (60, 2)) for m in ((0, 0), (6, 0), (0, 7))])
+    cells = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    links = neighbours.nearest(cells, cells, 6)
+    for options in ({}, {"max_nodes": 50, "groups": 24}):
+        found = {r["vec_id"]: r["celltype"] for r in clusters.cell_types(links, cells, "vec_id", "embedding", target=3, **options).collect()}
+        assert len(found) == 180 and len(set(found.values())) == 3
+        assert all(len({found[i] for i in range(k, k + 60)}) == 1 for k in (0, 60, 120))
