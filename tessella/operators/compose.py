@@ -32,7 +32,7 @@ def pseudobulk(counts: DataFrame, cells: DataFrame, by: list[str], how: str = "m
     """
     sums = counts.join(cells.select("cell_id", *by), "cell_id").groupBy(*by, "feature_id").agg(F.sum("value").alias("value"))
     sizes = cells.groupBy(*by).agg(F.count("*").alias("n"))
-    grid = sizes.join(F.broadcast(sums.select("feature_id").distinct()))
+    grid = sizes.crossJoin(sums.select("feature_id").distinct())
     out = grid.join(sums, [*by, "feature_id"], "left").na.fill(0.0, ["value"])
     return out.select(*by, "feature_id", (F.col("value") / F.col("n") if how == "mean" else F.col("value")).alias("value"))
 

@@ -54,7 +54,7 @@ def pairwise(units: DataFrame, metric: str, scaled: bool = True, p: float = 2.0)
     """units: unit, v (array<double>)."""
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric}; known: {', '.join(METRICS)}")
-    right = F.broadcast(units.select(F.col("unit").alias("b"), F.col("v").alias("vb")))
+    right = units.select(F.col("unit").alias("b"), F.col("v").alias("vb"))
     pairs = units.select(F.col("unit").alias("a"), F.col("v").alias("va")).join(right, F.col("a") < F.col("b")).select("a", "b", _metric(metric, p).alias("distance"))
     return scale_to_one(pairs) if scaled else pairs
 
@@ -136,7 +136,7 @@ def earth_mover(composition: DataFrame, ground: DataFrame) -> DataFrame:
     for r in ground.collect():
         cost[at[r["a"]], at[r["b"]]] = cost[at[r["b"]], at[r["a"]]] = r["distance"]
     rows = composition.groupBy("unit").agg(F.transform(F.array_sort(F.collect_list(F.struct("celltype", "proportion"))), lambda x: x["proportion"]).alias("v"))
-    pairs = rows.select(F.col("unit").alias("a"), F.col("v").alias("va")).join(F.broadcast(rows.select(F.col("unit").alias("b"), F.col("v").alias("vb"))), F.col("a") < F.col("b"))
+    pairs = rows.select(F.col("unit").alias("a"), F.col("v").alias("va")).join(rows.select(F.col("unit").alias("b"), F.col("v").alias("vb")), F.col("a") < F.col("b"))
 
     @F.pandas_udf("double")
     def solve(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -152,7 +152,7 @@ def statistics(pairs: DataFrame) -> DataFrame:
 def group_score(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """within, between, score = between / within (null if within is 0 or none); units without a label are Unknown."""
     side = lambda c: labels.select(F.col("unit").alias(c), F.col("label").alias(f"l{c}"))
-    met = pairs.join(F.broadcast(side("a")), "a", "left").join(F.broadcast(side("b")), "b", "left").na.fill("Unknown", ["la", "lb"])
+    met = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").na.fill("Unknown", ["la", "lb"])
     same = F.col("la") == F.col("lb")
     out = met.agg(F.avg(F.when(same, F.col("distance"))).alias("within"), F.avg(F.when(~same, F.col("distance"))).alias("between"))
     return out.withColumn("score", F.when(F.col("within") > 0, F.col("between") / F.col("within")))

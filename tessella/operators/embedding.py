@@ -301,7 +301,7 @@ def sample_blocks(cells: DataFrame, unit: str, celltype: str, vector: str, id_co
     hard = composition(cells, unit, celltype).select("unit", F.col("celltype").cast("string").alias("feature"), F.col("proportion").alias("value"))
     soft = [soft_composition(cells, kmeans_anchors(cells, vector, k, seed + i), unit, vector, id_col).select("unit", F.col("anchor").cast("string").alias("feature"), F.col("share").alias("value")) for i, k in enumerate((k_medium, k_fine))]
     moved = displacement(cells.withColumn("__all", F.lit(1)), unit, "__all", celltype, vector).select("unit", F.concat_ws(":", "celltype", "dim").alias("feature"), "value")
-    grid = moved.select("unit").distinct().join(F.broadcast(moved.select("feature").distinct()))
+    grid = moved.select("unit").distinct().crossJoin(moved.select("feature").distinct())
     moved = grid.join(moved, ["unit", "feature"], "left").na.fill(0.0, ["value"])
     weights = block_weights(hard.select("feature").distinct().count(), k_medium, k_fine, alpha)
     return list(zip([hard, *soft, moved], weights, strict=True))

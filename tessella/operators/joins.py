@@ -40,7 +40,7 @@ def align_genes(left: DataFrame, right: DataFrame, key, mapping: DataFrame | Non
     def keyed(df, name):
         out = df.withColumn("gene", key(F.col("feature_id")))
         if mapping is not None:
-            out = out.join(F.broadcast(mapping), out["gene"] == mapping["symbol"], "left").withColumn("gene", F.coalesce("mapped", "gene"))
+            out = out.join(mapping, out["gene"] == mapping["symbol"], "left").withColumn("gene", F.coalesce("mapped", "gene"))
         return out.groupBy("gene").agg(F.min("feature_id").alias(name))
 
     return keyed(left, "left_id").join(keyed(right, "right_id"), "gene").orderBy("gene")
@@ -52,7 +52,7 @@ def map_genes(features: DataFrame, mapping: DataFrame, policy: str = "first", le
     A symbol with several ids takes the least. Raises if under `least` of the features are mapped.
     """
     one = mapping.groupBy(F.upper("symbol").alias("k")).agg(F.min("gene_id").alias("gene_id"))
-    out = features.withColumn("k", F.upper("feature_id")).join(F.broadcast(one), "k", "left").drop("k")
+    out = features.withColumn("k", F.upper("feature_id")).join(one, "k", "left").drop("k")
     if least:
         rate = out.agg(F.avg(F.col("gene_id").isNotNull().cast("double"))).first()[0] or 0.0
         if rate < least:

@@ -190,7 +190,7 @@ def tukey(y: np.ndarray, a: list, level: float = 0.05) -> list[tuple[str, str, f
 def silhouette_batch(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row: (1 - mean silhouette) / 2, clipped to 0..1. pairs: both directions a, b, distance; labels: id, label."""
     own, other = labels.select(F.col("id").alias("a"), F.col("label").alias("la")), labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))
-    means = pairs.join(F.broadcast(own), "a").join(F.broadcast(other), "b").groupBy("a", "la", "lb").agg(F.avg("distance").alias("d"))
+    means = pairs.join(own, "a").join(other, "b").groupBy("a", "la", "lb").agg(F.avg("distance").alias("d"))
     s = means.groupBy("a").agg(F.max(F.when(F.col("la") == F.col("lb"), F.col("d"))).alias("i"), F.min(F.when(F.col("la") != F.col("lb"), F.col("d"))).alias("o"))
     width = F.when(F.col("i").isNull() | F.col("o").isNull(), 0.0).otherwise((F.col("o") - F.col("i")) / F.greatest("o", "i"))
     return s.agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (1 - F.avg(width)) / 2)).alias("asw_batch"))

@@ -288,7 +288,7 @@ def gam_trends(values: DataFrame, pseudotime: DataFrame, splines: int = 5, order
         line = np.argsort(x, kind="stable")
         return pd.DataFrame({"feature": [key[0]], "n": [len(y)], "p": [f_tail(f, max(1e-9, edof - 1), left)], "deviance": [1 - rss / tss], "effect": [float(np.ptp(fitted)) / max(math.sqrt(rss / left), 1e-12)], "direction": ["UP" if fitted[line[-1]] > fitted[line[0]] else "DOWN"]})
 
-    met = values.join(F.broadcast(pseudotime), "unit").select("feature", F.col("value").cast("double"), F.col("pseudotime").cast("double"))
+    met = values.join(pseudotime, "unit").select("feature", F.col("value").cast("double"), F.col("pseudotime").cast("double"))
     out = met.groupBy("feature").applyInPandas(fit, "feature string, n long, p double, deviance double, effect double, direction string")
     return benjamini_hochberg(out, "p", "feature")
 
@@ -300,5 +300,5 @@ def select_trends(trends: DataFrame, fdr: float = 0.05, effect: float = 1.0, top
 
 def proportion_trends(composition: DataFrame, pseudotime: DataFrame) -> DataFrame:
     """celltype, r with pseudotime, rank by its size."""
-    r = composition.join(F.broadcast(pseudotime), "unit").groupBy("celltype").agg(F.corr("proportion", "pseudotime").alias("r"))
+    r = composition.join(pseudotime, "unit").groupBy("celltype").agg(F.corr("proportion", "pseudotime").alias("r"))
     return r.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.abs("r")), "celltype")))
