@@ -22,6 +22,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ from .common import rows, small_batches
 
 BITS = 18
 SIZE = 1 << BITS
+#: Text bytes whose features are made together.
+BATCH = 2 << 20
 _CLASS = re.compile(r"([a-zà-öø-ÿ]+)|([A-ZÀ-ÖØ-Þ]+)|([0-9]+)|(\s+)")
 _MARK = re.compile(r"(.)\1+")
 
@@ -57,24 +60,38 @@ def _places(word: str) -> tuple[int, int, int]:
     return found
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Places and values: each word and beginning the root of its share of the words (of 20 more than there are, times 20); each outline its share
-    times 8; share of repeated words and lines, a bias."""
-    words = (text or "").split()
-    n = max(1, len(words))
-    seen = Counter(words)
-    outlines: Counter = Counter()
-    bare: Counter = Counter()
-    for word, times in seen.items():
-        w, s, p = _places(word)
-        bare[w] += times
-        outlines[s] += times
-        if p >= 0:
-            bare[p] += times
-    lines = (text or "").split("\n")
-    extra = {0: 1.0, 1: 8 * (1 - len(set(lines)) / len(lines)), 2: 8 * sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, 3: 8 * max(0.0, 0.3 - len(seen) / n)}
-    share = np.sqrt(np.fromiter(bare.values(), float, len(bare)) * (20 / (n + 20)))
-    return np.array([*bare, *outlines, *extra], np.int32), np.concatenate([share, [8 * v / n for v in outlines.values()], list(extra.values())]).astype(np.float32)
+def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner (a text's number, ascending), place and value of the features of texts (null: empty): each word and beginning the root of its share of the
+    words (of 20 more than there are, times 20); each outline its share times 8; share of repeated words and lines, a bias."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    lists = pc.utf8_split_whitespace(texts)
+    coded = lists.flatten().dictionary_encode()
+    words, owner = coded.dictionary.to_pylist(), np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    if "" in words:
+        some = code != words.index("")
+        code, owner = code[some], owner[some]
+    n = np.maximum(1, np.bincount(owner, minlength=len(texts)))
+    places = np.array([_places(w) for w in words], np.int64).reshape(-1, 3)
+    pairs, times = np.unique(owner * max(1, len(words)) + code, return_counts=True)
+    of, word = np.divmod(pairs, max(1, len(words)))
+
+    def counted(kinds: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.concatenate([places[word, k] for k in kinds])
+        key = np.concatenate([of] * len(kinds)) * SIZE + at
+        known = at >= 0
+        kept, inverse = np.unique(key[known], return_inverse=True)
+        return *np.divmod(kept, SIZE), np.bincount(inverse, np.concatenate([times] * len(kinds))[known], len(kept))
+
+    own, at, share = counted((0, 2))
+    out, shape, seen = counted((1,))
+    again = np.bincount(owner[1:][(code[1:] == code[:-1]) & (owner[1:] == owner[:-1])], minlength=len(texts))
+    lines = [x.split("\n") for x in texts.to_pylist()]
+    extra = np.stack([np.ones(len(texts)), 8 * (1 - np.array([len(set(x)) / len(x) for x in lines])), 8 * again / n, 8 * np.maximum(0.0, 0.3 - np.bincount(of, minlength=len(texts)) / n)], axis=1)
+    owner = np.concatenate([own, out, np.repeat(np.arange(len(texts)), 4)])
+    order = np.argsort(owner, kind="stable")
+    value = np.concatenate([np.sqrt(share * 20 / (n[own] + 20)), 8 * seen / n[out], extra.ravel()])
+    return owner[order], np.concatenate([at, shape, np.tile(np.arange(4), len(texts))])[order].astype(np.int32), value[order].astype(np.float32)
 
 
 @dataclass
@@ -86,9 +103,9 @@ class Model:
         """P(grade <= k) for k below the last grade, a column each."""
         return 1 / (1 + np.exp(-np.clip(self.thresholds[None, :] - z[:, None], -50, 50)))
 
-    def scores(self, texts: list[str | None], keep_from: int) -> tuple[np.ndarray, np.ndarray]:
-        z = np.array([float((self.weights[at] * v).sum()) for at, v in map(features, texts)])
-        p = self.below(z)
+    def scores(self, texts: pa.Array, keep_from: int) -> tuple[np.ndarray, np.ndarray]:
+        owner, at, value = features(texts)
+        p = self.below(np.bincount(owner, self.weights[at].astype(float) * value, len(texts)))
         return (1 - p).sum(axis=1), 1 - p[:, keep_from - 1]
 
 
@@ -157,9 +174,11 @@ def fit(docs: DataFrame, rated: DataFrame, max_labels: int = 10_000, grades: int
     sample = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(chosen, "doc_id").select("doc_id", "grade", "text", F.xxhash64("doc_id", "text").alias("draw"))
 
     def make(batches):
-        for batch in rows(batches):
-            found = [features(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.tobytes() for a, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary()), batch.column(3)], ["doc_id", "grade", "at", "value", "draw"])
+        for batch in rows(batches, BATCH):
+            owner, at, value = features(batch.column(2))
+            cuts = np.searchsorted(owner, np.arange(batch.num_rows + 1)).tolist()
+            packed = [pa.array([x[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()) for x in (at, value)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *packed, batch.column(3)], ["doc_id", "grade", "at", "value", "draw"])
 
     made = sample.mapInArrow(make, "doc_id long, grade int, at binary, value binary, draw long")
     got = sorted(tuple(r)[:4] for r in made.dropDuplicates(["doc_id", "grade", "draw"]).orderBy("draw", "doc_id", "grade").limit(max_labels).collect())
@@ -178,8 +197,8 @@ def score(docs: DataFrame, model: Model, keep_from: int = 2, least: float = 0.5,
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2^18 weights
 
     def run(batches):
-        for batch in rows(batches):
-            grade, tail = sent.value.scores(batch.column(1).to_pylist(), keep_from)
+        for batch in rows(batches, BATCH):
+            grade, tail = sent.value.scores(batch.column(1), keep_from)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grade, pa.float64()), pa.array(tail, pa.float64()), pa.array(tail >= least, pa.bool_())], ["doc_id", "expected_grade", "tail_probability", "kept"])
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

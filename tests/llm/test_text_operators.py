@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessella.llm import grade_model, language_id, quality_rules, substring_dedup
@@ -81,6 +82,26 @@ def test_grades_in_order(spark):
     assert grade_model.score(frame(spark, []), model).count() == 0
 
 
+def test_features_by_their_definition():
+    texts = ["", None, "  one  One, one two two thousand THOUSANDS\nline\nline", " \n", "a#b $$$ 12 12 Été."]
+    owner, at, value = grade_model.features(pa.array(texts))
+    assert (np.diff(owner) >= 0).all()
+    for i, t in enumerate(texts):
+        words = (t or "").split()
+        n, want = max(1, len(words)), Counter()
+        for w in set(words):
+            bare, shape, stem = grade_model._places(w)
+            want["w", bare] += words.count(w)
+            want["s", shape] += words.count(w)
+            if stem >= 0:
+                want["w", stem] += words.count(w)
+        lines = (t or "").split("\n")
+        extra = [1, 8 * (1 - len(set(lines)) / len(lines)), 8 * sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, 8 * max(0, 0.3 - len(set(words)) / n)]
+        pairs = sorted([(k, np.sqrt(c * 20 / (n + 20)) if kind == "w" else 8 * c / n) for (kind, k), c in want.items()] + list(enumerate(extra)))
+        got = sorted(zip(at[owner == i].tolist(), value[owner == i].tolist(), strict=True))
+        assert [g[0] for g in got] == [p[0] for p in pairs] and np.allclose([g[1] for g in got], [p[1] for p in pairs], atol=1e-6)
+
+
 def test_cumulative_link_by_brute_force():
     """Grades' probabilities from the definition; no weight or threshold near the fit has a higher likelihood less decay."""
     rng = np.random.default_rng(3)
