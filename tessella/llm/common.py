@@ -9,13 +9,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: The white space of the text contracts; everything else belongs to a word.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = " \t\n\r\x0b\x0c"
 #: Bytes of a written table's file, about: what adaptive execution aims at too where it is on.
 FILE = 8 << 20
+#: Bytes of a row group that Python writes.
+GROUP = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,20 +37,77 @@ def scratch(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str, like: DataFrame | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, like: DataFrame | None = None, less: int = 1) -> DataFrame:
     """Write df below the shared folder and read it back: this cuts its lineage, and a lost executor costs a re-read only.
 
-    like: a table that df is not much larger than; df then has a file for every FILE bytes of it at most, however many partitions it came in.
+    like: a table that df is not much larger than, or less than a `less`th of; df then has a file for every FILE bytes of that at most, however many
+    partitions it came in.
     """
     if like is not None:
-        df = df.coalesce(max(6, min(200_000, input_bytes(like) // FILE)))
+        df = df.coalesce(max(6, min(200_000, input_bytes(like) // (FILE * less))))
     path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
     at, fs = _hadoop(df.sparkSession, path)
     fs.deleteOnExit(at)  # what no one drops before goes with the session
-    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, name: str, like: DataFrame | None = None) -> DataFrame:
+    """Like materialize(df.mapInArrow(function, schema)), but the Python workers write the files, so the rows don't go back through the JVM.
+
+    A task writes beside its place and moves the file there, under a name that its partition gives: one that runs again writes the same.
+    """
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    at, fs = _hadoop(spark, path)
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    kinds = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
+    if like is not None:
+        df = df.coalesce(max(6, min(200_000, input_bytes(like) // FILE)))
+
+    def write(batches):
+        import pyarrow.parquet as pq
+
+        files, root = file_system(path)
+        part = TaskContext.get().partitionId()
+        beside, writer, held, size, n = f"{root}/_part-{part:06d}-{uuid.uuid4().hex}", None, [], 0, 0
+
+        def flush():
+            nonlocal writer, held, size, n
+            if held:
+                writer = writer or pq.ParquetWriter(files.open_output_stream(beside), kinds, compression="zstd")
+                rows_ = pa.Table.from_batches([pa.RecordBatch.from_arrays(b.columns, kinds.names) for b in held]).cast(kinds)
+                writer.write_table(rows_)
+                n, held, size = n + rows_.num_rows, [], 0
+
+        for batch in function(batches):
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+                if size > GROUP:
+                    flush()
+        flush()
+        if writer:
+            writer.close()
+            move_file(files, beside, f"{root}/part-{part:06d}.parquet")
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    df.mapInArrow(write, "n long").agg(F.sum("n")).first()
+    return spark.read.schema(schema).parquet(path)
+
+
+def move_file(files, beside: str, to: str) -> None:
+    """One that another run of the task left there is the same."""
+    size = files.get_file_info(beside).size
+    try:
+        files.move(beside, to)
+    except OSError:  # a file system whose move doesn't replace
+        if files.get_file_info(to).size != size:
+            raise
+        files.delete_file(beside)
+
+
 def _hadoop(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())

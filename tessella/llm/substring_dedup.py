@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop, gather, materialize, rows, small_batches
+from .common import drop, gather, materialize, materialize_arrow, rows, small_batches
 from .wording import BASES, Words, lowered, runs, sliding, stretches
 
 #: What parts units, as a literal pattern.
@@ -103,7 +103,7 @@ def scan(texts: DataFrame, sep: str, passage: int) -> DataFrame:
             columns += [lists((x - y).astype(np.int32), bounds, pa.int32()) for x, y in ((at, w.bounds[text]), (unit, of_text[text]), (last, of_text[text]))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, lists(h[at].view(np.int64), bounds, pa.int64())], ["__id", "__h", "words", "d1", "d2", "n", "place", "others", "at", "unit", "last", "run"])
 
-    return texts.mapInArrow(read, SCANNED)
+    return materialize_arrow(texts, read, SCANNED, "scanned", texts)
 
 
 def earliest(found: DataFrame, name: str, apart: int) -> tuple[DataFrame, DataFrame]:
@@ -111,7 +111,7 @@ def earliest(found: DataFrame, name: str, apart: int) -> tuple[DataFrame, DataFr
     __id, __h, d1, d2, place (the first in the text), others (the later ones), more; and the table of digests, written for them."""
     # Written, so that the join below stands on plain exchanges, whose large partitions Spark can split.
     grouped = found.groupBy("d1", "d2").agg(F.min("__id").alias("first"), F.count("*").alias("texts"), F.max(F.size("others")).alias("most"))
-    common = materialize(grouped.where("texts > 1 or most > 0").select("d1", "d2", "first"), f"{name}-common", found)
+    common = materialize(grouped.where("texts > 1 or most > 0").select("d1", "d2", "first"), f"{name}-common", found, 4)
     later = F.filter("others", lambda p: p >= F.col("place") + apart)
     own = F.when(F.col("__id") == F.col("first"), later).otherwise(F.concat(F.array("place"), "others"))
     return found.join(common, ["d1", "d2"]).select("__id", "__h", own.alias("at"), "more").where(F.size("at") > 0), common
@@ -138,7 +138,7 @@ def repeats(scanned: DataFrame, passage: int) -> DataFrame:
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(p[begins].astype(np.int32), some, pa.int32()), lists((p[ends - 1] + 1).astype(np.int32), some, pa.int32())], ["__id", "__h", "begin", "end"])
             yield out.filter(pa.array(np.diff(some) > 0))
 
-    gone = materialize(marked.mapInArrow(join, "__id long, __h long, begin array<int>, end array<int>"), "gone", scanned)
+    gone = materialize_arrow(marked, join, "__id long, __h long, begin array<int>, end array<int>", "gone", scanned)
     drop(common)
     return gone
 
@@ -167,11 +167,11 @@ def anchors(scanned: DataFrame, gone: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(row[keep])) for i in (0, 1)), pa.array(at[keep], pa.int32()), pa.array(run[keep], pa.int64())], ["__id", "__h", "place", "run"])
 
     both = scanned.join(gone, ["__id", "__h"], "left").select("__id", "__h", "at", "unit", "last", "run", "words", "begin", "end")
-    return both.mapInArrow(left, "__id long, __h long, place int, run long")
+    return materialize_arrow(both, left, "__id long, __h long, place int, run long", "runs", scanned)
 
 
-def passages(texts: DataFrame, scanned: DataFrame, gone: DataFrame, sep: str, passage: int) -> DataFrame:
-    """__id, __h, from: the words at which runs of `passage` words begin that go."""
+def passages(texts: DataFrame, scanned: DataFrame, gone: DataFrame, sep: str, passage: int) -> tuple[DataFrame, list[DataFrame]]:
+    """__id, __h, from: the words at which runs of `passage` words begin that go; and the tables that this is made of."""
 
     def around(batches):
         for batch in rows(batches, BATCH):
@@ -194,19 +194,17 @@ def passages(texts: DataFrame, scanned: DataFrame, gone: DataFrame, sep: str, pa
             place = start - w.bounds[text]
             own, others = distinct(text, place, *digests)
             index = pa.array(text[own])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), *(pa.array(d[own].view(np.int64)) for d in digests), pa.array(place[own].astype(np.int32)), others], ["__id", "__h", "d1", "d2", "place", "others"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), *(pa.array(d[own].view(np.int64)) for d in digests), pa.array(place[own].astype(np.int32)), others, pa.array(np.zeros(len(own), np.int32))], ["__id", "__h", "d1", "d2", "place", "others", "more"])
 
-    found = materialize(anchors(scanned, gone), "runs", scanned)
-    again = materialize(found.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run"), "again", found)
+    found = anchors(scanned, gone)
+    again = materialize(found.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run"), "again", found, 4)
     places = found.join(again, "run").groupBy("__id", "__h").agg(F.collect_set("place").alias("__at"))
-    asked = materialize(places.join(gone, ["__id", "__h"], "left"), "places", found)
+    asked = materialize(places.join(gone, ["__id", "__h"], "left"), "places", found, 4)
     drop(found, again)
-    near = texts.join(asked, ["__id", "__h"]).select("__id", "__h", "__text", "__at", "begin", "end").mapInArrow(around, "__id long, __h long, d1 long, d2 long, place int, others array<int>")
-    windows = materialize(near.withColumn("more", F.lit(0)), "windows", texts)
+    near = texts.join(asked, ["__id", "__h"]).select("__id", "__h", "__text", "__at", "begin", "end")
+    windows = materialize_arrow(near, around, "__id long, __h long, d1 long, d2 long, place int, others array<int>, more int", "windows", texts)
     repeated, common = earliest(windows, "passages", passage)
-    out = materialize(repeated.groupBy("__id", "__h").agg(F.flatten(F.collect_list("at")).alias("from")), "from", scanned)
-    drop(asked, windows, common)
-    return out
+    return repeated.groupBy("__id", "__h").agg(F.flatten(F.collect_list("at")).alias("from")), [asked, windows, common]
 
 
 def cut(text: str, begin: list[int], end: list[int], starts: np.ndarray, sep: str, passage: int) -> tuple[str, list[dict]]:
@@ -254,12 +252,12 @@ def deduplicate(docs: DataFrame, unit: str = "line", id_col: str = "doc_id", tex
     small_batches(docs.sparkSession)
     sep = SEPARATORS[unit]
     texts = keyed(docs, id_col, text_col)
-    scanned = materialize(scan(texts, sep, passage), "scanned", texts)
+    scanned = scan(texts, sep, passage)
     gone = repeats(scanned, passage)
-    found = passages(texts, scanned, gone, sep, passage)
+    found, made = passages(texts, scanned, gone, sep, passage)
     marks = gone.join(found, ["__id", "__h"], "full").select(F.col("__id").alias("__id2"), F.col("__h").alias("__h2"), F.col("begin").alias("__begin"), F.col("end").alias("__end"), F.col("from").alias("__from"))
-    marks = materialize(marks, "marks", scanned)
-    drop(scanned, gone, found)
+    marks = materialize(marks, "marks", scanned, 4)
+    drop(scanned, gone, *made)
     own = [F.col(f"`{c}`") for c in docs.columns if c != removed]
     names = [c for c in docs.columns if c != removed]
     text = F.col(f"`{text_col}`").cast("string")

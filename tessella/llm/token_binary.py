@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import file_system, gather, materialize, partitions, rows, scratch, small_batches
+from .common import file_system, gather, materialize, move_file, partitions, rows, scratch, small_batches
 from .pieces import Memo, split, text_of
 
 MAGIC = b"TESSEF02"
@@ -133,12 +133,7 @@ def write_file(folder: str, name: str, data: bytes) -> str:
     beside = f"{at}/_{name}-{uuid.uuid4().hex}"
     with fs.open_output_stream(beside) as out:
         out.write(data)
-    try:
-        fs.move(beside, f"{at}/{name}")
-    except OSError:  # a file system whose move doesn't replace
-        if fs.get_file_info(f"{at}/{name}").size != len(data):
-            raise
-        fs.delete_file(beside)
+    move_file(fs, beside, f"{at}/{name}")
     return f"{folder}/{name}"
 
 
