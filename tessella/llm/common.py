@@ -13,6 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: The white space of the text contracts; everything else belongs to a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,7 +45,7 @@ def materialize(df: DataFrame, name: str, like: DataFrame | None = None, less: i
     partitions it came in.
     """
     if like is not None:
-        df = df.coalesce(max(6, min(200_000, input_bytes(like) // (FILE * less))))
+        df = df.coalesce(files_for(like, less))
     path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     at, fs = _hadoop(df.sparkSession, path)
@@ -52,7 +53,11 @@ def materialize(df: DataFrame, name: str, like: DataFrame | None = None, less: i
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def materialize_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, name: str, like: DataFrame | None = None) -> DataFrame:
+def files_for(like: DataFrame, less: int = 1) -> int:
+    return max(6, min(200_000, input_bytes(like) // (FILE * less)))
+
+
+def materialize_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, name: str, like: DataFrame | None = None, less: int = 1) -> DataFrame:
     """Like materialize(df.mapInArrow(function, schema)), but the Python workers write the files, so the rows don't go back through the JVM.
 
     A task writes beside its place and moves the file there, under a name that its partition gives: one that runs again writes the same.
@@ -62,9 +67,9 @@ def materialize_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch
     at, fs = _hadoop(spark, path)
     fs.mkdirs(at)
     fs.deleteOnExit(at)
-    kinds = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
+    kinds = to_arrow_schema(spark.createDataFrame([], schema).schema)
     if like is not None:
-        df = df.coalesce(max(6, min(200_000, input_bytes(like) // FILE)))
+        df = df.coalesce(files_for(like, less))
 
     def write(batches):
         import pyarrow.parquet as pq

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop, gather, materialize, materialize_arrow, rows, small_batches
+from .common import drop, files_for, gather, materialize_arrow, rows, small_batches
 from .wording import BASES, Words, lowered, runs, sliding, stretches
 
 #: What parts units, as a literal pattern.
@@ -106,12 +106,17 @@ def scan(texts: DataFrame, sep: str, passage: int) -> DataFrame:
     return materialize_arrow(texts, read, SCANNED, "scanned", texts)
 
 
+def small(df: DataFrame, name: str, like: DataFrame) -> DataFrame:
+    """df, which is far smaller than like, as a table that the Python workers write."""
+    return materialize_arrow(df, lambda batches: batches, df.schema, name, like, 4)
+
+
 def earliest(found: DataFrame, name: str, apart: int) -> tuple[DataFrame, DataFrame]:
     """__id, __h, at, more: the occurrences that are not the earliest of their digest, from found, a written table with a row per text and digest:
     __id, __h, d1, d2, place (the first in the text), others (the later ones), more; and the table of digests, written for them."""
     # Written, so that the join below stands on plain exchanges, whose large partitions Spark can split.
     grouped = found.groupBy("d1", "d2").agg(F.min("__id").alias("first"), F.count("*").alias("texts"), F.max(F.size("others")).alias("most"))
-    common = materialize(grouped.where("texts > 1 or most > 0").select("d1", "d2", "first"), f"{name}-common", found, 4)
+    common = small(grouped.where("texts > 1 or most > 0").select("d1", "d2", "first"), f"{name}-common", found)
     later = F.filter("others", lambda p: p >= F.col("place") + apart)
     own = F.when(F.col("__id") == F.col("first"), later).otherwise(F.concat(F.array("place"), "others"))
     return found.join(common, ["d1", "d2"]).select("__id", "__h", own.alias("at"), "more").where(F.size("at") > 0), common
@@ -197,9 +202,9 @@ def passages(texts: DataFrame, scanned: DataFrame, gone: DataFrame, sep: str, pa
             yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), *(pa.array(d[own].view(np.int64)) for d in digests), pa.array(place[own].astype(np.int32)), others, pa.array(np.zeros(len(own), np.int32))], ["__id", "__h", "d1", "d2", "place", "others", "more"])
 
     found = anchors(scanned, gone)
-    again = materialize(found.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run"), "again", found, 4)
+    again = small(found.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run"), "again", found)
     places = found.join(again, "run").groupBy("__id", "__h").agg(F.collect_set("place").alias("__at"))
-    asked = materialize(places.join(gone, ["__id", "__h"], "left"), "places", found, 4)
+    asked = small(places.join(gone, ["__id", "__h"], "left"), "places", found)
     drop(found, again)
     near = texts.join(asked, ["__id", "__h"]).select("__id", "__h", "__text", "__at", "begin", "end")
     windows = materialize_arrow(near, around, "__id long, __h long, d1 long, d2 long, place int, others array<int>, more int", "windows", texts)
@@ -256,7 +261,7 @@ def deduplicate(docs: DataFrame, unit: str = "line", id_col: str = "doc_id", tex
     gone = repeats(scanned, passage)
     found, made = passages(texts, scanned, gone, sep, passage)
     marks = gone.join(found, ["__id", "__h"], "full").select(F.col("__id").alias("__id2"), F.col("__h").alias("__h2"), F.col("begin").alias("__begin"), F.col("end").alias("__end"), F.col("from").alias("__from"))
-    marks = materialize(marks, "marks", scanned, 4)
+    marks = small(marks, "marks", scanned)
     drop(scanned, gone, *made)
     own = [F.col(f"`{c}`") for c in docs.columns if c != removed]
     names = [c for c in docs.columns if c != removed]
@@ -278,7 +283,7 @@ def deduplicate(docs: DataFrame, unit: str = "line", id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, kind)], [*names, removed])
 
     schema = T.StructType(joined.schema.fields[:-3]).add(removed, T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType())))
-    return joined.mapInArrow(rewrite_texts, schema)
+    return joined.coalesce(files_for(docs, 4)).mapInArrow(rewrite_texts, schema)
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
