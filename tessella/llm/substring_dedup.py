@@ -283,7 +283,7 @@ def deduplicate(docs: DataFrame, unit: str = "line", id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, kind)], [*names, removed])
 
     schema = T.StructType(joined.schema.fields[:-3]).add(removed, T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType())))
-    return joined.coalesce(files_for(docs, 4)).mapInArrow(rewrite_texts, schema)
+    return joined.coalesce(files_for(docs)).mapInArrow(rewrite_texts, schema)
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
