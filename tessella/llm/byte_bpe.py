@@ -36,7 +36,7 @@ from .common import gather, materialize, partitions, rows, small_batches
 from .pieces import Memo, split, text_of
 
 #: Text bytes of a block, about, and of a bucket of words; the most buckets, and the distinct words of a bucket that are known at a time.
-BLOCK, PER_BUCKET, MOST, KNOWN = 8 << 20, 16 << 20, 16_384, 2_000_000
+BLOCK, PER_BUCKET, MOST, KNOWN = 4 << 20, 16 << 20, 16_384, 2_000_000
 
 
 _KINDS = ("<u1", "<u2", "<u4", "<u8", "<i8")
