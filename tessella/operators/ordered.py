@@ -25,14 +25,14 @@ def before(rows: DataFrame, order: str, ties: list[str], name: str, value: str |
     if n <= WHOLE:
         return rows.withColumn(name, F.coalesce(F.sum(amount).over(Window.orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     number = F.col(order).cast("double") if dict(rows.dtypes)[order] not in ("date", "timestamp", "timestamp_ntz") else F.unix_micros(F.col(order).cast("timestamp")).cast("double")
-    marked = rows.withColumn("__x", number)
+    marked = rows.withColumn("__order_x", number)
     buckets = min(MOST, -(-n // ROWS))
-    cuts = marked.agg(F.percentile_approx("__x", [k / buckets for k in range(1, buckets)], 100_000)).first()[0] or []
-    cuts = sorted({c for c in cuts if math.isfinite(c)})
-    inside = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="__x", outputCol="__b", handleInvalid="keep").transform(marked)
-    inside = inside.withColumn("__b", F.when(F.col(order).isNull(), -1).otherwise(F.col("__b")).cast("int")).drop("__x")
-    per = inside.groupBy("__b").agg(F.sum(amount).alias("__s"))
-    first = per.select(F.col("__b").alias("__bucket"), F.coalesce(F.sum("__s").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    met = inside.join(F.broadcast(first), F.col("__b") == F.col("__bucket"))  # MOST + 2 rows at most
-    own = F.sum(amount).over(Window.partitionBy("__b").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1))
-    return met.withColumn(name, F.col("__before") + F.coalesce(own, F.lit(0))).drop("__b", "__bucket", "__before")
+    cuts = marked.agg(F.percentile_approx("__order_x", [k / buckets for k in range(1, buckets)], 100_000)).first()[0] or []
+    cuts = sorted({c for c in cuts if math.isfinite(c)}) or [0.0]
+    inside = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="__order_x", outputCol="__order_b", handleInvalid="keep").transform(marked)
+    inside = inside.withColumn("__order_b", F.when(F.col(order).isNull(), -1).otherwise(F.col("__order_b")).cast("int"))
+    per = inside.groupBy("__order_b").agg(F.sum(amount).alias("__order_s"))
+    first = per.select(F.col("__order_b").alias("__order_of"), F.coalesce(F.sum("__order_s").over(Window.orderBy("__order_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__order_base"))
+    met = inside.join(F.broadcast(first), F.col("__order_b") == F.col("__order_of"))  # MOST + 2 rows at most
+    own = F.sum(amount).over(Window.partitionBy("__order_b").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1))
+    return met.select(*[c for c in rows.columns if c != name], (F.col("__order_base") + F.coalesce(own, F.lit(0))).alias(name))
