@@ -213,13 +213,19 @@ def cluster_by_bic(x: np.ndarray, most: int = 20, seed: int = 42, restarts: int
 
 
 def tree_pseudotime(units: DataFrame, key: str, vector: str, target: str | None = None, most: int = 20, seed: int = 42) -> DataFrame:
-    """key, cluster, edge, pseudotime: mixture clusters, their spanning tree, its principal path from the end with the lower mean target."""
+    """key, cluster, edge, pseudotime: mixture clusters, their spanning tree, its principal path from the end with the lower mean target.
+
+    If all units fall into one cluster, its tree has no edge: each unit has a row, without an edge and a pseudotime.
+    """
     columns = [key, vector] + ([target] if target else [])
     rows = units.orderBy(key).select(*columns).collect()
     x = np.array([r[1] for r in rows], float)
     raw = cluster_by_bic(x, most, seed)
     cluster = np.searchsorted(np.unique(raw), raw)
     n = int(cluster.max()) + 1
+    schema = f"{key} {dict(units.dtypes)[key]}, cluster long, edge long, pseudotime double"
+    if n < 2:
+        return units.sparkSession.createDataFrame([(r[0], 0, None, None) for r in rows], schema)
     centre = np.array([x[cluster == c].mean(0) for c in range(n)])
     edges = minimum_tree(np.sqrt(((centre[:, None] - centre[None]) ** 2).sum(2)))
     path = principal_path(edges, {c: int((cluster == c).sum()) for c in range(n)})
@@ -229,7 +235,7 @@ def tree_pseudotime(units: DataFrame, key: str, vector: str, target: str | None
             path = path[::-1]
     # By the clusters along the path, inside a cluster by its two edges, inside an edge by the projection.
     placed = sorted(project_on_path(x, cluster, path, edges), key=lambda p: (path.index(cluster[p[0]]), p[1], p[2], p[0]))
-    return units.sparkSession.createDataFrame([(rows[i][0], int(cluster[i]), int(e), k / max(1, len(placed) - 1)) for k, (i, e, _) in enumerate(placed)], [key, "cluster", "edge", "pseudotime"])
+    return units.sparkSession.createDataFrame([(rows[i][0], int(cluster[i]), int(e), k / max(1, len(placed) - 1)) for k, (i, e, _) in enumerate(placed)], schema)
 
 
 def spline_basis(x: np.ndarray, splines: int, order: int) -> np.ndarray:

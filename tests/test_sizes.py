@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tessella.operators import ordered, stats
+from tessella.operators import ordered, stats, trajectory
 
 
 def test_spearman_beyond_one_window(spark, monkeypatch):
@@ -15,3 +15,10 @@ def test_spearman_beyond_one_window(spark, monkeypatch):
     monkeypatch.setattr(ordered, "ROWS", 70)
     got = stats.spearman(rows, "x", "y").first()
     assert got["n"] == want["n"] == 900 and abs(got["rho"] - want["rho"]) < 1e-12
+
+
+def test_tree_of_one_cluster(spark, monkeypatch):
+    monkeypatch.setattr(trajectory, "cluster_by_bic", lambda x, *a: np.full(len(x), 3))
+    units = spark.createDataFrame([(k, [float(k), 0.0], float(k)) for k in range(6)], "unit long, pc array<double>, y double")
+    rows = trajectory.tree_pseudotime(units, "unit", "pc", "y").collect()
+    assert [tuple(r) for r in rows] == [(k, 0, None, None) for k in range(6)]
