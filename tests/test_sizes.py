@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tessella.operators import ordered, stats, trajectory
+from tessella.operators import features, ordered, stats, trajectory
 
 
 def test_spearman_beyond_one_window(spark, monkeypatch):
@@ -22,3 +22,13 @@ def test_tree_of_one_cluster(spark, monkeypatch):
     units = spark.createDataFrame([(k, [float(k), 0.0], float(k)) for k in range(6)], "unit long, pc array<double>, y double")
     rows = trajectory.tree_pseudotime(units, "unit", "pc", "y").collect()
     assert [tuple(r) for r in rows] == [(k, 0, None, None) for k in range(6)]
+
+
+def test_dispersions_of_bins_of_two_tie(spark):
+    """In exact arithmetic both features of a bin of two lie 1 / sqrt(2) from its mean, so names decide between bins."""
+    rng = np.random.default_rng(3)
+    rows = [(f"g{7 * (2 * k + j) % 40:02d}", float(np.expm1(1 + (k + 0.3 + 0.4 * j) / 20)), float(rng.uniform(1, 9))) for k in range(20) for j in (0, 1)]
+    means = spark.createDataFrame(rows, "feature_id string, mean double, variance double").repartition(3)
+    got = [(r["rank"], r["feature_id"]) for r in features.variable_by_dispersion(means, 20).orderBy("rank").collect()]
+    larger = [max(rows[2 * k : 2 * k + 2], key=lambda r: r[2] / r[1])[0] for k in range(20)]
+    assert got == list(enumerate(sorted(larger), 1))
