@@ -10,33 +10,159 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _square_distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Of each row of x to each of c, by one product about the mean of c; those that are small beside the norms are made from differences."""
+    x, c = x - c.mean(0), c - c.mean(0)
+    norms = (x**2).sum(1)[:, None] + (c**2).sum(1)[None, :]
+    d2 = np.maximum(norms - 2 * (x @ c.T), 0)
+    i, j = np.nonzero(d2 < 1e-6 * norms)
+    for lo in range(0, len(i), 1 << 15):
+        at = slice(lo, lo + (1 << 15))
+        d2[i[at], j[at]] = ((x[i[at]] - c[j[at]]) ** 2).sum(1)
+    return d2
+
+
+def _whole(vectors, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of a column of lists have dims entries, none of them null; and these as a matrix."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    at = np.zeros(len(vectors) + 1, np.int64)
+    at[1:] = np.cumsum(pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False))
+    flat = vectors.flatten()
+    gaps = np.concatenate([[0], np.cumsum(pc.is_null(flat).to_numpy(zero_copy_only=False))])
+    good = (np.diff(at) == dims) & (gaps[at[1:]] == gaps[at[:-1]]) & pc.is_valid(vectors).to_numpy(zero_copy_only=False)
+    kept = vectors.filter(pa.array(good)).flatten()
+    return good, kept.to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(-1, dims)
+
+
+def _median_distance(vectors: DataFrame, centres: np.ndarray) -> float | None:
+    """The exact median of the distances of all rows (v) to all centres: the middle ones are found from their leading bits on, in four passes of counts.
+
+    Doubles from 0 on sort as their bits do. After the first, a pass counts 2^16 values at most per middle one.
+    """
+    import pyarrow as pa
+
+    def counted(shift: int, known: list[int], width: int) -> dict[int, int]:
+        def count(batches):
+            for batch in batches:
+                found: dict[int, int] = {}
+                _, x = _whole(batch.column(0), centres.shape[1])
+                for lo in range(0, len(x), 2048):
+                    bits = np.sqrt(_square_distances(x[lo : lo + 2048], centres)).ravel().view(np.int64)
+                    if known:
+                        bits = bits[np.isin(bits >> (shift + width), known)]
+                    for value, n in zip(*(a.tolist() for a in np.unique(bits >> shift, return_counts=True)), strict=True):
+                        found[value] = found.get(value, 0) + n
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["bits", "n"])
+
+        return dict(vectors.mapInArrow(count, "bits long, n long").groupBy("bits").agg(F.sum("n")).toLocalIterator())
+
+    ranks: list[int] = []
+    known: list[int] = []
+    for shift, width in ((46, 18), (30, 16), (14, 16), (0, 14)):
+        seen = sorted(counted(shift, sorted(set(known)), width).items())
+        if not ranks:
+            n = sum(c for _, c in seen)
+            if not n:
+                return None
+            ranks = [(n - 1) // 2, n // 2]
+        chosen, left = [], []
+        for which, rank in enumerate(ranks):
+            for value, c in seen:
+                if known and value >> width != known[which]:
+                    continue
+                if rank < c:
+                    chosen.append(value)
+                    left.append(rank)
+                    break
+                rank -= c
+        known, ranks = chosen, left
+    return float(np.array(known, np.int64).view(float).mean())
+
+
 def soft_composition(cells: DataFrame, anchors: DataFrame, unit: str, vector: str, id_col: str, sigma: float | None = None) -> DataFrame:
     """unit, anchor, share: softmax over anchors of -d^2 / 2 sigma^2, averaged over a unit's cells; sigma: the median of all distances.
 
-    anchors(anchor, c array<double>): a few hundred rows, broadcast as one array.
+    anchors(anchor, c array<double>): a few hundred rows, which go to the tasks as one matrix. Cells without a whole vector count for nothing.
     """
-    packed = anchors.agg(F.array_sort(F.collect_list(F.struct("anchor", "c"))).alias("anchors"))
-    square = lambda c: F.aggregate(F.zip_with(F.col(vector).cast("array<double>"), c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    d2 = cells.join(F.broadcast(packed)).select(unit, id_col, F.transform("anchors", lambda a: F.struct(a["anchor"].alias("anchor"), square(a["c"]).alias("d2"))).alias("d"))
-    if sigma is None:
-        width = d2.select(F.explode("d").alias("x")).agg(F.percentile(F.sqrt("x.d2"), 0.5).alias("sigma"))
-        d2 = d2.join(F.broadcast(width))
-    else:
-        d2 = d2.withColumn("sigma", F.lit(float(sigma)))
-    least = F.array_min(F.transform("d", lambda x: x["d2"]))
-    mass = F.transform("d", lambda x: F.exp(-(x["d2"] - least) / (2 * F.col("sigma") * F.col("sigma"))))
-    soft = d2.withColumn("e", mass).withColumn("z", F.aggregate("e", F.lit(0.0), lambda s, x: s + x))
-    long = soft.select(unit, "z", F.explode(F.arrays_zip(F.transform("d", lambda x: x["anchor"]).alias("anchor"), F.col("e").alias("e"))).alias("x"))
-    return long.groupBy(F.col(unit).alias("unit"), F.col("x.anchor").alias("anchor")).agg(F.avg(F.col("x.e") / F.col("z")).alias("share"))
+    import pyarrow as pa
+
+    rows = anchors.orderBy("anchor").select("anchor", F.col("c").cast("array<double>")).collect()
+    kinds = dict(anchors.dtypes)["anchor"], dict(cells.dtypes)[unit]
+    if not rows:
+        return cells.sparkSession.createDataFrame([], f"unit {kinds[1]}, anchor {kinds[0]}, share double")
+    centres = np.array([r[1] for r in rows], float)
+    packed = cells.select(F.col(vector).cast("array<double>").alias("v"), F.col(unit).alias("unit"))
+    width = float(sigma) if sigma is not None else _median_distance(packed.select("v"), centres)
+
+    def shares(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            of = batch.column(1).dictionary_encode(null_encoding="encode")
+            good, x = _whole(batch.column(0), centres.shape[1])
+            owner, total, n = of.indices.to_numpy()[good], np.zeros((len(of.dictionary), len(centres))), np.bincount(of.indices.to_numpy()[good], minlength=len(of.dictionary))
+            for lo in range(0, len(x), 2048):
+                d2 = _square_distances(x[lo : lo + 2048], centres)
+                more = d2 - d2.min(1, keepdims=True)
+                e = np.exp(-more / (2 * width * width)) if width else (more == 0).astype(float)
+                np.add.at(total, owner[lo : lo + 2048], e / e.sum(1, keepdims=True))
+            units, places = len(of.dictionary), len(centres)
+            own = of.dictionary.take(pa.array(np.repeat(np.arange(units), places)))
+            yield pa.RecordBatch.from_arrays([own, pa.array(np.tile(np.arange(places, dtype=np.int32), units)), pa.array(total.ravel()), pa.array(np.repeat(n, places).astype(np.int64))], ["unit", "at", "s", "n"])
+
+    sums = packed.mapInArrow(shares, f"unit {kinds[1]}, at int, s double, n long").groupBy("unit", "at").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    names = cells.sparkSession.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], f"at int, anchor {kinds[0]}")
+    return sums.join(F.broadcast(names), "at").select("unit", "anchor", F.when(F.col("n") > 0, F.col("s") / F.col("n")).alias("share"))  # as many names as anchors
+
+
+def _seeds(pool: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++: each next centre by its squared distance to those before; fewer than k if no other row is left."""
+    rng = np.random.default_rng(seed)
+    chosen = [int(rng.integers(len(pool)))]
+    far = ((pool - pool[chosen[0]]) ** 2).sum(1)
+    while len(chosen) < k and far.sum() > 0:
+        chosen.append(int(rng.choice(len(pool), p=far / far.sum())))
+        far = np.minimum(far, ((pool - pool[chosen[-1]]) ** 2).sum(1))
+    return pool[chosen]
 
 
 def kmeans_anchors(cells: DataFrame, vector: str, k: int, seed: int = 42, iterations: int = 20) -> DataFrame:
-    """anchor, c: centres by Lloyd's rounds over all cells."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    model = KMeans(k=max(2, k), seed=seed, maxIter=iterations, featuresCol="__f").fit(cells.select(array_to_vector(F.col(vector).cast("array<double>")).alias("__f")))
-    return cells.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "anchor int, c array<double>")
+    """anchor, c: centres by Lloyd's rounds over all cells, from seeds among 20 k different vectors (those with the least hashes)."""
+    import pyarrow as pa
+
+    k = max(2, k)
+    rows = cells.select(F.col(vector).alias("v")).where("v is not null").persist()
+    hashed = rows.withColumn("h", F.xxhash64(F.lit(seed), "v"))
+    last = hashed.select("h").distinct().orderBy("h").limit(20 * k).agg(F.max("h")).first()[0]
+    pool = hashed.where(F.col("h") <= F.lit(last)).dropDuplicates(["h"]).orderBy("h").select("v").collect() if last is not None else []
+    if not pool:
+        raise ValueError("no vectors to cluster")
+    centres = _seeds(np.array([r[0] for r in pool], float), k, seed)
+    doubles = rows.select(F.col("v").cast("array<double>").alias("v"))
+    n, dims = centres.shape
+    for _ in range(iterations):
+
+        def sums(batches, centres=centres):
+            total = np.zeros((n, dims + 1))
+            for batch in batches:
+                _, x = _whole(batch.column(0), dims)
+                for lo in range(0, len(x), 2048):
+                    own = x[lo : lo + 2048]
+                    member = np.zeros((len(own), n))
+                    member[np.arange(len(own)), _square_distances(own, centres).argmin(1)] = 1
+                    total += member.T @ np.column_stack([own, np.ones(len(own))])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["t"])
+
+        total = doubles.mapInArrow(sums, "t binary").rdd.map(lambda r: np.frombuffer(r[0])).treeReduce(lambda a, b: a + b).reshape(n, dims + 1)
+        moved = np.where(total[:, -1:] > 0, total[:, :-1] / np.maximum(total[:, -1:], 1), centres)
+        settled = ((moved - centres) ** 2).sum(1).max() <= 1e-8
+        centres = moved
+        if settled:
+            break
+    rows.unpersist()
+    return cells.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)], "anchor int, c array<double>")
 
 
 def unit_type_sums(cells: DataFrame, unit: str, group: str, celltype: str, vector: str) -> DataFrame:
@@ -311,6 +437,9 @@ def sample_embedding(cells: DataFrame, unit: str, celltype: str, vector: str, id
     """The flagship: the four blocks, stacked, reduced, corrected."""
     from .compose import majority
 
-    blocks = sample_blocks(cells, unit, celltype, vector, id_col, k_medium, k_fine, alpha, seed)
+    blocks = [(block.persist(), weight) for block, weight in sample_blocks(cells, unit, celltype, vector, id_col, k_medium, k_fine, alpha, seed)]  # unit-sized, each read several times
     batches = {r[0]: r[1] for r in majority(cells, unit, batch).select(unit, batch).collect()} if batch else None
-    return reduce_units(frobenius_stack(blocks), batches, components, method)
+    made = reduce_units(frobenius_stack(blocks), batches, components, method)
+    for block, _ in blocks:
+        block.unpersist()
+    return made
