@@ -6,6 +6,7 @@ Cell-sized steps are aggregates; what reaches the driver is a unit-sized matrix
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,35 +134,42 @@ def kmeans_anchors(cells: DataFrame, vector: str, k: int, seed: int = 42, iterat
     import pyarrow as pa
 
     k = max(2, k)
-    rows = cells.select(F.col(vector).alias("v")).where("v is not null").persist()
+    rows = cells.select(F.col(vector).cast("array<double>").alias("v")).where("v is not null")
     hashed = rows.withColumn("h", F.xxhash64(F.lit(seed), "v"))
     last = hashed.select("h").distinct().orderBy("h").limit(20 * k).agg(F.max("h")).first()[0]
     pool = hashed.where(F.col("h") <= F.lit(last)).dropDuplicates(["h"]).orderBy("h").select("v").collect() if last is not None else []
     if not pool:
         raise ValueError("no vectors to cluster")
     centres = _seeds(np.array([r[0] for r in pool], float), k, seed)
-    doubles = rows.select(F.col("v").cast("array<double>").alias("v"))
     n, dims = centres.shape
+
+    def pack(batches):
+        for batch in batches:
+            _, x = _whole(batch.column(0), dims)
+            packed = [x[lo : lo + 512].tobytes() for lo in range(0, len(x), 512)]
+            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], ["x"])
+
+    # Read once; every round goes over the packed rows, on all cores though the table may be one file.
+    sent = max(rows.rdd.getNumPartitions(), cells.sparkSession.sparkContext.defaultParallelism)
+    blocks = rows.mapInArrow(pack, "x binary").repartition(sent).rdd.map(lambda r: bytes(r[0])).persist(StorageLevel.MEMORY_AND_DISK)
     for _ in range(iterations):
 
-        def sums(batches, centres=centres):
+        def sums(packed, centres=centres):
             total = np.zeros((n, dims + 1))
-            for batch in batches:
-                _, x = _whole(batch.column(0), dims)
-                for lo in range(0, len(x), 2048):
-                    own = x[lo : lo + 2048]
-                    member = np.zeros((len(own), n))
-                    member[np.arange(len(own)), _square_distances(own, centres).argmin(1)] = 1
-                    total += member.T @ np.column_stack([own, np.ones(len(own))])
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["t"])
-
-        total = doubles.mapInArrow(sums, "t binary").rdd.map(lambda r: np.frombuffer(r[0])).treeReduce(lambda a, b: a + b).reshape(n, dims + 1)
+            for block in packed:
+                x = np.frombuffer(block).reshape(-1, dims)
+                member = np.zeros((len(x), n))
+                member[np.arange(len(x)), _square_distances(x, centres).argmin(1)] = 1
+                total += member.T @ np.column_stack([x, np.ones(len(x))])
+            yield total
+
+        total = blocks.mapPartitions(sums).treeReduce(lambda a, b: a + b)
         moved = np.where(total[:, -1:] > 0, total[:, :-1] / np.maximum(total[:, -1:], 1), centres)
         settled = ((moved - centres) ** 2).sum(1).max() <= 1e-8
         centres = moved
         if settled:
             break
-    rows.unpersist()
+    blocks.unpersist()
     return cells.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)], "anchor int, c array<double>")
 
 
