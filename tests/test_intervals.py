@@ -51,7 +51,19 @@ def test_summary_of_every_pair(tables):
     assert rows(intervals.summary_of(*tables, REACH, PROMOTER, WIDTH, 5.3)) == rows(intervals.annotation_summary(links))
 
 
-@pytest.mark.parametrize("name", ["annotation_summary"])
+def test_closest_genes_of_every_centre(tables):
+    peaks, genes = (t.collect() for t in tables)
+    least, found = {}, []
+    for peak, chrom, _, _, c in peaks:
+        for gene, on, g0, g1, _ in genes:
+            if chrom == on and c is not None and max(g0 - REACH, 0) <= c <= g1 + REACH:
+                near = min(abs(c - g0), abs(c - g1))
+                least[peak] = min(near, least.get(peak, near))
+                found.append((near, peak, gene, 0 if g0 <= c <= g1 else near, g1 - g0))
+    assert rows(intervals.nearest_owners(*tables, REACH, WIDTH)) == sorted((x[1:] for x in found if x[0] == least[x[1]]), key=str)
+
+
+@pytest.mark.parametrize("name", ["annotation_summary", "nearest_owner_activity"])
 def test_no_row_of_each_pair(spark, monkeypatch, name):
     from tessella.plans.catalog import QUERIES
 
