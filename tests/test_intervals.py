@@ -69,3 +69,25 @@ def test_no_row_of_each_pair(spark, monkeypatch, name):
 
     monkeypatch.setattr(intervals, "overlap_join", lambda *a: pytest.fail("pairs of peaks and windows as rows"))
     assert QUERIES[name](spark, "/root/testdata/sf0.001").count()
+
+
+def test_weights_of_every_link(tables):
+    of = {}
+    for peak, gene, *x in links_by_pairs(*tables):
+        of.setdefault(peak, []).append((-x[3], gene, *x))
+    want = []
+    for peak, x in of.items():
+        total = sum(r[5] for r in x)
+        want += [(peak, r[1], *r[2:5], round(float(r[5]), 9), round(float(r[5] / total), 9), k) for k, r in enumerate(sorted(x, key=lambda r: (round(r[0], 12), r[1])), 1)]
+    # Ranks of rows that agree in all else are open.
+    plain = lambda made: sorted((r[:7] for r in made), key=str)
+    got = rows(intervals.each_peak(intervals.best_genes_of(*tables, REACH, PROMOTER, WIDTH)))
+    assert plain(got) == plain(want) and sorted((str(r[0]), r[7], r[5]) for r in got) == sorted((str(r[0]), r[7], r[5]) for r in want)
+
+
+def test_links_are_not_shuffled(spark, monkeypatch):
+    from tessella.plans.catalog import QUERIES
+
+    shuffled, rank = [], intervals.best_genes
+    monkeypatch.setattr(intervals, "best_genes", lambda links: shuffled.append(links.count()) or rank(links))
+    assert QUERIES["peak_gene_weights"](spark, "/root/testdata/sf0.001").count() == 112 and sum(shuffled) == 0
