@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tessella.operators import embedding, features, ordered, stats, trajectory
+from tessella.operators import embedding, features, ordered, qc, stats, trajectory
 
 
 def test_spearman_beyond_one_window(spark, monkeypatch):
@@ -64,3 +64,21 @@ def test_anchors_are_centres_of_their_cells(spark):
     nearest = ((x[:, None] - got[None]) ** 2).sum(2).argmin(1)
     assert len(got) == 6 and all(np.abs(x[nearest == j].mean(0) - got[j]).max() < 1e-3 for j in range(6))
     assert embedding.kmeans_anchors(cells.where("id >= 200"), "v", 6).count() == 1
+
+
+def test_copies_of_a_cell_settle_its_doublet_score(spark, monkeypatch):
+    """Cells with k copies have score 0 without a product; beside others, and one copy short of k, the products say the same."""
+    rng = np.random.default_rng(7)
+    rows = [(r * 100 + c, f"f{f}", float(c + f % 5 + 1)) for c in range(6) for r in range(11 if c < 4 else 10) for f in (c, c + 1, 9)]
+    rows += [(2000 + c, f"f{f}", float(v)) for c in range(40) for f, v in zip(rng.permutation(14)[:4], rng.integers(1, 9, 4), strict=True)]
+    counts = spark.createDataFrame(rows, "cell_id long, feature_id string, value double")
+    sample = counts.select("cell_id").distinct().selectExpr("cell_id", "'s' as sample")
+    scores = lambda c: {r["cell_id"]: r["score"] for r in qc.doublet_scores(c, sample, block=16).collect()}
+    some = scores(counts)
+    monkeypatch.setattr(qc.F, "forall", lambda *a: qc.F.lit(False))
+    assert some == scores(counts) and len(some) == 4 * 11 + 2 * 10 + 40 and any(some.values())
+    monkeypatch.undo()
+    only = counts.where("cell_id % 100 < 4 and cell_id < 2000")
+    # Any cell that is put into a block of no rows is a division by zero.
+    settled = qc.doublet_scores(only, sample, block=0).collect()
+    assert len(settled) == 44 and not any(r["score"] for r in settled)
