@@ -91,3 +91,45 @@ def test_links_are_not_shuffled(spark, monkeypatch):
     shuffled, rank = [], intervals.best_genes
     monkeypatch.setattr(intervals, "best_genes", lambda links: shuffled.append(links.count()) or rank(links))
     assert QUERIES["peak_gene_weights"](spark, "/root/testdata/sf0.001").count() == 112 and sum(shuffled) == 0
+
+
+@pytest.mark.parametrize("how, normalise, log", [("weighted_sum", "total_weight", False), ("weighted_mean", "n_peaks", True), ("max_weighted", "archR", False), ("sum", "total_weight", True), ("sum", "none", False)])
+def test_activity_of_every_cell(spark, tables, how, normalise, log):
+    """Cells of one count and of very many, without an id, counts without a value or without a peak, and in two rows."""
+    rng = np.random.default_rng(5)
+    cells = rng.choice([1, 2, 3, 4, 5, 6, 7, 7, 7, 7, 7, 7, None], 400).tolist()
+    found = [(c, int(p), None if v > 8 else float(v)) for c, p, v in zip(cells, rng.integers(0, 220, 400), rng.integers(1, 10, 400), strict=True)]
+    found += [(8, 3, None), (9, None, 2.0), (None, None, 2.0), (10, 302, 1.0), (11, 5, 2.0), (11, 5, 3.0)]
+    links, met = list(links_by_pairs(*tables)), {}
+    for c, p, v in found:
+        for peak, gene, _, _, _, w in links:
+            if p is not None and p == peak:
+                met.setdefault((c, gene), []).append((v, w))
+    want = []
+    for (c, gene), x in met.items():
+        some = [(v, w) for v, w in x if v is not None]
+        value = {"sum": lambda s: sum(v for v, _ in s), "max_weighted": lambda s: max(v * w for v, w in s)}.get(how, lambda s: sum(v * w for v, w in s))(some) if some else None
+        if value is not None:
+            value /= sum(w for _, w in x) if how == "weighted_mean" else 1
+            value /= {"total_weight": sum(y[5] for y in links if y[1] == gene), "n_peaks": sum(y[1] == gene for y in links)}.get(normalise, 1)
+            value = np.log2(value + 1) if normalise == "archR" else value
+            value = round(float(np.log1p(value) if log else value), 9)
+        want.append((c, gene, value))
+    counts = spark.createDataFrame(found, "cell_id long, peak long, value double")
+    got = intervals.activity_of(counts, *tables, REACH, PROMOTER, WIDTH, how, normalise, log)
+    near = lambda made: [(*r[:2], None if r[2] is None else round(r[2], 7)) for r in sorted(made, key=str)]
+    assert near(rows(got)) == near(want)
+    few = {r[:2] for r in rows(intervals.activity_of(counts, *tables, REACH, PROMOTER, WIDTH, how, "none", least=5.3))}
+    assert few == {(c, gene) for c, p, _ in found for peak, gene, *_, w in links if p is not None and p == peak and w >= 5.3}
+    none = tables[1].where("gene is null")
+    assert not intervals.activity_of(counts, tables[0], none, REACH, PROMOTER, WIDTH, how, normalise, log).count()
+
+
+@pytest.mark.parametrize("name", ["gene_activity_sum", "gene_activity_weighted_sum", "gene_activity_weighted_mean", "gene_activity_max_weighted"])
+def test_neither_links_nor_sums_are_shuffled(spark, monkeypatch, name):
+    from tessella.plans.catalog import QUERIES
+
+    monkeypatch.setattr(intervals, "overlap_join", lambda *a: pytest.fail("pairs of peaks and windows as rows"))
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString().splitlines()
+    met = next(i for i, x in enumerate(plan) if "MapInArrow" in x)
+    assert not any("Exchange" in x or "Aggregate" in x or "Join" in x for x in plan[:met])
