@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessella.operators import embedding, features, qc
@@ -52,6 +53,41 @@ def test_doublets_are_found_whatever_the_blocks(spark):
     assert np.mean([one[str(100 + c)] for c in range(3)]) > np.mean([one[str(c)] for c in range(60)])
 
 
+def test_doublets_meet_by_shared_features(spark):
+    """Many copies, few shared features: scores as by all distances, whatever the blocks and chunks; copies are compared once."""
+    rng = np.random.default_rng(3)
+    kinds = [{int(f): float(v) for f, v in zip(rng.permutation(40)[: rng.integers(1, 5)], rng.integers(1, 9, 4), strict=False)} for _ in range(30)]
+    of = [kinds[c % 30] if c < 150 else {int(f): float(rng.integers(1, 9)) for f in rng.permutation(40)[:3]} for c in range(170)]
+    cells = {(s, 1000 * s + c): x for s in (1, 2) for c, x in enumerate(of[: 170 if s == 1 else 1])}
+    counts = spark.createDataFrame([(c, f"f{f}", v) for (_, c), x in cells.items() for f, v in x.items()], "cell_id long, feature_id string, value double")
+    sample = spark.createDataFrame([(c, f"s{s}") for s, c in cells], "cell_id long, sample string")
+    want = {}
+    for s in (1, 2):
+        own = sorted((str(c), x) for (t, c), x in cells.items() if t == s)
+        n = len(own)
+        made = spark.range(n * 2).selectExpr("id", f"pmod(xxhash64(42, 'a', 's{s}', id), {n}L) as a", f"pmod(xxhash64(42, 'b', 's{s}', id), {n}L) as b").orderBy("id").collect()
+        prefix = spark.range(1).selectExpr(f"xxhash64(42, 'a', 's{s}') as p").first()["p"]
+        assert (qc.hashed(prefix, np.arange(n * 2)) % n).tolist() == [r["a"] for r in made]
+        x = np.zeros((3 * n, 40))
+        for i, (_, y) in enumerate(own):
+            x[i, list(y)] = list(y.values())
+        for r in made:
+            x[n + r["id"]] = x[r["a"]] + x[r["b"]]
+        x = np.log1p(1e4 * x / x.sum(axis=1, keepdims=True))
+        for i, (c, _) in enumerate(own):
+            d = np.round(((x - x[i]) ** 2).sum(axis=1), 9)
+            want[c] = np.mean([j >= n for j in np.lexsort((np.arange(3 * n), d)) if j != i][:10])
+    for options in ({}, {"block": 64, "chunk": 50}, {"block": 33}):
+        got = {r["cell_id"]: r["score"] for r in qc.doublet_scores(counts, sample, **options).collect()}
+        assert got.keys() == want.keys() and all(abs(got[c] - want[c]) < 1e-12 for c in want)
+    sink = pa.BufferOutputStream()
+    table = pa.table({"at": range(150), "cell_id": [str(i) for i in range(150)], "x": pa.array([[{"f": f, "v": v} for f, v in x.items()] for x in of[:150]])})
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    ones, number = qc.Cells([sink.getvalue().to_pybytes()], 0).copies(np.arange(150))
+    assert len(ones) == len({tuple(sorted(x.items())) for x in kinds}) and all(of[ones[m]] == of[i] for i, m in enumerate(number))
+
+
 def test_anchors_follow_the_cells(spark, monkeypatch):
     asked, fit = [], embedding.kmeans_anchors
     monkeypatch.setattr(embedding, "kmeans_anchors", lambda cells, vector, k, seed: asked.append(k) or fit(cells, vector, min(k, 3), seed, 1))
